@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Cuts kept by a worker; the cache starts anew when it is full.
-CACHE_SIZE = 300_000
+#: Cuts kept by a worker in each of two generations; a full younger one becomes the older.
+CACHE_SIZE = 600_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -46,64 +46,82 @@ class BpeModel:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError("a piece crosses the start of a word or a line feed")
         self.cuts = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_cut(self, text: str) -> list[int]:
         """Ids of a cut: the agenda of pairs, best score first, leftmost among equals."""
-        parts, scores = list(text), self.scores
+        ids, scores = self.ids, self.scores
+        if (whole := ids.get(text)) is not None and len(text) <= 2:
+            return [whole]
+        parts: list[str] = list(text)
         last = len(parts)
-        after, before = list(range(1, last + 1)), list(range(-1, last - 1))
-        agenda = [(-scores[p], i, p) for i in range(last - 1) if (p := parts[i] + parts[i + 1]) in scores]
+        pairs = map(str.__add__, parts, parts[1:])
+        agenda = [(-s, i, p) for i, p in enumerate(pairs) if (s := scores.get(p)) is not None]
         heapq.heapify(agenda)
+        after, before = list(range(1, last + 1)), list(range(-1, last - 1))
+        pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            _, i, joined = heapq.heappop(agenda)
-            j = after[i]
-            if not parts[i] or j >= last or len(parts[i]) + len(parts[j]) != len(joined) or parts[i] + parts[j] != joined:
+            _, i, joined = pop(agenda)
+            left, j = parts[i], after[i]
+            if not left or j >= last or left + parts[j] != joined:
                 continue  # one of the two has been merged since
             parts[i], parts[j] = joined, ""
             after[i] = k = after[j]
             if k < last:
                 before[k] = i
-                if (p := joined + parts[k]) in scores:
-                    heapq.heappush(agenda, (-scores[p], i, p))
-            if (h := before[i]) >= 0 and (p := parts[h] + joined) in scores:
-                heapq.heappush(agenda, (-scores[p], h, p))
-        ids: list[int] = []
-        for p in parts:
-            if p:
-                known = self.ids.get(p)
-                ids.extend([known] if known is not None else [self.bytes[b] for b in p.encode()])
-        return ids
+                if (s := scores.get(p := joined + parts[k])) is not None:
+                    push(agenda, (-s, i, p))
+            if (h := before[i]) >= 0 and (s := scores.get(p := parts[h] + joined)) is not None:
+                push(agenda, (-s, h, p))
+        out: list[int] = []
+        for p in filter(None, parts):
+            known = ids.get(p)
+            out.extend([known] if known is not None else [self.bytes[b] for b in p.encode()])
+        return out
 
     def check(self, cuts: list[str], ids: list[list[int]]) -> None:
-        """Compares cuts with the library; one that starts no word is put behind a line feed."""
+        """Compares cuts with the library, encoded and decoded; one that starts no word is put behind a line feed."""
         lead = self.library.encode("\n")
         given = [c[1:].replace(SPACE, " ") if c[0] == SPACE else "\n" + c for c in cuts]
-        for cut, own, theirs in zip(cuts, ids, self.library.encode(given, num_threads=1), strict=True):
-            if theirs != (own if cut[0] == SPACE else lead + own):
+        theirs = self.library.encode(given, num_threads=1)
+        back = self.library.decode(theirs, num_threads=1)
+        for cut, own, other, text, again in zip(cuts, ids, theirs, given, back, strict=True):
+            if other != (own if cut[0] == SPACE else lead + own) or again != text:
                 raise ValueError(f"the agenda and the library differ on {cut[:80]!r}")
 
     def learn(self, cuts: set[str]) -> None:
+        """Puts cuts into the cache: from the older generation, or encoded and checked."""
+        older = self.older
         if len(self.cache) + len(cuts) > CACHE_SIZE:
-            self.cache.clear()
-        new = [c for c in cuts if c not in self.cache]
+            self.older, self.cache = self.cache, {}
+        new = []
+        for c in cuts:
+            known = older.get(c)
+            if known is None:
+                new.append(c)
+            else:
+                self.cache[c] = known
         ids = [self.encode_cut(c) for c in new]
-        self.check([c for c in new], ids)
+        self.check(new, ids)
         for c, own in zip(new, ids, strict=True):
-            self.cache[c] = struct.pack(f"<{len(own)}I", *own), c.replace(SPACE, " ").encode()
+            self.cache[c] = struct.pack(f"<{len(own)}I", *own)
+
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Per text: its ids as little-endian 32-bit integers with begin and end id, and the decoded text.
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """Per text: its ids as little-endian 32-bit integers with begin and end id, and the decoded text."""
+        Decoding gives back what was cut, word marks as spaces, less the space put first; that
+        each cut decodes to itself is part of its check.
+        """
         first, last = struct.pack("<I", self.begin), struct.pack("<I", self.end)
-        for text in texts:
-            cuts = self.cuts.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            cache = self.cache
-            if missing := {c for c in cuts if c not in cache}:
-                self.learn(missing)
-                if len(missing) < len(set(cuts)) and any(c not in cache for c in cuts):
-                    self.learn(set(cuts))  # the cache was emptied in between
-            found = [cache[c] for c in cuts]
-            yield b"".join([first, *[f[0] for f in found], last]), b"".join([f[1] for f in found])[1:]
+        cut = [self.cuts.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
+        known, missing = self.cache, set()
+        for cuts in cut:
+            missing.update(c for c in cuts if c not in known)
+        self.learn(missing)
+        young, old = self.cache, self.older
+        get = young.__getitem__ if young is known else lambda c: young.get(c) or old[c]  # a new generation has begun
+        return [(b"".join([first, *map(get, cuts), last]), (text or "").replace(SPACE, " ").encode()) for text, cuts in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -130,7 +148,7 @@ def decode(ids: list[int], path: str) -> str:
     return "".join(out)
 
 
-def encode_documents(docs: DataFrame, model_path: str, max_rows: int = 512) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, max_rows: int = 1024) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
