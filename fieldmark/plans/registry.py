@@ -407,19 +407,22 @@ def chunk_assign(spark, d):
 
 # Scalars ----------------------------------------------------------------------------------------
 
-_CSZ = F.concat(F.col("c_mktsegment"), F.when(F.col("c_custkey") % 3 == 0, " CA ").otherwise(", CA "), F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0"))
+def _csz():
+    return F.concat(F.col("c_mktsegment"), F.when(F.col("c_custkey") % 3 == 0, " CA ").otherwise(", CA "), F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0"))
+
+
 _CSZ_SQL = "concat(c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN ' CA ' ELSE ', CA ' END, lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0'))"
 
 
 @query(f"""SELECT c_custkey, CASE WHEN regexp_matches(x, p) THEN regexp_extract(x, p, 1) END AS city, CASE WHEN regexp_matches(x, p) THEN regexp_extract(x, p, 2) END AS state, CASE WHEN regexp_matches(x, p) THEN regexp_extract(x, p, 3) END AS zip
     FROM (SELECT c_custkey, {_CSZ_SQL} AS x FROM customer), (SELECT '^(.*),\\s*([A-Z]{{2}})\\s*(\\d{{5}}(?:-\\d{{4}})?)$' AS p)""".replace("regexp_matches(x, p)", "regexp_matches(x, '^(.*),\\s*([A-Z]{2})\\s*(\\d{5}(?:-\\d{4})?)$')").replace("(x, p, ", "(x, '^(.*),\\s*([A-Z]{2})\\s*(\\d{5}(?:-\\d{4})?)$', "))
 def csz_split(spark, d):
-    return table(spark, d, "customer").select("c_custkey", *columns.city_state_zip(_CSZ))
+    return table(spark, d, "customer").select("c_custkey", *columns.city_state_zip(_csz()))
 
 
 @query(f"SELECT c_custkey, nullif(regexp_extract({_CSZ_SQL}, ', ([A-Z]{{2}})', 1), '') AS state FROM customer")
 def state_from_csz(spark, d):
-    return table(spark, d, "customer").select("c_custkey", columns.state_of(_CSZ).alias("state"))
+    return table(spark, d, "customer").select("c_custkey", columns.state_of(_csz()).alias("state"))
 
 
 @query("SELECT s_suppkey, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN concat('As  B', s_suppkey) ELSE '' END AS dba FROM supplier")
