@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontamination, jaccard_join, line_dedup, sentencepiece_bpe, sharding, token_counts, toxicity
+from . import ann, chat, decontamination, jaccard_join, katz, line_dedup, sentencepiece_bpe, sharding, token_counts, toxicity
 from .common import table
 
 #: Where the public vocabulary files are; a parameter of the operators.
@@ -44,7 +44,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(7) == 2)
-    raise NotImplementedError
+    return katz.score_documents(docs)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
