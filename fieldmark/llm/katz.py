@@ -285,7 +285,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def add_up(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("kind", kind="stable")
         ids, held, lengths, base, known, score = unpack(frame["data"].iloc[0])
-        score = score.copy()
+        score = score.astype(float)  # a copy; without lost tokens it comes as integers
         for data in sorted(bytes(x) for x in frame["data"].iloc[1:]):
             doc, s = unpack(data)
             score[doc] += s
