@@ -81,13 +81,14 @@ class BpeModel:
         return out
 
     def check(self, cuts: list[str], ids: list[list[int]]) -> None:
-        """Compares cuts with the library, encoded and decoded; one that starts no word is put behind a line feed."""
+        """Compares cuts with the library, encoded and decoded; one that starts no word, or is but a space, is put behind a line feed."""
         lead = self.library.encode("\n")
-        given = [c[1:].replace(SPACE, " ") if c[0] == SPACE else "\n" + c for c in cuts]
+        starts = [c[0] == SPACE and c != SPACE for c in cuts]
+        given = [c[1:].replace(SPACE, " ") if s else "\n" + c.replace(SPACE, " ") for c, s in zip(cuts, starts, strict=True)]
         theirs = self.library.encode(given, num_threads=1)
         back = self.library.decode(theirs, num_threads=1)
-        for cut, own, other, text, again in zip(cuts, ids, theirs, given, back, strict=True):
-            if other != (own if cut[0] == SPACE else lead + own) or again != text:
+        for cut, start, own, other, text, again in zip(cuts, starts, ids, theirs, given, back, strict=True):
+            if other != (own if start else lead + own) or again != text:
                 raise ValueError(f"the agenda and the library differ on {cut[:80]!r}")
 
     def learn(self, cuts: set[str]) -> None:
