@@ -3,11 +3,12 @@
 Texts become templates: numbers, names and units turn into typed placeholders,
 other words are lower-cased.  Windows of the templates are hashed and joined:
 a bitmap of the benchmark's hashes (of fixed size) goes to all tasks and leaves
-only windows that can match; those are joined by hash.  For each document and
-item the matched windows' slots are then compared: a document matches when each
+only windows that can match; those are joined by hash.  Matched windows that lie
+equally far apart in document and item are one alignment, and the slots of each
+alignment are compared: a document matches when in some alignment each
 placeholder of the item stands for one value in the document and the other way
-round, so that a question with other numbers or names is still caught, and
-windows that only share the shape are not.
+round, so that a question with other numbers or names is still caught, also
+beside the original, and windows that only share the shape are not.
 
 A name is a capitalised word inside a sentence; a unit is one of ``UNITS`` after
 a number.  A window needs ``MIN_LITERAL`` words that are no placeholders.
@@ -39,7 +40,7 @@ UNITS = frozenset(
     "liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros percent degree degrees % $ € £ °".split()
 )
-SCHEMA = "doc_id long, hash long, slots string, size int"
+SCHEMA = "doc_id long, hash long, slots string, size int, place int"
 
 
 def template(text: str | None) -> tuple[list[str], list[str | None]]:
@@ -89,7 +90,7 @@ def window_hashes(words: list[str], size: int, hashes: _Hashes) -> np.ndarray:
     return out
 
 
-def _windows(text: str | None, sizes: list[int], hashes: _Hashes, allowed: np.ndarray | None) -> Iterator[tuple[int, str, int]]:
+def _windows(text: str | None, sizes: list[int], hashes: _Hashes, allowed: np.ndarray | None) -> Iterator[tuple[int, str, int, int]]:
     words, values = template(text)
     literal = np.concatenate([[0], np.cumsum([v is None for v in values])]) if words else np.zeros(1, int)
     for size in sizes:
@@ -99,7 +100,7 @@ def _windows(text: str | None, sizes: list[int], hashes: _Hashes, allowed: np.nd
             bit = h & np.uint64(FILTER_BITS - 1)
             keep &= (allowed[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
         for i in np.flatnonzero(keep):
-            yield int(h[i].astype(np.int64)), "\x1f".join("" if v is None else f"{w}{v}" for w, v in zip(words[i : i + size], values[i : i + size], strict=True)), size
+            yield int(h[i].astype(np.int64)), "\x1f".join("" if v is None else f"{w}{v}" for w, v in zip(words[i : i + size], values[i : i + size], strict=True)), size, int(i)
 
 
 def _windows_of(frame: DataFrame, key: str, sizes: list[int], allowed, whole_if_short: bool) -> DataFrame:
@@ -111,7 +112,7 @@ def _windows_of(frame: DataFrame, key: str, sizes: list[int], allowed, whole_if_
                 own = [min(WINDOW, len(template(text)[0]))] if whole_if_short else sizes
                 rows += [(k, *w) for w in _windows(text, [s for s in own if s], hashes, bits)]
             if rows:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "hash", "slots", "size"]), pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("slots", pa.string()), ("size", pa.int32())]), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "hash", "slots", "size", "place"]), pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("slots", pa.string()), ("size", pa.int32()), ("place", pa.int32())]), preserve_index=False)
 
     return frame.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(cut, SCHEMA)
 
@@ -127,18 +128,22 @@ def _bitmap(windows: DataFrame) -> bytes:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows, n_slots: one row per document and item that it contains."""
+    """doc_id, item_id, n_windows, n_slots: one row per document and item that it contains, of the alignment with most windows."""
     spark = docs.sparkSession
-    items = _windows_of(benchmark, "item_id", [], None, True).withColumnsRenamed({"doc_id": "item_id", "slots": "item_slots"}).distinct()
+    cut = _windows_of(benchmark, "item_id", [], None, True).withColumnRenamed("doc_id", "item_id")
+    # A window that an item repeats stands at its first place only, so that repetitive items meet each window of a document once.
+    items = cut.groupBy("item_id", "hash", "size", F.col("slots").alias("item_slots")).agg(F.min("place").alias("item_place"))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WINDOW numbers at most
     allowed = spark.sparkContext.broadcast(_bitmap(items))
     found = _windows_of(docs, "doc_id", sizes, allowed, False).distinct()
     # Windows that only share the bitmap's bit go in the join; hot windows of one hash are few per document.
-    pairs = found.join(items, ["hash", "size"])
+    pairs = found.join(items, ["hash", "size"]).withColumn("offset", F.col("place") - F.col("item_place"))
+    key = ["doc_id", "item_id", "offset"]
+    windows = pairs.groupBy(*key).agg(F.countDistinct("hash").alias("n_windows"))
     plain = F.regexp_replace("slots", "\x1f", "") == ""
-    windows = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n_windows"))
-    slots = pairs.where(~plain).select("doc_id", "item_id", F.explode(F.arrays_zip(F.split("slots", "\x1f").alias("d"), F.split("item_slots", "\x1f").alias("i"))).alias("z")).where("z.i <> ''").select("doc_id", "item_id", F.col("z.d").alias("d"), F.col("z.i").alias("i")).distinct()
-    ambiguous = slots.groupBy("doc_id", "item_id").agg(F.count("*").alias("pairs"), F.countDistinct("d").alias("values"), F.countDistinct("i").alias("n_slots"))
-    judged = windows.join(ambiguous, ["doc_id", "item_id"], "left").fillna(0, ["pairs", "values", "n_slots"])
+    slots = pairs.where(~plain).select(*key, F.explode(F.arrays_zip(F.split("slots", "\x1f").alias("d"), F.split("item_slots", "\x1f").alias("i"))).alias("z")).where("z.i <> ''").select(*key, F.col("z.d").alias("d"), F.col("z.i").alias("i")).distinct()
+    ambiguous = slots.groupBy(*key).agg(F.count("*").alias("pairs"), F.countDistinct("d").alias("values"), F.countDistinct("i").alias("n_slots"))
+    judged = windows.join(ambiguous, key, "left").fillna(0, ["pairs", "values", "n_slots"])
     consistent = (F.col("pairs") == F.col("values")) & (F.col("pairs") == F.col("n_slots"))
-    return judged.where(consistent).select("doc_id", "item_id", "n_windows", "n_slots")
+    best = F.max(F.struct("n_windows", "n_slots")).alias("best")
+    return judged.where(consistent).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_windows", "best.n_slots")
