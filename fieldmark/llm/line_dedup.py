@@ -68,15 +68,16 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with kept_text, n_lines and n_dropped; untouched documents keep their text as it is."""
-    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("n_dropped").alias("_gone"), F.col("runs").alias("_runs"))
-    text = _text()
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_version")), "left")
-    lines = split_lines(text)
+    """``docs`` with kept_text, n_lines and n_dropped (in place of columns so named); untouched documents keep their text as it is."""
+    names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
+    marks = bitmaps.select(F.struct("doc_id", "version", "n_dropped", "runs").alias("mark"))
+    text = F.coalesce("doc.text", F.lit(""))
+    joined = packed.join(marks, F.col("doc.doc_id").eqNullSafe(F.col("mark.doc_id")) & (F.xxhash64(text) == F.col("mark.version")), "left").withColumn("lines", split_lines(text)).withColumn("runs", F.col("mark.runs"))
     # Kept runs stand at even places; each starts after the sum of the runs before it.
-    offsets = F.expr("aggregate(_runs, named_struct('at', 0, 'out', cast(array() as array<struct<at: int, n: int>>)), (a, n) -> named_struct('at', a.at + n, 'out', concat(a.out, array(named_struct('at', a.at, 'n', n)))), a -> a.out)")
+    offsets = F.expr("aggregate(runs, named_struct('at', 0, 'out', cast(array() as array<struct<at: int, n: int>>)), (a, n) -> named_struct('at', a.at + n, 'out', concat(a.out, array(named_struct('at', a.at, 'n', n)))), a -> a.out)")
     kept_runs = F.filter(offsets, lambda x, i: (i % 2 == 0) & (x["n"] > 0))
-    gone = F.aggregate("_runs", F.lit(0), lambda a, n: a + n)
-    pieces = F.concat(F.flatten(F.transform(kept_runs, lambda x: F.slice(F.col("_lines"), x["at"] + 1, x["n"]))), F.slice(F.col("_lines"), gone + 1, F.greatest(F.size("_lines") - gone, F.lit(0))))
-    kept = F.when(F.col("_runs").isNull(), text).otherwise(F.array_join(pieces, "\n"))
-    return joined.withColumn("_lines", lines).withColumn("kept_text", kept).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.coalesce("_gone", F.lit(0).cast("long"))).drop("_id", "_version", "_gone", "_runs", "_lines")
+    gone = F.aggregate("runs", F.lit(0), lambda a, n: a + n)
+    pieces = F.concat(F.flatten(F.transform(kept_runs, lambda x: F.slice(F.col("lines"), x["at"] + 1, x["n"]))), F.slice(F.col("lines"), gone + 1, F.greatest(F.size("lines") - gone, F.lit(0))))
+    kept = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(pieces, "\n"))
+    return joined.select("doc.*", kept.alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce("mark.n_dropped", F.lit(0).cast("long")).alias("n_dropped"))
