@@ -18,8 +18,10 @@ is lost.
 Equal sets collapse to one vertex first.  Vertices that share an entry form a
 bucket; equal buckets collapse.  In each bucket all are compared with the first
 vertex; components are built from the verified links; only buckets that still
-span several components compare their remaining pairs across components.  All
-pairs that share an entry are therefore verified or already connected.
+span several components compare their remaining pairs across components, block
+against block, first by size and by a profile of 64 counts: its distance is at
+most the number of shingles in which two sets differ.  All pairs that share an
+entry are therefore verified, ruled out for certain or already connected.
 
 Defined results: documents without words are linked with nothing; rows with one
 doc_id are one document (they share a component); a null doc_id links with
@@ -33,6 +35,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +48,8 @@ from .shingles import WordHashes, mix, set_key, shingle_set
 COLLIDE = 1e-4
 #: Buckets above so many vertices stream through without being compared with others.
 LONG_RUN = 1_000_000
+#: Counts in a set's profile; vertices in a block of a bucket; rows that small buckets share a task by.
+BINS, BLOCK, PACK = 64, 2048, 20_000
 SUMMARY = "doc_id long, n_shingles long, vertex long, band int"
 
 
@@ -198,18 +203,54 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 
 
 def sets_of(docs: DataFrame, vertices: DataFrame, size: int) -> DataFrame:
-    """vertex, shingles (sorted 64-bit hashes) for the vertices, read from their first documents."""
+    """vertex, shingles (sorted 64-bit hashes) and profile for the vertices, read from their first documents."""
+
+    def profile(s: np.ndarray) -> bytes:
+        return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(hashes.of(t.as_py()), size) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["found", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([profile(s) for s in sets], pa.binary())], ["found", "shingles", "profile"])
 
     chosen = vertices.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
-    found = texts.mapInArrow(one, "found long, shingles binary").dropDuplicates(["found"])
-    return found.join(vertices.select("vertex"), F.col("found") == F.col("vertex"), "left_semi").select(F.col("found").alias("vertex"), "shingles")
+    found = texts.mapInArrow(one, "found long, shingles binary, profile binary").dropDuplicates(["found"])
+    return found.join(vertices.select("vertex"), F.col("found") == F.col("vertex"), "left_semi").select(F.col("found").alias("vertex"), "shingles", "profile")
+
+
+def near_pairs(rest: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """a, b: pairs of a bucket (bucket, vertex, first, root) from different roots that size and profile do not rule out."""
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[frame["vertex"] != frame["first"]].sort_values(["bucket", "vertex"])
+        bucket, vertex, root, block, n = (frame[c].to_numpy() for c in ("bucket", "vertex", "root", "block", "n"))
+        counts = np.frombuffer(b"".join(frame["profile"]), np.uint8).reshape(len(frame), BINS).astype(np.int16)
+        across = len(frame) and frame["i"].iloc[0] != frame["j"].iloc[0]
+        ends = np.searchsorted(bucket, bucket, "right")
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for x in range(len(frame)):
+            y = np.arange(x + 1, ends[x])
+            y = y[(root[y] != root[x]) & (q * np.minimum(n[y], n[x]) >= p * np.maximum(n[y], n[x]))]
+            y = y[block[y] != block[x]] if across else y
+            if len(y):
+                y = y[np.abs(counts[y] - counts[x]).sum(1) * (q + p) <= (n[y] + n[x]) * (q - p)]
+                left.append(np.full(len(y), vertex[x]))
+                right.append(vertex[y])
+        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    packs = max(1, -(-rest.count() // PACK))
+    blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    known = sets.select("vertex", (F.length("shingles") / 8).cast("long").alias("n"), "profile")
+    rows = rest.join(known, "vertex").join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("vertex"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = F.col("blocks") > 1
+    dealt = rows.select(
+        "bucket", "vertex", "first", "root", "block", "n", "profile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        F.when(large, F.col("bucket")).otherwise(F.pmod("bucket", F.lit(packs))).alias("pack"), large.alias("large"),
+    )
+    return dealt.groupBy("large", "pack", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -249,9 +290,7 @@ def similarity_classes(docs: DataFrame, size: int = 5, p: int = 80, q: int = 100
     placed = shared.join(labels, "vertex", "left").select("bucket", "vertex", "first", root.alias("root"))
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
     rest = staged(placed.join(open_buckets, "bucket"), "open-buckets")
-    left, right = rest.select("bucket", "first", F.col("vertex").alias("a"), F.col("root").alias("ra")), rest.select("bucket", F.col("vertex").alias("b"), F.col("root").alias("rb"))
-    across = left.join(right, "bucket").where("ra <> rb and a < b and a <> first").select("a", "b").distinct()
-    more = staged(verify(across, sets, p, q), "links-found")
+    more = staged(verify(near_pairs(rest, sets, p, q), sets, p, q), "links-found")
     labels = component_labels(links.union(more).union(same_id))
     rooted = classes.join(labels, "vertex", "left").select("vertex", "doc_id", root.alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
