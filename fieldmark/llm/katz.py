@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .shingles import WordHashes, mix
 
-CHUNK_TOKENS, BUCKET_BYTES, MAX_DISCOUNTED = 1_000_000, 12 << 20, 5
+CHUNK_TOKENS, BUCKET_BYTES, MAX_DISCOUNTED = 1_000_000, 4 << 20, 5
 END, UNKNOWN, BEGIN, FIRST = np.uint64(1), 0, 1, 2
 PACKED = "bucket long, chunk long, data binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
