@@ -45,11 +45,14 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    """Compressed arrays of one dimension, byte by byte of their numbers: the high bytes are mostly alike."""
+    planes = [(None, a) if a.dtype == object else (a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes, protocol=5))
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(data)))
+    planes = pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(data)))
+    return tuple(a if kind is None else np.frombuffer(a, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1) for kind, a in planes)
 
 
 def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -119,7 +122,7 @@ def send_words(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = (distinct % np.uint64(buckets)).astype(int)
             order = np.argsort(bucket, kind="stable")
             for b, at in by_bucket(bucket[order]):
-                yield pd.DataFrame({"bucket": [b], "chunk": [chunk], "data": [pack(distinct[order[at]], counts[order[at]])]})
+                yield pd.DataFrame({"bucket": [b], "chunk": [chunk], "data": [pack(np.diff(distinct[order[at]], prepend=np.uint64(0)), counts[order[at]])]})
 
     return docs.mapInPandas(send, PACKED)
 
@@ -130,7 +133,7 @@ def add_words(sent: DataFrame, buckets: int) -> DataFrame:
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         bucket = int(frame["bucket"].iloc[0])
         parts = [unpack(d) for d in frame["data"]]
-        words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        words, place = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
         total = np.bincount(place, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
         ids = FIRST + np.arange(len(words)) * buckets + bucket
         if ids[-1] >= 1 << 32:
