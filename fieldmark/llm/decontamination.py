@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 WINDOW, MIN_LITERAL, FILTER_BITS = 10, 5, 1 << 24
 TOKEN = re.compile(r"[+-]?\d[\d.,:/]*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]|[^\s\w]|_")
 #: Unit words and signs.
@@ -137,7 +139,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     allowed = spark.sparkContext.broadcast(_bitmap(items))
     found = _windows_of(docs, "doc_id", sizes, allowed, False).distinct()
     # Windows that only share the bitmap's bit go in the join; hot windows of one hash are few per document.
-    pairs = found.join(items, ["hash", "size"]).withColumn("offset", F.col("place") - F.col("item_place"))
+    # Two aggregates read them, so they are written: the documents are cut into windows once.
+    pairs = staged(found.join(items, ["hash", "size"]).withColumn("offset", F.col("place") - F.col("item_place")), "matched-windows")
     key = ["doc_id", "item_id", "offset"]
     windows = pairs.groupBy(*key).agg(F.countDistinct("hash").alias("n_windows"))
     plain = F.regexp_replace("slots", "\x1f", "") == ""
