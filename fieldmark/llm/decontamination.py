@@ -42,77 +42,114 @@ UNITS = frozenset(
     "liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros percent degree degrees % $ € £ °".split()
 )
+#: What a token may be, as bits.
+NUMBER, WORD, ENDS, UNIT, TITLED = 1, 2, 4, 8, 16
+PLACES = ["", "<number>", "<unit>", "<name>"]
+PLACE_HASHES = np.array([xxhash.xxh64_intdigest(p.encode()) for p in PLACES], np.uint64)
+#: Texts are taken together up to so many characters.
+GROUP_CHARS = 200_000
 SCHEMA = "doc_id long, hash long, slots string, size int, place int"
 
 
-def template(text: str | None) -> tuple[list[str], list[str | None]]:
-    """Words of the template and, at each place, the value that a placeholder stands for."""
-    out: list[str] = []
-    values: list[str | None] = []
-    start, number = True, False
-    for token in TOKEN.findall(text or ""):
-        lower = token.lower()
+class Tokens(dict):
+    """Places of tokens in two arrays: what a token may be, and the hash of its lower-cased form."""
+
+    def __init__(self):
+        self.flags, self.hashes = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint64)
+
+    def __missing__(self, token: str) -> int:
+        i, lower = len(self), token.lower()
+        if i == len(self.flags):
+            self.flags, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.flags, self.hashes))
         if token[-1].isdigit() or token[0].isdigit() or (token[0] in "+-" and len(token) > 1):
-            out.append("<number>")
-            values.append(token.rstrip(".,:/"))
-            start, number = token[-1] == ".", True
-            continue
-        if number and lower in UNITS:
-            out.append("<unit>")
-            values.append(lower)
-        elif token[0].isalpha():
-            name = token[0].isupper() and not start and token[1:].islower()
-            out.append("<name>" if name else lower)
-            values.append(lower if name else None)
-            start = False
-        elif token in ".!?\n":
-            start = True
-        number = False
-    return out, values
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+            flags = NUMBER | (ENDS if token[-1] == "." else 0)
+        else:
+            flags = (WORD if token[0].isalpha() else ENDS if token in ".!?\n" else 0) | (UNIT if lower in UNITS else 0)
+            flags |= TITLED if token[0].isupper() and token[1:].islower() else 0
+        self.flags[i], self.hashes[i] = flags, xxhash.xxh64_intdigest(lower.encode())
+        self[token] = i
+        return i
+
+    def templates(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens; of each word of the templates its text, the token's place, its kind (0: literal) and its hash."""
         if len(self) > 300_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode())
-        return h
-
-
-def window_hashes(words: list[str], size: int, hashes: _Hashes) -> np.ndarray:
+        tokens, sizes = [], []
+        for text in texts:
+            tokens += TOKEN.findall(text or "")
+            tokens.append("\n")  # a line feed is no word and lets nothing pass from text to text
+            sizes.append(len(tokens))
+        n = len(tokens)
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, n)
+        flags = self.flags[at]
+        number, ends = flags & NUMBER > 0, flags & ENDS > 0
+        unit = flags & UNIT > 0
+        unit[1:] &= number[:-1]
+        unit[:1] = False
+        word = (flags & WORD > 0) & ~unit
+        # A sentence starts at the text's start and where the last number, word or sign of an end before says so.
+        last = np.maximum.accumulate(np.where(number | word | ends, np.arange(1, n + 1), 0))
+        start = np.concatenate([[True], ends])[np.concatenate([[0], last])[:n]]
+        kind = np.where(number, 1, np.where(unit, 2, np.where(word & (flags & TITLED > 0) & ~start, 3, 0)))
+        out = np.flatnonzero(number | unit | word)
+        kind = kind[out]
+        return tokens, np.searchsorted(sizes, out, "right"), out, kind, np.where(kind > 0, PLACE_HASHES[kind], self.hashes[at[out]])
+
+
+def slot(token: str, kind: int) -> str:
+    """The placeholder and the value that it stands for; nothing for a literal word."""
+    return PLACES[kind] + (token.rstrip(".,:/") if kind == 1 else token.lower()) if kind else ""
+
+
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """64-bit hashes of all windows of ``size`` words, by Horner's rule over the words' hashes."""
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     out = np.full(n, size, np.uint64)
     for k in range(size):
-        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
 
-def _windows(text: str | None, sizes: list[int], hashes: _Hashes, allowed: np.ndarray | None) -> Iterator[tuple[int, str, int, int]]:
-    words, values = template(text)
-    literal = np.concatenate([[0], np.cumsum([v is None for v in values])]) if words else np.zeros(1, int)
-    for size in sizes:
-        h = window_hashes(words, size, hashes)
-        keep = (literal[size:] - literal[:-size] >= MIN_LITERAL) if len(h) else np.empty(0, bool)
-        if allowed is not None and len(h):
+def _windows(texts: list[str | None], sizes: list[int] | None, known: Tokens, allowed: np.ndarray | None) -> Iterator[tuple[int, int, str, int, int]]:
+    """Number of the text, hash, slots, size and place of windows; without ``sizes``, one text's windows, or the whole of it if it is short."""
+    tokens, of, out, kind, hashes = known.templates(texts)
+    literal = np.concatenate([[0], np.cumsum(kind == 0)])
+    first = np.searchsorted(of, np.arange(len(texts)))
+    for size in sizes if sizes is not None else [min(WINDOW, len(out))]:
+        h = window_hashes(hashes, size) if size else np.empty(0, np.uint64)
+        if not len(h):
+            continue
+        keep = (literal[size:] - literal[:-size] >= MIN_LITERAL) & (of[size - 1 :] == of[: len(h)])
+        if allowed is not None:
             bit = h & np.uint64(FILTER_BITS - 1)
             keep &= (allowed[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
         for i in np.flatnonzero(keep):
-            yield int(h[i].astype(np.int64)), "\x1f".join("" if v is None else f"{w}{v}" for w, v in zip(words[i : i + size], values[i : i + size], strict=True)), size, int(i)
+            yield int(of[i]), int(h[i].astype(np.int64)), "\x1f".join(slot(tokens[j], k) for j, k in zip(out[i : i + size], kind[i : i + size], strict=True)), size, int(i - first[of[i]])
+
+
+def _groups(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``chars`` characters together; a longer text stands alone."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if held + n > chars and i > begin:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
-def _windows_of(frame: DataFrame, key: str, sizes: list[int], allowed, whole_if_short: bool) -> DataFrame:
+def _windows_of(frame: DataFrame, key: str, sizes: list[int] | None, allowed) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = _Hashes(), None if allowed is None else np.frombuffer(allowed.value, np.uint8)
+        known, bits = Tokens(), None if allowed is None else np.frombuffer(allowed.value, np.uint8)
         for batch in batches:
-            rows = []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [min(WINDOW, len(template(text)[0]))] if whole_if_short else sizes
-                rows += [(k, *w) for w in _windows(text, [s for s in own if s], hashes, bits)]
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            groups = ((i, i + 1) for i in range(len(ids))) if sizes is None else _groups(texts, GROUP_CHARS)
+            rows = [(ids[a + k], *w) for a, b in groups for k, *w in _windows(texts[a:b], sizes, known, bits)]
             if rows:
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "hash", "slots", "size", "place"]), pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("slots", pa.string()), ("size", pa.int32()), ("place", pa.int32())]), preserve_index=False)
 
@@ -132,12 +169,12 @@ def _bitmap(windows: DataFrame) -> bytes:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_slots: one row per document and item that it contains, of the alignment with most windows."""
     spark = docs.sparkSession
-    cut = _windows_of(benchmark, "item_id", [], None, True).withColumnRenamed("doc_id", "item_id")
+    cut = _windows_of(benchmark, "item_id", None, None).withColumnRenamed("doc_id", "item_id")
     # A window that an item repeats stands at its first place only, so that repetitive items meet each window of a document once.
     items = cut.groupBy("item_id", "hash", "size", F.col("slots").alias("item_slots")).agg(F.min("place").alias("item_place"))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WINDOW numbers at most
     allowed = spark.sparkContext.broadcast(_bitmap(items))
-    found = _windows_of(docs, "doc_id", sizes, allowed, False).distinct()
+    found = _windows_of(docs, "doc_id", sizes, allowed).distinct()
     # Windows that only share the bitmap's bit go in the join; hot windows of one hash are few per document.
     # Two aggregates read them, so they are written: the documents are cut into windows once.
     pairs = staged(found.join(items, ["hash", "size"]).withColumn("offset", F.col("place") - F.col("item_place")), "matched-windows")
