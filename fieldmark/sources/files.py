@@ -34,6 +34,11 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
     return marks.select("folder", "p.name", "p.description", part(1).alias("lat"), part(0).alias("lng"))
 
 
+def read_xml_rows(spark: SparkSession, path: str, schema: str, row_tag: str = "row") -> DataFrame:
+    """Rows of an XML register; columns that a row lacks are null."""
+    return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+
+
 def read_all(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files with differing headers under one another; missing columns are null."""
     first, *rest = [spark.read.option("header", True).csv(p) for p in paths]
