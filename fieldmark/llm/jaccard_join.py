@@ -16,12 +16,14 @@ do, and of any other pair one has a non-empty subset that both index: no pair
 is lost.
 
 Equal sets collapse to one vertex first.  Vertices that share an entry form a
-bucket; equal buckets collapse.  In each bucket all are compared with the first
-vertex; components are built from the verified links; only buckets that still
-span several components compare their remaining pairs across components, block
-against block, first by size and by a profile of 64 counts: its distance is at
-most the number of shingles in which two sets differ.  All pairs that share an
-entry are therefore verified, ruled out for certain or already connected.
+bucket; equal buckets collapse.  Each vertex is compared with its hub, the least
+of its buckets' first vertices, and components are built from the verified
+links.  Buckets that still span several components compare their vertices with
+their first one, where the components differ, and those open after that their
+remaining pairs across components, block against block; sizes come first and a
+profile of 64 counts, whose distance is at most the number of shingles in which
+two sets differ.  All pairs that share an entry are therefore verified, ruled
+out for certain or already connected.
 
 Defined results: documents without words are linked with nothing; rows with one
 doc_id are one document (they share a component); a null doc_id links with
@@ -50,6 +52,8 @@ COLLIDE = 1e-4
 LONG_RUN = 1_000_000
 #: Counts in a set's profile; vertices in a block of a bucket; rows that small buckets share a task by.
 BINS, BLOCK, PACK = 64, 2048, 20_000
+#: Ids of vertices, 8 bytes each, that are sent to all tasks at most.
+FEW = 200_000
 SUMMARY = "doc_id long, n_shingles long, vertex long, band int"
 
 
@@ -203,7 +207,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 
 
 def sets_of(docs: DataFrame, vertices: DataFrame, size: int) -> DataFrame:
-    """vertex, shingles (sorted 64-bit hashes) and profile for the vertices, read from their first documents."""
+    """vertex, hub, n, shingles (n sorted 64-bit hashes) and profile for the vertices (vertex, hub, doc_id), read from their documents."""
 
     def profile(s: np.ndarray) -> bytes:
         return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
@@ -212,12 +216,13 @@ def sets_of(docs: DataFrame, vertices: DataFrame, size: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(hashes.of(t.as_py()), size) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([profile(s) for s in sets], pa.binary())], ["found", "shingles", "profile"])
+            columns = [[set_key(s) if len(s) else None for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets], [profile(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["found", "n", "shingles", "profile"])
 
     chosen = vertices.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
-    found = texts.mapInArrow(one, "found long, shingles binary, profile binary").dropDuplicates(["found"])
-    return found.join(vertices.select("vertex"), F.col("found") == F.col("vertex"), "left_semi").select(F.col("found").alias("vertex"), "shingles", "profile")
+    found = texts.mapInArrow(one, "found long, n long, shingles binary, profile binary").dropDuplicates(["found"])
+    return found.join(vertices.select("vertex", "hub"), F.col("found") == F.col("vertex")).select("vertex", "hub", "n", "shingles", "profile")
 
 
 def near_pairs(rest: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -242,7 +247,7 @@ def near_pairs(rest: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
     packs = max(1, -(-rest.count() // PACK))
     blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    known = sets.select("vertex", (F.length("shingles") / 8).cast("long").alias("n"), "profile")
+    known = sets.select("vertex", "n", "profile")
     rows = rest.join(known, "vertex").join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("vertex"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     large = F.col("blocks") > 1
@@ -253,8 +258,14 @@ def near_pairs(rest: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return dealt.groupBy("large", "pack", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) whose sets have q * intersection >= p * union."""
+def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of some vertices; up to ``FEW`` ids go to all tasks, so that other sets need not be shuffled."""
+    ids = staged(ids.distinct(), "wanted")
+    return sets.join(F.broadcast(ids) if ids.count() <= FEW else ids, "vertex", "left_semi")
+
+
+def similar(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """a, b of the rows (a, b, x, y) whose sets x and y have q * intersection >= p * union."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,12 +276,33 @@ def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
                 keep.append(q * both >= p * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    n = F.length("shingles")
-    a = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x"), n.alias("nx"))
-    b = sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y"), n.alias("ny"))
-    sizes = sets.select("vertex", n.alias("n"))
-    fits = pairs.join(sizes.withColumnsRenamed({"vertex": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"vertex": "b", "n": "nb"}), "b").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
-    return fits.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
+    return rows.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
+
+
+def verify_hubs(sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The similar pairs of a vertex (b) and its hub (a): each set travels once, to its hub."""
+    others = sets.where("vertex <> hub")
+    hubs = only(sets, others.select(F.col("hub").alias("vertex"))).select(F.col("vertex").alias("a"), F.col("shingles").alias("x"), F.col("n").alias("na"))
+    near = others.select(F.col("hub").alias("a"), F.col("vertex").alias("b"), F.col("shingles").alias("y"), F.col("n").alias("nb"))
+    return similar(near.join(hubs, "a").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb")), p, q)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The similar pairs among ``pairs`` (a, b); sizes and profiles are compared before sets travel."""
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("pa", "pb"))
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = np.abs(x - y).sum(1) * (q + p) <= n * (q - p)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    side = lambda k: sets.select(F.col("vertex").alias(k), F.col("n").alias(f"n{k}"), F.col("profile").alias(f"p{k}"))
+    fits = pairs.join(side("a"), "a").join(side("b"), "b").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
+    left = staged(fits.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(plausible, "a long, b long"), "plausible")
+    some = only(sets, left.select(F.col("a").alias("vertex")).union(left.select("b")))
+    whole = lambda k, name: some.select(F.col("vertex").alias(k), F.col("shingles").alias(name))
+    return similar(left.join(whole("a", "x"), "a").join(whole("b", "y"), "b"), p, q)
 
 
 def similarity_classes(docs: DataFrame, size: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -281,17 +313,24 @@ def similarity_classes(docs: DataFrame, size: int = 5, p: int = 80, q: int = 100
     plans = {b: allocate(bands, b, counts.get(b, 0) + counts.get(b + 1, 0)) for k in counts if k >= 0 for b in (k - 1, k) if b >= 0}
     shared = staged(buckets(index_entries(docs, size, p, q, plans)), "buckets")
     classes = summary.where("vertex is not null and doc_id is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
-    sets = staged(sets_of(docs, shared.select("vertex").distinct().join(classes, "vertex"), size), "shingles")
-    tried = shared.where("vertex <> first").select(F.col("first").alias("a"), F.col("vertex").alias("b")).distinct()
-    links = staged(verify(tried, sets, p, q), "links-found")
+    hubs = shared.groupBy("vertex").agg(F.min("first").alias("hub"))
+    sets = staged(sets_of(docs, hubs.join(classes, "vertex"), size), "shingles")
     same_id = summary.where("vertex is not null and doc_id is not null").groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b").select("a", "b")
-    labels = component_labels(links.union(same_id))
     root = F.coalesce("root", "vertex")
-    placed = shared.join(labels, "vertex", "left").select("bucket", "vertex", "first", root.alias("root"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    rest = staged(placed.join(open_buckets, "bucket"), "open-buckets")
-    more = staged(verify(near_pairs(rest, sets, p, q), sets, p, q), "links-found")
-    labels = component_labels(links.union(more).union(same_id))
+
+    def still_open(labels: DataFrame) -> DataFrame:
+        """The buckets, with roots, that span several components."""
+        placed = shared.join(labels, "vertex", "left").select("bucket", "vertex", "first", root.alias("root"))
+        spanning = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+        return staged(placed.join(spanning, "bucket"), "open-buckets")
+
+    links = staged(verify_hubs(sets, p, q), "links-found").union(same_id)
+    rest = still_open(component_labels(links))
+    firsts = rest.where("vertex = first").select("bucket", F.col("root").alias("first_root"))
+    tried = rest.join(firsts, "bucket").where("root <> first_root").select(F.col("first").alias("a"), F.col("vertex").alias("b")).distinct()
+    links = links.union(staged(verify(tried, sets, p, q), "links-found"))
+    rest = still_open(component_labels(links))
+    labels = component_labels(links.union(staged(verify(near_pairs(rest, sets, p, q), sets, p, q), "links-found")))
     rooted = classes.join(labels, "vertex", "left").select("vertex", "doc_id", root.alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_vertex = rooted.join(least, "root").select(F.col("vertex").alias("_vertex"), "component_id")
