@@ -54,6 +54,8 @@ LONG_RUN = 1_000_000
 BINS, BLOCK, PACK = 64, 2048, 20_000
 #: Ids of vertices, 8 bytes each, that are sent to all tasks at most.
 FEW = 200_000
+#: Sets that meet in a task when pairs are verified, and in a block of a larger group.
+SETS = 512
 SUMMARY = "doc_id long, n_shingles long, vertex long, band int"
 
 
@@ -300,9 +302,30 @@ def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     side = lambda k: sets.select(F.col("vertex").alias(k), F.col("n").alias(f"n{k}"), F.col("profile").alias(f"p{k}"))
     fits = pairs.join(side("a"), "a").join(side("b"), "b").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
     left = staged(fits.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(plausible, "a long, b long"), "plausible")
-    some = only(sets, left.select(F.col("a").alias("vertex")).union(left.select("b")))
-    whole = lambda k, name: some.select(F.col("vertex").alias(k), F.col("shingles").alias(name))
-    return similar(left.join(whole("a", "x"), "a").join(whole("b", "y"), "b"), p, q)
+    # Pairs hang together in groups; the sets of a group, or of two blocks of a large one, meet once for all its pairs.
+    groups = component_labels(left)
+    count = groups.count()
+    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / SETS).alias("blocks"))
+    large = F.col("blocks") > 1
+    pack = F.when(large, F.col("root")).otherwise(F.pmod("root", F.lit(max(1, -(-count // SETS)))))
+    placed = staged(groups.join(blocks, "root").select("vertex", pack.alias("pack"), large.alias("large"), F.when(large, F.pmod(F.xxhash64("vertex"), "blocks")).otherwise(0).alias("block"), "blocks"), "groups")
+    known = sets.select("vertex", "shingles").join(F.broadcast(placed) if count <= FEW else placed, "vertex")
+    known = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = known.select(F.col("pack").alias("pack"), F.col("large").alias("large"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "vertex", "shingles")
+    own = placed.select(F.col("vertex").alias("a"), "pack", "large", F.col("block").alias("i"))
+    pairs = left.join(own, "a").join(placed.select(F.col("vertex").alias("b"), F.col("block").alias("j")), "b").select("pack", "large", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "b")
+
+    def compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        of = {v: np.frombuffer(s, np.uint64) for v, s in zip(sets["vertex"], sets["shingles"], strict=True)} if len(pairs) else {}
+        keep = []
+        for x, y in zip(pairs["a"], pairs["b"], strict=True):
+            x, y = of[x], of[y]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(q * both >= p * (len(x) + len(y) - both))
+        return pairs.loc[np.array(keep, bool), ["a", "b"]]
+
+    key = ["pack", "large", "i", "j"]
+    return pairs.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(compare, "a long, b long")
 
 
 def similarity_classes(docs: DataFrame, size: int = 5, p: int = 80, q: int = 100) -> DataFrame:
