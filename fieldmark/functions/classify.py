@@ -28,7 +28,10 @@ RULES = [
 #: Federal function digits.
 FUNCTION_TYPES = {"1": "Slaughter", "2": "Canning", "3": "Boning and Cutting", "4": "Rendering", "6": "Processing", "7": "Packaging", "8": "Inedible Rendering"}
 #: Description keywords of Mexican activities, in order.
-MEXICAN_TYPES = [("Aquaculture Farm", ["acuicultura", "piscicultura", "camaronicultura"]), ("Research Laboratory", ["laboratorio"]), ("Slaughterhouse", ["matanza", "rastro"])]
+MEXICAN_TYPES = [
+    ("Aquaculture", ["acuicultura", "piscicultura", "ranicultura", "pez", "acua"]), ("Laboratory", ["laboratorio", "investigacion", "analytical", "análisis"]),
+    ("Slaughterhouse", ["matanza", "slaughter", "sacrifi"]),
+]
 
 
 def _first(c: Column, pick, default: str) -> Column:

@@ -205,10 +205,10 @@ def mixed_type(spark, d):
     return table(spark, d, "part").select("p_partkey", classify.primary_type(given, names).alias("kind"))
 
 
-@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Aquaculture Farm' WHEN 1 THEN 'Slaughterhouse' ELSE 'Meat Processing' END AS kind FROM part")
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Aquaculture' WHEN 1 THEN 'Slaughterhouse' ELSE 'Processing' END AS kind FROM part")
 def keyword_types(spark, d):
     given = F.element_at(F.array(F.lit("Piscicultura y otra"), F.lit("Matanza de ganado"), F.lit("Comercio")), F.col("p_size") % 3 + 1)
-    return table(spark, d, "part").select("p_partkey", classify.keyword_type(given, classify.MEXICAN_TYPES, "Meat Processing").alias("kind"))
+    return table(spark, d, "part").select("p_partkey", classify.keyword_type(given, classify.MEXICAN_TYPES, "Processing").alias("kind"))
 
 
 # Aggregates -------------------------------------------------------------------------------------
