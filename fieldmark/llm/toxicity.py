@@ -68,8 +68,9 @@ class Bags:
         self.word_at = np.concatenate([[0], self.word_n.cumsum()[:-1]])
         self.gram_word = np.repeat(np.arange(len(grams)), self.gram_n)
         self.word_window = np.repeat(np.arange(len(spans)), self.word_n)
-        pairs = np.unique(np.concatenate([np.unique(np.concatenate([grams[w] for w in set(t.tolist())])) + d * BUCKETS for d, t in enumerate(ids)]))
-        self.seen = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+        self.seen = np.zeros(BUCKETS, int)
+        for t in ids:  # document by document: all pairs at once would be the driver's largest array
+            self.seen[np.unique(np.concatenate([grams[w] for w in set(t.tolist())]))] += 1
 
     def forward(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of_words = np.add.reduceat(table[self.grams], self.gram_at) / self.weight_n[:, None]
