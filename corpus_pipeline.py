@@ -2,7 +2,7 @@
 
 Every stage but the last returns the columns of ``documents``.  Toxic documents
 go; lines that ten documents or more share stay only where they first occur (a
-document that so loses all its lines goes); one document of each group of near
+document that so loses lines and keeps none but blank ones goes); one document of each group of near
 copies stays (five-word shingles, similarity 0.8 or more); documents that hold a
 benchmark passage go; the rest is encoded.  ORACLE_SQL is None: the toxicity
 model cannot be said in SQL, so the tests hold the stages against brute force.
@@ -19,7 +19,7 @@ from fieldmark.llm.queries import PIECES, remainder, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The line stage: keys of so many code points in so many documents.
-MIN_CHARS, MIN_DOCS = 20, 10
+MIN_CHARS, MIN_DOCS = 1, 10
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bitmaps = line_dedup.keep_bitmaps(docs, MIN_DOCS, MIN_CHARS, keep_first=True)
-    done = line_dedup.apply_bitmaps(docs.select(COLUMNS), bitmaps).where("n_dropped < n_lines")
     changed = F.col("n_dropped") > 0
+    done = line_dedup.apply_bitmaps(docs.select(COLUMNS), bitmaps).where(~changed | (F.btrim("kept_text", F.lit(line_dedup.STRIP)) != ""))
     return done.select("doc_id", F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

@@ -5,7 +5,7 @@ import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
-from llm_fixtures import awkward, duck, empty  # noqa: E402
+from llm_fixtures import awkward, duck, empty, frame  # noqa: E402
 
 import corpus_pipeline as c  # noqa: E402
 
@@ -41,3 +41,11 @@ def test_awkward_and_empty(spark):
             docs = c.staged(stage(spark, docs, SF), f"test-{k}")
         assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         assert (docs.count() > 0) == (make is awkward)
+
+
+def test_line_stage_leaves_no_stubs_of_copies(spark):
+    copy = "Yes.\n \t\nA line that all the copies share, long enough for any bound.\n\nEnd."
+    texts = [copy] * 12 + [f"{copy}\nown {i}" for i in range(2)] + ["", " \n", None]
+    got = {r.doc_id: (r.text, r.n_chars) for r in c.without_repeated_lines(spark, frame(spark, texts), SF).collect()}
+    own = {12 + i: f" \t\n\nown {i}" for i in range(2)}
+    assert got == {i: (t, len(t or "")) for i, t in ({0: copy} | own | {14: "", 15: " \n", 16: None}).items()}
