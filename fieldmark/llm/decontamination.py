@@ -11,12 +11,16 @@ round, so that a question with other numbers or names is still caught, also
 beside the original, and windows that only share the shape are not.
 
 A name is a capitalised word inside a sentence; a unit is one of ``UNITS`` after
-a number.  A window needs ``MIN_LITERAL`` words that are no placeholders.
+a number.  How the first words of a passage read so hangs on what stands before
+it; each window of an item is therefore hashed under all its readings
+(``CONTEXTS``), and a first word that only then is a placeholder must be the same
+word in the document.  A window with fewer than ``MIN_LITERAL`` words that are no
+placeholders is hashed by its exact words: only verbatim copies match it.
 
 Defined results: null and empty texts match nothing; an item with fewer words
-than a window is one shorter window of its own length if it has at least
-``MIN_LITERAL`` literal words; repeated items and rows are matched each; an
-empty benchmark gives an empty result; extra columns are ignored.
+than a window is one shorter window of its own length; repeated items and rows
+are matched each; an empty benchmark gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -48,30 +52,33 @@ PLACES = ["", "<number>", "<unit>", "<name>"]
 PLACE_HASHES = np.array([xxhash.xxh64_intdigest(p.encode()) for p in PLACES], np.uint64)
 #: Texts are taken together up to so many characters.
 GROUP_CHARS = 200_000
-SCHEMA = "doc_id long, hash long, slots string, size int, place int"
+#: What may stand before a passage, with its number of words: a sentence's start or none, a number or none.
+CONTEXTS = [("", 0), ("x ", 1), ("1 ", 1), ("1. ", 1)]
+SCHEMA = "doc_id long, hash long, slots string, size int, place int, reread boolean"
 
 
 class Tokens(dict):
-    """Places of tokens in two arrays: what a token may be, and the hash of its lower-cased form."""
+    """Places of tokens in three arrays: what a token may be, and the hashes of its lower-cased form and of its value."""
 
     def __init__(self):
-        self.flags, self.hashes = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint64)
+        self.flags, self.hashes, self.values = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
 
     def __missing__(self, token: str) -> int:
         i, lower = len(self), token.lower()
         if i == len(self.flags):
-            self.flags, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.flags, self.hashes))
+            self.flags, self.hashes, self.values = (np.concatenate([x, np.zeros_like(x)]) for x in (self.flags, self.hashes, self.values))
         if token[-1].isdigit() or token[0].isdigit() or (token[0] in "+-" and len(token) > 1):
             flags = NUMBER | (ENDS if token[-1] == "." else 0)
         else:
             flags = (WORD if token[0].isalpha() else ENDS if token in ".!?\n" else 0) | (UNIT if lower in UNITS else 0)
             flags |= TITLED if token[0].isupper() and token[1:].islower() else 0
         self.flags[i], self.hashes[i] = flags, xxhash.xxh64_intdigest(lower.encode())
+        self.values[i] = xxhash.xxh64_intdigest(value(lower, flags & NUMBER).encode())
         self[token] = i
         return i
 
-    def templates(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All tokens; of each word of the templates its text, the token's place, its kind (0: literal) and its hash."""
+    def templates(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens; of each word of the templates its text, the token's place, its kind (0: literal), its hash and its value's."""
         if len(self) > 300_000:
             self.clear()
         tokens, sizes = [], []
@@ -93,41 +100,69 @@ class Tokens(dict):
         kind = np.where(number, 1, np.where(unit, 2, np.where(word & (flags & TITLED > 0) & ~start, 3, 0)))
         out = np.flatnonzero(number | unit | word)
         kind = kind[out]
-        return tokens, np.searchsorted(sizes, out, "right"), out, kind, np.where(kind > 0, PLACE_HASHES[kind], self.hashes[at[out]])
+        return tokens, np.searchsorted(sizes, out, "right"), out, kind, np.where(kind > 0, PLACE_HASHES[kind], self.hashes[at[out]]), self.values[at[out]]
+
+
+def value(token: str, number: int) -> str:
+    return token.rstrip(".,:/") if number else token.lower()
 
 
 def slot(token: str, kind: int) -> str:
     """The placeholder and the value that it stands for; nothing for a literal word."""
-    return PLACES[kind] + (token.rstrip(".,:/") if kind == 1 else token.lower()) if kind else ""
+    return PLACES[kind] + value(token, kind == 1) if kind else ""
 
 
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hashes of all windows of ``size`` words, by Horner's rule over the words' hashes."""
+def window_hashes(words: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of all windows of ``size`` words, by Horner's rule over the words' hashes; with ``at``, others of the windows there."""
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, size, np.uint64)
+    out = np.full(n, size, np.uint64) if at is None else np.full(len(at), size + 256, np.uint64)
     for k in range(size):
-        out = (out ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ (words[k : k + n] if at is None else words[at + k])) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
 
-def _windows(texts: list[str | None], sizes: list[int] | None, known: Tokens, allowed: np.ndarray | None) -> Iterator[tuple[int, int, str, int, int]]:
-    """Number of the text, hash, slots, size and place of windows; without ``sizes``, one text's windows, or the whole of it if it is short."""
-    tokens, of, out, kind, hashes = known.templates(texts)
+def _windows(texts: list[str | None], sizes: list[int], known: Tokens, allowed: np.ndarray | None) -> Iterator[tuple[int, int, str, int, int]]:
+    """Number of the text, hash, slots, size and place of windows; those poor in literals have the hash of their values and no slots."""
+    tokens, of, out, kind, hashes, values = known.templates(texts)
     literal = np.concatenate([[0], np.cumsum(kind == 0)])
     first = np.searchsorted(of, np.arange(len(texts)))
-    for size in sizes if sizes is not None else [min(WINDOW, len(out))]:
-        h = window_hashes(hashes, size) if size else np.empty(0, np.uint64)
+    for size in sizes:
+        h = window_hashes(hashes, size)
         if not len(h):
             continue
-        keep = (literal[size:] - literal[:-size] >= MIN_LITERAL) & (of[size - 1 :] == of[: len(h)])
+        keep = of[size - 1 :] == of[: len(h)]
+        poor = keep & (literal[size:] - literal[:-size] < MIN_LITERAL)
+        at = np.flatnonzero(poor)
+        h[at] = window_hashes(values, size, at)
         if allowed is not None:
             bit = h & np.uint64(FILTER_BITS - 1)
             keep &= (allowed[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
         for i in np.flatnonzero(keep):
-            yield int(of[i]), int(h[i].astype(np.int64)), "\x1f".join(slot(tokens[j], k) for j, k in zip(out[i : i + size], kind[i : i + size], strict=True)), size, int(i - first[of[i]])
+            slots = "\x1f" * (size - 1) if poor[i] else "\x1f".join(slot(tokens[j], k) for j, k in zip(out[i : i + size], kind[i : i + size], strict=True))
+            yield int(of[i]), int(h[i].astype(np.int64)), slots, size, int(i - first[of[i]])
+
+
+def _item_windows(text: str | None, known: Tokens) -> Iterator[tuple[str, int, int, int, bool]]:
+    """Hash, slots, size, place of an item's windows, or of the whole of it if it is short; then (reread) those of their other readings."""
+    spans = [m.span() for m in TOKEN.finditer(text or "")]
+    out = known.templates([text])[2]
+    size = min(WINDOW, len(out))
+    if not size:
+        return
+    seen = set()
+    for _, h, slots, _, place in _windows([text], [size], known, None):
+        seen.add((h, slots, place))
+        yield h, slots, size, place, False
+    parts = [text[spans[a][0] : spans[b][1]] for a, b in zip(out, out[size - 1 :], strict=False)]
+    for before, lead in CONTEXTS:
+        for begin, end in _groups(parts, GROUP_CHARS):
+            for k, h, slots, _, place in _windows([before + p for p in parts[begin:end]], [size], known, None):
+                if place == lead and (h, slots, begin + k) not in seen:
+                    seen.add((h, slots, begin + k))
+                    yield h, slots, size, begin + k, True
 
 
 def _groups(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
@@ -148,10 +183,12 @@ def _windows_of(frame: DataFrame, key: str, sizes: list[int] | None, allowed) ->
         known, bits = Tokens(), None if allowed is None else np.frombuffer(allowed.value, np.uint8)
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
-            groups = ((i, i + 1) for i in range(len(ids))) if sizes is None else _groups(texts, GROUP_CHARS)
-            rows = [(ids[a + k], *w) for a, b in groups for k, *w in _windows(texts[a:b], sizes, known, bits)]
+            if sizes is None:
+                rows = [(i, *w) for i, text in zip(ids, texts, strict=True) for w in _item_windows(text, known)]
+            else:
+                rows = [(ids[a + k], *w, False) for a, b in _groups(texts, GROUP_CHARS) for k, *w in _windows(texts[a:b], sizes, known, bits)]
             if rows:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "hash", "slots", "size", "place"]), pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("slots", pa.string()), ("size", pa.int32()), ("place", pa.int32())]), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "hash", "slots", "size", "place", "reread"]), pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("slots", pa.string()), ("size", pa.int32()), ("place", pa.int32()), ("reread", pa.bool_())]), preserve_index=False)
 
     return frame.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(cut, SCHEMA)
 
@@ -171,13 +208,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     cut = _windows_of(benchmark, "item_id", None, None).withColumnRenamed("doc_id", "item_id")
     # A window that an item repeats stands at its first place only, so that repetitive items meet each window of a document once.
-    items = cut.groupBy("item_id", "hash", "size", F.col("slots").alias("item_slots")).agg(F.min("place").alias("item_place"))
+    # The item's own reading goes before others.
+    items = cut.groupBy("item_id", "hash", "size", F.col("slots").alias("item_slots")).agg(F.min(F.struct("reread", "place")).alias("at")).select("item_id", "hash", "size", "item_slots", F.col("at.place").alias("item_place"), "at.reread")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WINDOW numbers at most
     allowed = spark.sparkContext.broadcast(_bitmap(items))
-    found = _windows_of(docs, "doc_id", sizes, allowed).distinct()
+    found = _windows_of(docs, "doc_id", sizes, allowed).drop("reread").distinct()
     # Windows that only share the bitmap's bit go in the join; hot windows of one hash are few per document.
     # Two aggregates read them, so they are written: the documents are cut into windows once.
-    pairs = staged(found.join(items, ["hash", "size"]).withColumn("offset", F.col("place") - F.col("item_place")), "matched-windows")
+    first_word = lambda c: F.substring_index(c, "\x1f", 1)
+    fits = ~F.col("reread") | (first_word("slots") == first_word("item_slots"))
+    pairs = staged(found.join(items, ["hash", "size"]).where(fits).drop("reread").withColumn("offset", F.col("place") - F.col("item_place")), "matched-windows")
     key = ["doc_id", "item_id", "offset"]
     windows = pairs.groupBy(*key).agg(F.countDistinct("hash").alias("n_windows"))
     plain = F.regexp_replace("slots", "\x1f", "") == ""

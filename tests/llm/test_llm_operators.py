@@ -264,6 +264,16 @@ def test_decontamination_catches_other_numbers_and_names(spark):
     assert decontamination.find_leaks(awkward(spark), items).count() == 0 and decontamination.find_leaks(empty(spark), items).count() == 0
 
 
+def test_decontamination_reads_first_words_in_all_ways(spark):
+    said = ["What river flows through the old town of Linz?", "A Boy sells nine red apples at the market", "What is 12 times 7?", "In 1999"]
+    items = spark.createDataFrame(list(enumerate(said)), "item_id long, text string")
+    leads = ["", "Question: ", "He said, \"", "Question 1: ", "1. ", "1 ", "It ended. "]
+    texts = [f"{lead}{t} and so on" for t in said for lead in leads]
+    wrong = ["Question: Which river flows through the old town of Linz?", "1. M Boy sells nine red apples at the market", "What is 13 times 7?", "Question: Who is 12 times 7?", "In 1998"]
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, texts + wrong), items).collect()}
+    assert got == {(k, k // len(leads)) for k in range(len(texts))}
+
+
 def test_decontamination_against_windows(spark):
     con, size = duck("/root/testdata/sf0.01"), 8
     cut = lambda t: {tuple(w[i : i + size]) for w in [re.findall(r"\w+", (t or "").lower())] for i in range(len(w) - size + 1)}
