@@ -8,7 +8,9 @@ equally far apart in document and item are one alignment, and the slots of each
 alignment are compared: a document matches when in some alignment each
 placeholder of the item stands for one value in the document and the other way
 round, so that a question with other numbers or names is still caught, also
-beside the original, and windows that only share the shape are not.
+beside the original, and windows that only share the shape are not.  Windows
+whose slots hold the item's own values are verbatim and match by themselves; in
+an alignment that is not consistent they alone count.
 
 A name is a capitalised word inside a sentence; a unit is one of ``UNITS`` after
 a number.  How the first words of a passage read so hangs on what stands before
@@ -219,11 +221,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     fits = ~F.col("reread") | (first_word("slots") == first_word("item_slots"))
     pairs = staged(found.join(items, ["hash", "size"]).where(fits).drop("reread").withColumn("offset", F.col("place") - F.col("item_place")), "matched-windows")
     key = ["doc_id", "item_id", "offset"]
-    windows = pairs.groupBy(*key).agg(F.countDistinct("hash").alias("n_windows"))
+    same = F.col("slots") == F.col("item_slots")
+    windows = pairs.groupBy(*key, "hash").agg(F.max(same.cast("int")).alias("same")).groupBy(*key).agg(F.count("*").alias("n_windows"), F.sum("same").alias("same_windows"))
     plain = F.regexp_replace("slots", "\x1f", "") == ""
-    slots = pairs.where(~plain).select(*key, F.explode(F.arrays_zip(F.split("slots", "\x1f").alias("d"), F.split("item_slots", "\x1f").alias("i"))).alias("z")).where("z.i <> ''").select(*key, F.col("z.d").alias("d"), F.col("z.i").alias("i")).distinct()
-    ambiguous = slots.groupBy(*key).agg(F.count("*").alias("pairs"), F.countDistinct("d").alias("values"), F.countDistinct("i").alias("n_slots"))
-    judged = windows.join(ambiguous, key, "left").fillna(0, ["pairs", "values", "n_slots"])
+    slots = pairs.where(~plain).select(*key, same.cast("int").alias("same"), F.explode(F.arrays_zip(F.split("slots", "\x1f").alias("d"), F.split("item_slots", "\x1f").alias("i"))).alias("z")).where("z.i <> ''").groupBy(*key, F.col("z.d").alias("d"), F.col("z.i").alias("i")).agg(F.max("same").alias("same"))
+    ambiguous = slots.groupBy(*key).agg(F.count("*").alias("pairs"), F.countDistinct("d").alias("values"), F.countDistinct("i").alias("n_slots"), F.sum("same").alias("same_slots"))
+    judged = windows.join(ambiguous, key, "left").fillna(0, ["pairs", "values", "n_slots", "same_slots"])
     consistent = (F.col("pairs") == F.col("values")) & (F.col("pairs") == F.col("n_slots"))
-    best = F.max(F.struct("n_windows", "n_slots")).alias("best")
-    return judged.where(consistent).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_windows", "best.n_slots")
+    counted = F.when(consistent, F.struct("n_windows", "n_slots")).when(F.col("same_windows") > 0, F.struct(F.col("same_windows").alias("n_windows"), F.col("same_slots").alias("n_slots")))
+    judged = judged.withColumn("counted", counted).where(F.col("counted").isNotNull())
+    return judged.groupBy("doc_id", "item_id").agg(F.max("counted").alias("best")).select("doc_id", "item_id", "best.n_windows", "best.n_slots")

@@ -274,6 +274,16 @@ def test_decontamination_reads_first_words_in_all_ways(spark):
     assert got == {(k, k // len(leads)) for k in range(len(texts))}
 
 
+def test_decontamination_reports_verbatim_windows_beside_others(spark):
+    item = "the old baker carries 7 sacks of white flour to the mill by the river and comes home with 7 loaves of fresh bread for all of the town"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    last, first, both = item.replace("7 loaves", "8 loaves"), item.replace("7 sacks", "8 sacks"), item.replace("7 sacks", "9 sacks").replace("7 loaves", "8 loaves")
+    got = {r.doc_id: (r.n_windows, r.n_slots) for r in decontamination.find_leaks(frame(spark, [item, last, first, both]), items).collect()}
+    starts, (a, b) = range(len(item.split()) - 9), [k for k, w in enumerate(item.split()) if w == "7"]
+    without = lambda *at: sum(not any(i <= k < i + 10 for k in at) for i in starts)
+    assert got == {0: (len(starts), 1), 1: (without(b), 1), 2: (without(a), 1), 3: (without(a, b), 0)}
+
+
 def test_decontamination_against_windows(spark):
     con, size = duck("/root/testdata/sf0.01"), 8
     cut = lambda t: {tuple(w[i : i + size]) for w in [re.findall(r"\w+", (t or "").lower())] for i in range(len(w) - size + 1)}
