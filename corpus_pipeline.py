@@ -41,8 +41,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(leaks, "doc_id", "left_anti").select(COLUMNS)
+    # By a key of the row, so that rows without an id, or with the id of others, go by their own text.
+    key = F.xxhash64("doc_id", "text")
+    leaks = decontamination.find_leaks(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row_key")).distinct()
+    return docs.select(*COLUMNS, key.alias("row_key")).join(leaks, "row_key", "left_anti").select(COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

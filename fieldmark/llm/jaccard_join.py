@@ -338,7 +338,9 @@ def similarity_classes(docs: DataFrame, size: int = 5, p: int = 80, q: int = 100
     classes = summary.where("vertex is not null and doc_id is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
     hubs = shared.groupBy("vertex").agg(F.min("first").alias("hub"))
     sets = staged(sets_of(docs, hubs.join(classes, "vertex"), size), "shingles")
-    same_id = summary.where("vertex is not null and doc_id is not null").groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b").select("a", "b")
+    named = summary.where("vertex is not null and doc_id is not null").select("doc_id", F.col("vertex").alias("b"))
+    several = named.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("most")).where("a <> most").drop("most")
+    same_id = named.join(several, "doc_id").where("a <> b").select("a", "b").distinct()
     root = F.coalesce("root", "vertex")
 
     def still_open(labels: DataFrame) -> DataFrame:

@@ -49,3 +49,11 @@ def test_line_stage_leaves_no_stubs_of_copies(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in c.without_repeated_lines(spark, frame(spark, texts), SF).collect()}
     own = {12 + i: f" \t\n\nown {i}" for i in range(2)}
     assert got == {i: (t, len(t or "")) for i, t in ({0: copy} | own | {14: "", 15: " \n", 16: None}).items()}
+
+
+def test_benchmark_stage_takes_each_row_by_its_text(spark):
+    ((item,),) = duck(SF).sql("select text from benchmark where length(text) > 80 order by item_id limit 1").fetchall()
+    texts = [(None, f"So: {item}"), (None, "clean"), (7, item), (7, "also clean"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.text) for r in c.without_benchmark(spark, docs, SF).collect()}
+    assert got == {(None, "clean"), (7, "also clean"), (8, None)}

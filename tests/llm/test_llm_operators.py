@@ -344,6 +344,12 @@ def test_jaccard_awkward(spark):
     assert jaccard_join.similarity_classes(empty(spark)).count() == 0
 
 
+def test_jaccard_links_all_texts_of_an_id(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(20)) for name in "abcde"]
+    docs = frame(spark, texts).select("doc_id", "text").union(spark.createDataFrame([(9, t) for t in texts], "doc_id long, text string"))
+    assert {r.component_id for r in jaccard_join.similarity_classes(docs).collect()} == {0}
+
+
 # 10 ---------------------------------------------------------------------------------------------
 
 
