@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Used where the session names no shared folder, as in tests on one machine.
-LOCAL_SCRATCH = "/tmp/checkpoints"
+_own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared folder of the cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """A new folder name below the shared folder of the cluster, ``spark.checkpoint.dir``.
+
+    Where the session names none, a single machine (as in tests) gets a folder of
+    its own; a cluster is refused, since its executors share no local folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="fieldmark-"))
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -25,7 +33,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    done = df.sparkSession.read.schema(df.schema).parquet(path)
+    done.scratch = path
+    return done
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later step reads."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

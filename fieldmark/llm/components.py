@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,5 +29,6 @@ def component_labels(links: DataFrame) -> DataFrame:
         after = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if after == state or not after["n"]:
             return edges.select(F.col("a").alias("vertex"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b"))).distinct()
-        state = after
+        state, before = after, edges
         edges = staged(_stars(_stars(edges, True), False), "links")
+        discard(before)

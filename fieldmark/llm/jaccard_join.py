@@ -16,19 +16,28 @@ do, and of any other pair one has a non-empty subset that both index: no pair
 is lost.
 
 Equal sets collapse to one vertex first.  Vertices that share an entry form a
-bucket; equal buckets collapse.  Each vertex is compared with its hub, the least
-of its buckets' first vertices, and components are built from the verified
-links.  Buckets that still span several components compare their vertices with
-their first one, where the components differ, and those open after that their
-remaining pairs across components, block against block; sizes come first and a
-profile of 64 counts, whose distance is at most the number of shingles in which
-two sets differ.  All pairs that share an entry are therefore verified, ruled
-out for certain or already connected.
+bucket; equal buckets collapse.  Pairs are ruled out by size and by profile: the
+distance of two profiles (``BINS`` counts of a set's hashes) is at most the
+number of shingles in which the sets differ, so nothing that is similar is ruled
+out.  Only sets of pairs that pass ever travel.
+
+1. Stars: each vertex is compared with the first vertex of each of its buckets.
+2. Buckets that then still span several components are searched in tasks for
+   pairs across components that size and profile allow.  A task returns no pairs
+   but the forest that connects them; its trees are groups.
+3. The sets of a group meet, are compared exactly across components, and the
+   task returns the links that merge components, no others.
+
+Large buckets and groups are dealt in blocks.  Their main component is cut into
+blocks of its own that meet the other components' vertices but not each other,
+so that a group of near copies which a star has already connected costs its size
+and not its square.
 
 Defined results: documents without words are linked with nothing; rows with one
 doc_id are one document (they share a component); a null doc_id links with
-nothing and has a null component; extra columns are ignored.  Sets are compared
-as 64-bit hashes of shingles and told apart by a 64-bit key.
+nothing and has a null component; extra columns are ignored.  Shingles are
+compared as 64-bit hashes.  Sets are named by 64-bit keys; a second key tells
+when two sets got one name, and all are then named anew under another seed.
 """
 
 from __future__ import annotations
@@ -42,21 +51,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 from .components import component_labels
-from .shingles import WordHashes, mix, set_key, shingle_set
+from .shingles import WordHashes, mix, set_keys, shingle_set
 
 #: Chance that two unrelated sets share what fills a segment, given that it is nearly empty.
 COLLIDE = 1e-4
 #: Buckets above so many vertices stream through without being compared with others.
 LONG_RUN = 1_000_000
 #: Counts in a set's profile; vertices in a block of a bucket; rows that small buckets share a task by.
-BINS, BLOCK, PACK = 64, 2048, 20_000
-#: Ids of vertices, 8 bytes each, that are sent to all tasks at most.
-FEW = 200_000
-#: Sets that meet in a task when pairs are verified, and in a block of a larger group.
-SETS = 512
-SUMMARY = "doc_id long, n_shingles long, vertex long, band int"
+BINS, BLOCK, PACK = 256, 2048, 20_000
+#: Ids of vertices, 8 bytes each, that are sent to all tasks at most; beyond, texts are shuffled to them.
+FEW = 500_000
+#: Sets that meet in a task, and in a block of a larger group; pairs that a task looks at together.
+SETS, SLAB = 512, 400_000
+SUMMARY = "doc_id long, n_shingles long, vertex long, other_key long, band int, profile binary"
 
 
 class Bands:
@@ -114,23 +123,27 @@ def segment_entries(shingles: np.ndarray, band: int, plan: tuple[int, int, int])
     return np.unique(np.concatenate([whole, mix(total[segment[near]] - shingles[near] + name[segment[near]])]))
 
 
-def summarise(docs: DataFrame, size: int, p: int, q: int) -> DataFrame:
-    """doc_id, n_shingles, vertex (key of the set) and size band of every row."""
+def profile(shingles: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def summarise(docs: DataFrame, size: int, p: int, q: int, seed: int = 0) -> DataFrame:
+    """doc_id, n_shingles, vertex and other_key (keys of the set), size band and profile of every row."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands = WordHashes(), Bands(p, q)
         for batch in batches:
             sets = [shingle_set(hashes.of(t.as_py()), size) for t in batch.column("text")]
             n = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([bands.of(k) for k in n], pa.int32())],
-                ["doc_id", "n_shingles", "vertex", "band"],
-            )
+            keys = [set_keys(s, seed) if len(s) else (None, None) for s in sets]
+            columns = [n, [k for k, _ in keys], [k for _, k in keys], [bands.of(k) for k in n], [profile(s) if len(s) else None for s in sets]]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["doc_id", "n_shingles", "vertex", "other_key", "band", "profile"])
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(one, SUMMARY)
 
 
-def index_entries(docs: DataFrame, size: int, p: int, q: int, plans: dict[int, tuple[int, int, int]]) -> DataFrame:
+def index_entries(docs: DataFrame, size: int, p: int, q: int, plans: dict[int, tuple[int, int, int]], seed: int = 0) -> DataFrame:
     """entry, vertex: each distinct set of a task once, under its own band and the one below."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +152,7 @@ def index_entries(docs: DataFrame, size: int, p: int, q: int, plans: dict[int, t
             found, keys = [], []
             for text in batch.column("text"):
                 s = shingle_set(hashes.of(text.as_py()), size)
-                if not len(s) or (key := set_key(s)) in seen:
+                if not len(s) or (key := set_keys(s, seed)[0]) in seen:
                     continue
                 seen.add(key)
                 own = bands.of(len(s))
@@ -208,156 +221,233 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         yield tuple(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
 
 
-def sets_of(docs: DataFrame, vertices: DataFrame, size: int) -> DataFrame:
-    """vertex, hub, n, shingles (n sorted 64-bit hashes) and profile for the vertices (vertex, hub, doc_id), read from their documents."""
+def fits(pairs: DataFrame, vertices: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) that sizes and profiles do not rule out."""
 
-    def profile(s: np.ndarray) -> bytes:
-        return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("pa", "pb"))
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = np.abs(x - y).sum(1) * (q + p) <= n * (q - p)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    side = lambda k: vertices.select(F.col("vertex").alias(k), F.col("n").alias(f"n{k}"), F.col("profile").alias(f"p{k}"))
+    sized = pairs.join(side("b"), "b").join(side("a"), "a").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
+    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(near, "a long, b long")
+
+
+def sets_of(docs: DataFrame, vertices: DataFrame, size: int, seed: int) -> DataFrame:
+    """vertex and shingles (sorted 64-bit hashes) of the ``vertices`` (vertex, doc_id), read from their documents."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(hashes.of(t.as_py()), size) for t in batch.column("text")]
-            columns = [[set_key(s) if len(s) else None for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets], [profile(s) for s in sets]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["found", "n", "shingles", "profile"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_keys(s, seed)[0] if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["vertex", "shingles"])
 
-    chosen = vertices.select(F.col("doc_id").alias("_id")).distinct()
+    ids = staged(vertices.select(F.col("doc_id").alias("_id")).distinct(), "wanted")
+    chosen = F.broadcast(ids) if ids.count() <= FEW else ids
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
-    found = texts.mapInArrow(one, "found long, n long, shingles binary, profile binary").dropDuplicates(["found"])
-    return found.join(vertices.select("vertex", "hub"), F.col("found") == F.col("vertex")).select("vertex", "hub", "n", "shingles", "profile")
+    # An id in several rows has several sets; only those asked for stay, once.
+    return texts.mapInArrow(one, "vertex long, shingles binary").join(vertices.select("vertex"), "vertex", "left_semi").dropDuplicates(["vertex"])
 
 
-def near_pairs(rest: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """a, b: pairs of a bucket (bucket, vertex, first, root) from different roots that size and profile do not rule out."""
+def shared_shingles(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[frame["vertex"] != frame["first"]].sort_values(["bucket", "vertex"])
-        bucket, vertex, root, block, n = (frame[c].to_numpy() for c in ("bucket", "vertex", "root", "block", "n"))
-        counts = np.frombuffer(b"".join(frame["profile"]), np.uint8).reshape(len(frame), BINS).astype(np.int16)
-        across = len(frame) and frame["i"].iloc[0] != frame["j"].iloc[0]
-        ends = np.searchsorted(bucket, bucket, "right")
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for x in range(len(frame)):
-            y = np.arange(x + 1, ends[x])
-            y = y[(root[y] != root[x]) & (q * np.minimum(n[y], n[x]) >= p * np.maximum(n[y], n[x]))]
-            y = y[block[y] != block[x]] if across else y
-            if len(y):
-                y = y[np.abs(counts[y] - counts[x]).sum(1) * (q + p) <= (n[y] + n[x]) * (q - p)]
-                left.append(np.full(len(y), vertex[x]))
-                right.append(vertex[y])
-        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
-
-    packs = max(1, -(-rest.count() // PACK))
-    blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    known = sets.select("vertex", "n", "profile")
-    rows = rest.join(known, "vertex").join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("vertex"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    large = F.col("blocks") > 1
-    dealt = rows.select(
-        "bucket", "vertex", "first", "root", "block", "n", "profile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(large, F.col("bucket")).otherwise(F.pmod("bucket", F.lit(packs))).alias("pack"), large.alias("large"),
-    )
-    return dealt.groupBy("large", "pack", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
-
-def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of some vertices; up to ``FEW`` ids go to all tasks, so that other sets need not be shuffled."""
-    ids = staged(ids.distinct(), "wanted")
-    return sets.join(F.broadcast(ids) if ids.count() <= FEW else ids, "vertex", "left_semi")
-
-
-def similar(rows: DataFrame, p: int, q: int) -> DataFrame:
-    """a, b of the rows (a, b, x, y) whose sets x and y have q * intersection >= p * union."""
+def similar(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) whose sets have q * intersection >= p * union."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = shared_shingles(x, y)
                 keep.append(q * both >= p * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
-
-
-def verify_hubs(sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The similar pairs of a vertex (b) and its hub (a): each set travels once, to its hub."""
-    others = sets.where("vertex <> hub")
-    hubs = only(sets, others.select(F.col("hub").alias("vertex"))).select(F.col("vertex").alias("a"), F.col("shingles").alias("x"), F.col("n").alias("na"))
-    near = others.select(F.col("hub").alias("a"), F.col("vertex").alias("b"), F.col("shingles").alias("y"), F.col("n").alias("nb"))
-    return similar(near.join(hubs, "a").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb")), p, q)
+    side = lambda k, c: sets.select(F.col("vertex").alias(k), F.col("shingles").alias(c))
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
+
+
+def dealt(rows: DataFrame, group: str, near: str, block: int, packs: int) -> DataFrame:
+    """``rows`` (with group, vertex, root) under the tasks (large, pack, i, j) that they take part in.
+
+    Small groups share tasks, those with equal ``near`` the same one.  Of a group
+    above ``block`` vertices the main component is cut into blocks of its own;
+    every two blocks meet in a task, but for two of the main component.
+    """
+    of_root = rows.groupBy(group, "root").agg(F.count("*").alias("k"))
+    of_group = of_root.groupBy(group).agg(F.sum("k").alias("total"), F.max("k").alias("top"), F.max_by("root", F.struct("k", "root")).alias("main"))
+    large = F.col("total") > block
+    mains = F.when(large, F.ceil(F.col("top") / block)).otherwise(0)
+    others = F.when(large, F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("top")) / block))).otherwise(1)
+    plan = of_group.select(group, large.alias("large"), "main", mains.cast("long").alias("mains"), others.cast("long").alias("others"))
+    placed = rows.join(plan, group)
+    at = F.when((F.col("mains") > 0) & (F.col("root") == F.col("main")), F.pmod(F.xxhash64("vertex"), F.greatest("mains", F.lit(1))))
+    placed = placed.withColumn("at", at.otherwise(F.col("mains") + F.pmod(F.xxhash64("vertex"), "others")))
+    last = F.col("mains") + F.col("others") - 1
+    placed = placed.withColumn("meets", F.explode(F.sequence(F.when(F.col("at") < F.col("mains"), F.col("mains")).otherwise(F.lit(0).cast("long")), last)))
+    pack = F.when(F.col("large"), F.col(group)).otherwise(F.pmod(F.xxhash64(near), F.lit(packs)))
+    return placed.select("large", pack.alias("pack"), F.least("at", "meets").alias("i"), F.greatest("at", "meets").alias("j"), F.col(group).alias("of"), "vertex", "root", "at")
+
+
+TASK = ["large", "pack", "i", "j"]
+
+
+class Forest:
+    """Union-find over small integers."""
+
+    def __init__(self, size: int):
+        self.parent = list(range(size))
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were apart."""
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def close_pairs(group: np.ndarray, n: np.ndarray, root: np.ndarray, at: np.ndarray, levels: list[np.ndarray], p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions of two rows of a group, and their profiles' distance, of different roots, that sizes and profiles allow.
+
+    Rows are sorted by group and size.  ``levels`` are profiles, coarse ones first.  If
+    rows lie in two blocks (``at``), only pairs across them.
+    """
+    ends = np.searchsorted(group, group, "right")
+    order = n.astype(np.int64) * p
+    limit = n.astype(np.int64) * q
+    last = np.empty(len(n), np.int64)
+    for a, b in zip(*(lambda s: (s, np.append(s[1:], len(n))))(np.unique(ends, return_index=True)[1]), strict=True):
+        last[a:b] = a + np.searchsorted(order[a:b], limit[a:b], "right")
+    width = np.maximum(last - np.arange(len(n)) - 1, 0)
+    total = np.concatenate([[0], width.cumsum()])
+    start = 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + SLAB, "right")) - 1)
+        w = width[start:stop]
+        x = np.repeat(np.arange(start, stop), w)
+        y = np.arange(w.sum()) - np.repeat(total[start:stop] - total[start], w) + x + 1
+        keep = (root[x] != root[y]) & (at[x] != at[y] if len(at) and at.min() != at.max() else True)
+        x, y = x[keep], y[keep]
+        for level in levels:
+            far = np.abs(level[x] - level[y]).sum(1, dtype=np.int64)
+            keep = far * (q + p) <= (n[x] + n[y]) * (q - p)
+            x, y, far = x[keep], y[keep], far[keep]
+        if len(x):
+            yield x, y, far
+        start = stop
+
+
+def levels_of(profiles: np.ndarray) -> list[np.ndarray]:
+    fine = profiles.astype(np.int16)
+    return [fine.reshape(len(fine), k, -1).sum(2, dtype=np.int16) for k in (16, 64)] + [fine]
+
+
+def open_groups(rest: DataFrame, vertices: DataFrame, p: int, q: int) -> DataFrame:
+    """a, b: a forest that connects the vertices of different roots which share a bucket (bucket, vertex, first, root) and which sizes and profiles allow to be similar."""
+
+    def search(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(known):
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        known = known.sort_values("vertex")
+        ids, size = known["vertex"].to_numpy(), known["n"].to_numpy()
+        levels = levels_of(np.frombuffer(b"".join(known["profile"]), np.uint8).reshape(len(ids), BINS))
+        of = np.searchsorted(ids, rows["vertex"].to_numpy())
+        order = np.lexsort((size[of], rows["of"].to_numpy()))
+        of, bucket, root, at = of[order], *(rows[c].to_numpy()[order] for c in ("of", "root", "at"))
+        forest, out = Forest(len(ids)), []
+        for x, y, _ in close_pairs(bucket, size[of], root, at, [level[of] for level in levels], p, q):
+            for pair in np.unique(of[x] * len(ids) + of[y]).tolist():
+                v, w = divmod(pair, len(ids))
+                if forest.join(v, w):
+                    out.append((ids[v], ids[w]))
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
+    packs = max(1, -(-rest.count() // PACK))
+    rows = dealt(rest, "bucket", "first", BLOCK, packs)
+    # New columns, as both sides stem from one table.
+    known = rows.select(*[F.col(c).alias(c) for c in (*TASK, "vertex")]).distinct().join(vertices, "vertex")
+    return rows.groupBy(*TASK).cogroup(known.groupBy(*TASK)).applyInPandas(search, "a long, b long")
 
-def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The similar pairs among ``pairs`` (a, b); sizes and profiles are compared before sets travel."""
 
-    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("pa", "pb"))
-            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            keep = np.abs(x - y).sum(1) * (q + p) <= n * (q - p)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+def merging_links(groups: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """a, b: similar vertices of a group (group, vertex, root), of different roots; only links that merge components of a task."""
 
-    side = lambda k: sets.select(F.col("vertex").alias(k), F.col("n").alias(f"n{k}"), F.col("profile").alias(f"p{k}"))
-    fits = pairs.join(side("a"), "a").join(side("b"), "b").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
-    left = staged(fits.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(plausible, "a long, b long"), "plausible")
-    # Pairs hang together in groups; the sets of a group, or of two blocks of a large one, meet once for all its pairs.
-    groups = component_labels(left)
-    count = groups.count()
-    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / SETS).alias("blocks"))
-    large = F.col("blocks") > 1
-    pack = F.when(large, F.col("root")).otherwise(F.pmod("root", F.lit(max(1, -(-count // SETS)))))
-    placed = staged(groups.join(blocks, "root").select("vertex", pack.alias("pack"), large.alias("large"), F.when(large, F.pmod(F.xxhash64("vertex"), "blocks")).otherwise(0).alias("block"), "blocks"), "groups")
-    known = sets.select("vertex", "shingles").join(F.broadcast(placed) if count <= FEW else placed, "vertex")
-    known = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = known.select(F.col("pack").alias("pack"), F.col("large").alias("large"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "vertex", "shingles")
-    own = placed.select(F.col("vertex").alias("a"), "pack", "large", F.col("block").alias("i"))
-    pairs = left.join(own, "a").join(placed.select(F.col("vertex").alias("b"), F.col("block").alias("j")), "b").select("pack", "large", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "b")
-
-    def compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        of = {v: np.frombuffer(s, np.uint64) for v, s in zip(sets["vertex"], sets["shingles"], strict=True)} if len(pairs) else {}
-        keep = []
-        for x, y in zip(pairs["a"], pairs["b"], strict=True):
-            x, y = of[x], of[y]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(q * both >= p * (len(x) + len(y) - both))
-        return pairs.loc[np.array(keep, bool), ["a", "b"]]
-
-    key = ["pack", "large", "i", "j"]
-    return pairs.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(compare, "a long, b long")
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.assign(n=[len(s) // 8 for s in frame["shingles"]]).sort_values(["of", "n", "vertex"])
+        group, n, root, at, vertex = (frame[c].to_numpy() for c in ("of", "n", "root", "at", "vertex"))
+        sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
+        roots, known = np.unique(root, return_inverse=True)
+        forest, out = Forest(len(roots)), []
+        levels = levels_of(np.frombuffer(b"".join(map(profile, sets)), np.uint8).reshape(len(sets), BINS))
+        for x, y, far in close_pairs(group, n, root, at, levels, p, q):
+            nearest = np.argsort(far, kind="stable")  # likely links first, since they spare others
+            for v, w in zip(x[nearest].tolist(), y[nearest].tolist(), strict=True):
+                if forest.root(known[v]) != forest.root(known[w]):
+                    both = shared_shingles(sets[v], sets[w])
+                    if q * both >= p * (n[v] + n[w] - both):
+                        forest.join(known[v], known[w])
+                        out.append((vertex[v], vertex[w]))
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    packs = max(1, -(-groups.count() // SETS))
+    rows = dealt(groups, "group", "group", SETS, packs).join(sets, "vertex")
+    return rows.groupBy(*TASK).applyInPandas(compare, "a long, b long")
+
+
+def named_sets(docs: DataFrame, size: int, p: int, q: int) -> tuple[int, DataFrame]:
+    """A seed under which no two sets have one name, and the summary under it."""
+    for seed in range(8):
+        summary = staged(summarise(docs, size, p, q, seed), "sets")
+        if summary.groupBy("vertex").agg(F.min("other_key").alias("a"), F.max("other_key").alias("b")).where("a <> b").isEmpty():
+            return seed, summary
+        discard(summary)
+    raise ValueError("sets share their keys under every seed")
 
 
 def similarity_classes(docs: DataFrame, size: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: components of similarity p/q or more on ``size``-word shingles."""
-    summary = staged(summarise(docs, size, p, q), "sets")
+    seed, summary = named_sets(docs, size, p, q)
     counts = {r["band"]: r["n"] for r in summary.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row per size band
     bands = Bands(p, q)
     plans = {b: allocate(bands, b, counts.get(b, 0) + counts.get(b + 1, 0)) for k in counts if k >= 0 for b in (k - 1, k) if b >= 0}
-    shared = staged(buckets(index_entries(docs, size, p, q, plans)), "buckets")
-    classes = summary.where("vertex is not null and doc_id is not null").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
-    hubs = shared.groupBy("vertex").agg(F.min("first").alias("hub"))
-    sets = staged(sets_of(docs, hubs.join(classes, "vertex"), size), "shingles")
-    named = summary.where("vertex is not null and doc_id is not null").select("doc_id", F.col("vertex").alias("b"))
-    several = named.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("most")).where("a <> most").drop("most")
-    same_id = named.join(several, "doc_id").where("a <> b").select("a", "b").distinct()
+    named = summary.where("vertex is not null and doc_id is not null")
+    first = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "profile")).alias("r")
+    vertices = staged(named.groupBy("vertex").agg(first).select("vertex", "r.*"), "vertices")
+    known = vertices.select("vertex", "n", "profile")
+    shared = staged(buckets(index_entries(docs, size, p, q, plans, seed)), "buckets")
     root = F.coalesce("root", "vertex")
 
-    def still_open(labels: DataFrame) -> DataFrame:
-        """The buckets, with roots, that span several components."""
-        placed = shared.join(labels, "vertex", "left").select("bucket", "vertex", "first", root.alias("root"))
-        spanning = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-        return staged(placed.join(spanning, "bucket"), "open-buckets")
-
-    links = staged(verify_hubs(sets, p, q), "links-found").union(same_id)
-    rest = still_open(component_labels(links))
-    firsts = rest.where("vertex = first").select("bucket", F.col("root").alias("first_root"))
-    tried = rest.join(firsts, "bucket").where("root <> first_root").select(F.col("first").alias("a"), F.col("vertex").alias("b")).distinct()
-    links = links.union(staged(verify(tried, sets, p, q), "links-found"))
-    rest = still_open(component_labels(links))
-    labels = component_labels(links.union(staged(verify(near_pairs(rest, sets, p, q), sets, p, q), "links-found")))
-    rooted = classes.join(labels, "vertex", "left").select("vertex", "doc_id", root.alias("root"))
+    def sets(rows: DataFrame) -> DataFrame:
+        wanted = rows.select("vertex").distinct().join(vertices.select("vertex", "doc_id"), "vertex")
+        return staged(sets_of(docs, staged(wanted, "wanted"), size, seed), "shingles")
+
+    several = named.groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("most")).where("a <> most").drop("most")
+    same_id = named.join(several, "doc_id").where("vertex <> a").select("a", F.col("vertex").alias("b")).distinct()
+    stars = staged(fits(shared.where("vertex <> first").select(F.col("first").alias("a"), F.col("vertex").alias("b")).distinct(), known, p, q), "stars")
+    ends = stars.select(F.explode(F.array("a", "b")).alias("vertex"))
+    links = staged(similar(stars, sets(ends), p, q).union(same_id), "links")
+    labels = component_labels(links)
+    placed = shared.join(labels, "vertex", "left").select("bucket", "vertex", "first", root.alias("root"))
+    spanning = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    rest = staged(placed.join(spanning, "bucket"), "open-buckets")
+    discard(shared, stars)
+    trees = component_labels(open_groups(rest, known, p, q))
+    groups = staged(trees.withColumnRenamed("root", "group").join(labels, "vertex", "left").select("group", "vertex", root.alias("root")), "groups")
+    discard(rest)
+    labels = component_labels(links.union(staged(merging_links(groups, sets(groups), p, q), "links")))
+    rooted = vertices.join(labels, "vertex", "left").select("vertex", "doc_id", root.alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_vertex = rooted.join(least, "root").select(F.col("vertex").alias("_vertex"), "component_id")
-    joined = summary.join(of_vertex, F.col("vertex") == F.col("_vertex"), "left")
+    joined = summary.drop("profile").join(of_vertex, F.col("vertex") == F.col("_vertex"), "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -43,6 +43,9 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def set_key(shingles: np.ndarray) -> int:
-    """A signed 64-bit key of a set, the same for equal sets."""
-    return int(mix(np.array([shingles.sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+def set_keys(shingles: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """Two signed 64-bit keys of a set, the same for equal sets; the second does not depend on ``seed``."""
+    count = np.uint64(len(shingles))
+    own = shingles.sum(dtype=np.uint64) if not seed else mix(shingles + np.uint64(seed) * ODD).sum(dtype=np.uint64)
+    both = mix(np.array([own + count, mix(shingles ^ ODD).sum(dtype=np.uint64) + count], np.uint64)).view(np.int64)
+    return int(both[0]), int(both[1])

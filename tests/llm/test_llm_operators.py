@@ -336,6 +336,55 @@ def test_jaccard_classes(spark, size, p):
     assert got == components_brute([(r[0], r[1]) for r in rows(texts)], size, p, 100)
 
 
+def near_copies(rng, n, base_words, edits):
+    base = [str(rng.randrange(10**6)) for _ in range(base_words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(edits):
+            w[rng.randrange(len(w))] = str(rng.randrange(10**6))
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_jaccard_blocks(spark, monkeypatch, few):
+    """Groups and buckets in many blocks, sets that are shuffled to, and a passage that unlike texts share."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "SETS", 6)
+    monkeypatch.setattr(jaccard_join, "PACK", 5)
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    rng = random.Random(few)
+    texts = [t for e in (2, 3, 4) for t in near_copies(rng, 30, 60, e)]
+    shared = " ".join(str(k) for k in range(60))
+    texts += [f"{shared} {' '.join(str(rng.randrange(10**6)) for _ in range(rng.choice([8, 15, 40])))}" for _ in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similarity_classes(frame(spark, texts), 5, 80, 100).collect()}
+    assert got == components_brute([(r[0], r[1]) for r in rows(texts)], 5, 80, 100)
+
+
+def test_jaccard_large_group_stays_linear(spark, monkeypatch):
+    """5,000 near copies: no step returns more than a few rows for each."""
+    seen, write = {}, jaccard_join.staged
+
+    def counted(df, label):
+        done = write(df, label)
+        seen[label] = max(seen.get(label, 0), done.count())
+        return done
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    texts = near_copies(random.Random(1), 5000, 80, 1)
+    got = jaccard_join.similarity_classes(frame(spark, texts), 5, 80, 100)
+    assert got.select("component_id").distinct().count() == 1
+    assert seen["stars"] < 30 * len(texts) and seen["links"] < 30 * len(texts) and seen["groups"] <= len(texts), seen
+
+
+def test_jaccard_names_sets_anew_where_two_share_a_name(spark, monkeypatch):
+    real = jaccard_join.summarise
+    monkeypatch.setattr(jaccard_join, "summarise", lambda d, size, p, q, seed=0: real(d, size, p, q, seed) if seed else real(d, size, p, q).withColumn("vertex", F.expr("case when vertex is not null then 1L end")))
+    seed, summary = jaccard_join.named_sets(frame(spark, ["a b c", "d e f"]), 2, 80, 100)
+    assert seed == 1 and summary.select("vertex").distinct().count() == 2
+
+
 def test_jaccard_awkward(spark):
     got = jaccard_join.similarity_classes(awkward(spark)).collect()
     assert len(got) == awkward(spark).count()
