@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which is many times as fast as numpy's own hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]])]
+
+
 def words(text: str | None) -> list[bytes]:
     """Words in UTF-8; bytes know only the ASCII letters and white space, as is wanted here."""
     return (text or "").encode().lower().split()

@@ -18,7 +18,6 @@ of toxic labels; repeated rows are scored each; extra columns are ignored.
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import distinct, words
 
 MAX_DOCS, MAX_CHARS, MAX_TEXT = 3000, 3_000_000, 6000
 BUCKETS, DIM, WINDOW, STRIDE, EPOCHS = 1 << 18, 6, 6, 3, 24
@@ -35,14 +34,41 @@ MIN_SEEN, DECAY = 8, 1e-5
 #: Zero vectors averaged into each word, so that a word of few n-grams weighs less.
 SHRINK = 6
 SIZES = range(3, 6)
-CACHE_SIZE = 300_000
-
-
-def subwords(word: bytes) -> np.ndarray:
-    """Distinct buckets of the character n-grams of a word, and of the word."""
-    w = f"<{word.decode()}>"
-    grams = {w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)} | {w}
-    return np.unique([zlib.crc32(g.encode()) % BUCKETS for g in grams])
+#: Words whose scores a task keeps at most (and those of a part); words of a part; what a code point is multiplied by.
+CACHE_SIZE, PART, FACTOR = 400_000, 200_000, 0x100000001B3
+
+
+def subwords(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Position of a word and bucket, for the distinct buckets of each word: its character n-grams, its ends marked, and itself.
+
+    All words at once: they lie in one array of code points with marks between them,
+    and an n-gram is a polynomial of its code points, so that a whole word and an
+    equal n-gram share a bucket.
+    """
+    if not vocabulary:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    text = b"\n" + b"\n".join(vocabulary) + b"\n"  # words hold no white space
+    points = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    marks = np.flatnonzero(points == ord("\n") + 1)
+    start, length = marks[:-1], np.diff(marks) + 1
+    owner = np.repeat(np.arange(len(start)), length - 1)
+    room = np.repeat(marks[1:], length - 1) - np.arange(marks[-1]) + 1  # code points up to the next mark
+    power = np.full(int(length.max()), FACTOR, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    whole = np.add.reduceat(points[:-1] * power[np.arange(marks[-1]) - np.repeat(start, length - 1)], start) + points[marks[1:]] * power[length - 1]
+    hashes, words_at = [whole], [np.arange(len(start))]
+    gram = np.zeros(len(room), np.uint64)
+    for n in range(max(SIZES)):
+        gram[: len(room) - n + 1] += points[n : n + len(room)][: len(room) - n + 1] * power[n] if n < len(power) else np.uint64(0)
+        if n + 1 in SIZES:
+            fits = room >= n + 1
+            hashes.append(gram[fits])
+            words_at.append(owner[fits])
+    mixed = np.concatenate(hashes) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % BUCKETS
+    found = distinct(np.concatenate(words_at) * BUCKETS + bucket)
+    return found // BUCKETS, found % BUCKETS
 
 
 def windows(n: int) -> np.ndarray:
@@ -56,21 +82,20 @@ class Bags:
     def __init__(self, texts: list[list[bytes]]):
         vocab: dict[bytes, int] = {}
         ids = [np.array([vocab.setdefault(w, len(vocab)) for w in t], int) for t in texts]
-        grams = [subwords(w) for w in vocab]
-        self.gram_n = np.array([len(g) for g in grams])
+        self.gram_word, self.grams = subwords(list(vocab))
+        self.gram_n = np.bincount(self.gram_word, minlength=len(vocab))
         self.weight_n = self.gram_n + SHRINK
-        self.grams = np.concatenate(grams)
         self.gram_at = np.concatenate([[0], self.gram_n.cumsum()[:-1]])
         spans = [(d, t[s : s + WINDOW]) for d, t in enumerate(ids) for s in windows(len(t)) if s < len(t)]
         self.doc = np.array([d for d, _ in spans])
         self.word_n = np.array([len(s) for _, s in spans])
         self.words = np.concatenate([s for _, s in spans])
         self.word_at = np.concatenate([[0], self.word_n.cumsum()[:-1]])
-        self.gram_word = np.repeat(np.arange(len(grams)), self.gram_n)
         self.word_window = np.repeat(np.arange(len(spans)), self.word_n)
         self.seen = np.zeros(BUCKETS, int)
+        grams = np.split(self.grams, self.gram_at[1:])
         for t in ids:  # document by document: all pairs at once would be the driver's largest array
-            self.seen[np.unique(np.concatenate([grams[w] for w in set(t.tolist())]))] += 1
+            self.seen[distinct(np.concatenate([grams[w] for w in set(t.tolist())]))] += 1
 
     def forward(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of_words = np.add.reduceat(table[self.grams], self.gram_at) / self.weight_n[:, None]
@@ -147,15 +172,31 @@ class Scorer:
         self.bias = float(model["bias"][1] - model["bias"][0])
         self.cache: dict[bytes, float] = {}
 
-    def word(self, w: bytes) -> float:
+    def learn(self, new: list[bytes]) -> None:
+        """Scores of words, all at once."""
+        word, bucket = subwords(new)
+        n = np.bincount(word, minlength=len(new))
+        self.cache.update(zip(new, (np.bincount(word, self.table[bucket], len(new)) / (n + SHRINK)).tolist(), strict=True))
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Scores of texts, in parts of about ``PART`` words whose new words are learnt together."""
+        out, part, held = [], [], 0
+        for text in texts:
+            part.append(words(text))
+            held += len(part[-1])
+            if held >= PART:
+                out += self.part(part)
+                part, held = [], 0
+        return out + self.part(part)
+
+    def part(self, texts: list[list[bytes]]) -> list[float]:
         if len(self.cache) >= CACHE_SIZE:
             self.cache.clear()
-        self.cache[w] = s = float(self.table[g := subwords(w)].sum() / (len(g) + SHRINK))
-        return s
+        self.learn(list({w for t in texts for w in t if w not in self.cache}))
+        return [self.score(t) for t in texts]
 
-    def score(self, text: str | None) -> float:
-        get = self.cache.get
-        s = np.array([v if (v := get(w)) is not None else self.word(w) for w in words(text)])
+    def score(self, text: list[bytes]) -> float:
+        s = np.fromiter(map(self.cache.__getitem__, text), float, len(text))
         margin = self.bias
         if len(s):
             size = min(WINDOW, len(s))
@@ -195,7 +236,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pickle.loads(shipped.value))
         for batch in batches:
-            scores = [scorer.score(t) for t in batch.column("text").to_pylist()]
+            scores = scorer.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*names, "score", "predicted"])
 
     kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
