@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, distinct, staged
 from .components import component_labels
 from .shingles import WordHashes, mix, set_keys, shingle_set
 
@@ -60,7 +60,7 @@ COLLIDE = 1e-4
 #: Buckets above so many vertices stream through without being compared with others.
 LONG_RUN = 1_000_000
 #: Counts in a set's profile; vertices in a block of a bucket; rows that small buckets share a task by.
-BINS, BLOCK, PACK = 256, 2048, 20_000
+BINS, BLOCK, PACK = 256, 2048, 5_000
 #: Ids of vertices, 8 bytes each, that are sent to all tasks at most; beyond, texts are shuffled to them.
 FEW = 500_000
 #: Sets that meet in a task, and in a block of a larger group; pairs that a task looks at together.
@@ -120,7 +120,7 @@ def segment_entries(shingles: np.ndarray, band: int, plan: tuple[int, int, int])
     if not n2:
         return whole
     near = segment < n2
-    return np.unique(np.concatenate([whole, mix(total[segment[near]] - shingles[near] + name[segment[near]])]))
+    return distinct(np.concatenate([whole, mix(total[segment[near]] - shingles[near] + name[segment[near]])]))
 
 
 def profile(shingles: np.ndarray) -> bytes:
@@ -367,7 +367,7 @@ def open_groups(rest: DataFrame, vertices: DataFrame, p: int, q: int) -> DataFra
         of, bucket, root, at = of[order], *(rows[c].to_numpy()[order] for c in ("of", "root", "at"))
         forest, out = Forest(len(ids)), []
         for x, y, _ in close_pairs(bucket, size[of], root, at, [level[of] for level in levels], p, q):
-            for pair in np.unique(of[x] * len(ids) + of[y]).tolist():
+            for pair in distinct(of[x] * len(ids) + of[y]).tolist():
                 v, w = divmod(pair, len(ids))
                 if forest.join(v, w):
                     out.append((ids[v], ids[w]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import words
+from .common import distinct, words
 
 CACHE_SIZE = 400_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -40,7 +40,7 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     out = np.full(len(hashes) - span + 1, span, np.uint64)
     for k in range(span):
         out = mix(out + hashes[k : k + len(out)] * ODD)
-    return np.unique(out)
+    return distinct(out)
 
 
 def set_keys(shingles: np.ndarray, seed: int = 0) -> tuple[int, int]:
