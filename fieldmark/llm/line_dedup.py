@@ -1,9 +1,10 @@
 """Operator 10, line dedup with keep bitmaps (DataFrame functions only).
 
-Lines are hashed, range-partitioned by (hash, document) and sorted by (hash,
-document, position).  A hot line so spans many partitions; each partition
-streams its runs into one row per (partition, hash), and only those rows meet
-by hash.  The verdict goes back by (partition, hash), again split.  What comes
+Lines are hashed once into a staged table, range-partitioned by (hash, document)
+and sorted by (hash, document, position).  A hot line so spans many partitions.
+A window streams over the sorted rows and marks where a document first has a
+key; the marked rows are counted by (partition, hash), and only those counts
+meet by hash.  The verdict goes back by (partition, hash), again split.  What comes
 out is one run-length encoded keep bitmap per document that loses lines; texts
 take no part in the shuffles until a caller applies the bitmaps.
 
@@ -14,10 +15,10 @@ bitmap.  Extra columns pass through ``apply_bitmaps`` untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged
+from .common import ascii_lower, discard, staged
 
 STRIP = " \t\n\x0b\x0c\r"
 
@@ -48,11 +49,15 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     (doc_id, version, pos).  ``runs`` holds lengths of alternating runs, kept
     first: [kept, dropped, kept, ...].
     """
-    lines = hashed_lines(docs).where(F.col("chars") >= min_chars)
-    sorted_lines = lines.repartitionByRange("h1", "h2", "doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("h1", "h2", "doc_id", "version", "pos")
-    rows = staged(sorted_lines.drop("chars"), "line-hashes")
+    # Staged before the ranges are sampled, which would else split and hash all texts twice.
+    lines = staged(hashed_lines(docs).where(F.col("chars") >= min_chars).drop("chars"), "line-hashes")
+    ranged = lines.repartitionByRange("h1", "h2", "doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("h1", "h2", "doc_id", "version", "pos")
+    # The ranges hold all rows of a (hash, document), so the window needs neither a shuffle nor a sort.
+    at = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("version", "pos"))
+    rows = staged(ranged.withColumn("opens", at == 1), "sorted-lines")
+    discard(lines)
     place = F.struct("doc_id", "version", "pos")
-    runs = rows.groupBy("part", "h1", "h2", "doc_id").agg(F.min(place).alias("first")).groupBy("part", "h1", "h2").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
+    runs = rows.where("opens").groupBy("part", "h1", "h2").agg(F.count("*").alias("docs"), F.min(place).alias("first"))
     common = runs.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs).drop("docs")
     verdict = runs.select("part", "h1", "h2").join(common, ["h1", "h2"])
     dropped = rows.join(verdict, ["part", "h1", "h2"])
@@ -74,10 +79,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     marks = bitmaps.select(F.struct("doc_id", "version", "n_dropped", "runs").alias("mark"))
     text = F.coalesce("doc.text", F.lit(""))
     joined = packed.join(marks, F.col("doc.doc_id").eqNullSafe(F.col("mark.doc_id")) & (F.xxhash64(text) == F.col("mark.version")), "left").withColumn("lines", split_lines(text)).withColumn("runs", F.col("mark.runs"))
-    # Kept runs stand at even places; each starts after the sum of the runs before it.
-    offsets = F.expr("aggregate(runs, named_struct('at', 0, 'out', cast(array() as array<struct<at: int, n: int>>)), (a, n) -> named_struct('at', a.at + n, 'out', concat(a.out, array(named_struct('at', a.at, 'n', n)))), a -> a.out)")
-    kept_runs = F.filter(offsets, lambda x, i: (i % 2 == 0) & (x["n"] > 0))
-    gone = F.aggregate("runs", F.lit(0), lambda a, n: a + n)
-    pieces = F.concat(F.flatten(F.transform(kept_runs, lambda x: F.slice(F.col("lines"), x["at"] + 1, x["n"]))), F.slice(F.col("lines"), gone + 1, F.greatest(F.size("lines") - gone, F.lit(0))))
+    # Kept runs stand at even places; lines behind the last run have no flag and stay; array_join leaves out nulls.
+    flags = F.flatten(F.transform("runs", lambda n, i: F.array_repeat(i % 2 == 0, n)))
+    pieces = F.zip_with("lines", flags, lambda line, keep: F.when(F.coalesce(keep, F.lit(True)), line))
     kept = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(pieces, "\n"))
     return joined.select("doc.*", kept.alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce("mark.n_dropped", F.lit(0).cast("long")).alias("n_dropped"))

@@ -7,6 +7,7 @@ vocabulary crosses the start of a word or a line feed (checked when the model
 is read), so a text is cut there and each cut is encoded once per worker and
 kept in a bounded cache.  Every cut that enters the cache is checked against the
 sentencepiece library, an Arrow batch at a time; a difference fails the task.
+Decoding starts from the ids of the whole document.
 
 Defined results: a null text is empty (begin and end id only); repeated rows are
 encoded each; extra columns are ignored; texts of any length are encoded whole.
@@ -16,9 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -42,7 +45,13 @@ class BpeModel:
         self.ids = {lib.id_to_piece(i): i for i in range(size) if not kinds[i]}
         self.scores = {p: lib.get_score(i) for p, i in self.ids.items()}
         self.bytes = {b: lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
+        self.byte_ids = set(self.bytes.values())
         self.begin, self.end = lib.bos_id(), lib.eos_id()
+        self.spelt = [b""] * size  # by id
+        for p, i in self.ids.items():
+            self.spelt[i] = p.replace(SPACE, " ").encode()
+        for b, i in self.bytes.items():
+            self.spelt[i] = bytes([b])
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError("a piece crosses the start of a word or a line feed")
         self.cuts = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -108,12 +117,8 @@ class BpeModel:
         for c, own in zip(new, ids, strict=True):
             self.cache[c] = struct.pack(f"<{len(own)}I", *own)
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Per text: its ids as little-endian 32-bit integers with begin and end id, and the decoded text.
-
-        Decoding gives back what was cut, word marks as spaces, less the space put first; that
-        each cut decodes to itself is part of its check.
-        """
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Per text: its ids as little-endian 32-bit integers, with begin and end id."""
         first, last = struct.pack("<I", self.begin), struct.pack("<I", self.end)
         cut = [self.cuts.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
         known, missing = self.cache, set()
@@ -122,7 +127,22 @@ class BpeModel:
         self.learn(missing)
         young, old = self.cache, self.older
         get = young.__getitem__ if young is known else lambda c: young.get(c) or old[c]  # a new generation has begun
-        return [(b"".join([first, *map(get, cuts), last]), (text or "").replace(SPACE, " ").encode()) for text, cuts in zip(texts, cut, strict=True)]
+        return [b"".join([first, *map(get, cuts), last]) for cuts in cut]
+
+    def decode(self, ids: Iterable[int]) -> bytes:
+        """Text of ids in UTF-8: pieces joined, word marks to spaces, byte pieces as they are; controls vanish, and so does one space at the start.
+
+        Byte pieces that are no UTF-8 become replacement characters, run by run.
+        """
+        ids = list(ids)
+        text = b"".join(map(self.spelt.__getitem__, ids))
+        try:
+            text.decode()
+        except UnicodeDecodeError:
+            runs, values = itertools.groupby(ids, lambda i: i in self.byte_ids), self.spelt.__getitem__
+            text = b"".join(b"".join(map(values, run)).decode("utf-8", "replace").encode() if raw else b"".join(map(values, run)) for raw, run in runs)
+        shown = next((i for i in ids if self.spelt[i]), None)
+        return text[1:] if shown not in self.byte_ids and text.startswith(b" ") else text
 
 
 @lru_cache(maxsize=2)
@@ -131,22 +151,7 @@ def model(path: str) -> BpeModel:
 
 
 def decode(ids: list[int], path: str) -> str:
-    """Text of ids: pieces joined, word marks to spaces, runs of byte pieces as UTF-8; controls vanish."""
-    m = model(path)
-    names, values = {i: p for p, i in m.ids.items()}, {i: b for b, i in m.bytes.items()}
-    out, run, started = [], bytearray(), False
-    for i in [*ids, None]:
-        if i in values:
-            run.append(values[i])
-            continue
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-            run, started = bytearray(), True
-        if i in names:
-            piece = names[i].replace(SPACE, " ")
-            out.append(piece if started else piece.removeprefix(" "))
-            started = True
-    return "".join(out)
+    return model(path).decode(ids).decode()
 
 
 def encode_documents(docs: DataFrame, model_path: str, max_rows: int = 1024) -> DataFrame:
@@ -157,7 +162,7 @@ def encode_documents(docs: DataFrame, model_path: str, max_rows: int = 1024) ->
         for batch in batches:
             for at in range(0, batch.num_rows, max_rows):
                 part = batch.slice(at, max_rows)
-                coded = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(t).hexdigest()) for i, t in bpe.encode_batch(part.column("text").to_pylist())]
+                coded = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(bpe.decode(array("I", i))).hexdigest()) for i in bpe.encode_batch(part.column("text").to_pylist())]
                 n, ids, decoded = zip(*coded, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
