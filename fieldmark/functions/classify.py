@@ -19,7 +19,7 @@ RULES = [
     (["mixed slaughterhouse"], "mixedSlaughterhouse", "slaughter"), (["slaughter"], "slaughterhouse", "slaughter"),
     (["pig breeding farm"], "pigBreedingFarm", "breeder"), (["pig farm"], "pigFarm", "breeder"), (["poultry farm"], "poultryFarm", "breeder"),
     (["aquaculture"], "aquacultureFacility", "breeder"),
-    *[(["farm", a], f"{a}Farm", "breeder") for a in ("dairy", "pig", "poultry", "cattle", "beef", "sheep", "goat", "chicken", "duck", "turkey", "lamb", "horse", "deer", "rabbit")],
+    *[(["farm", a], f"{a}Farm", "breeder") for a in ("dairy", "pig", "poultry", "cattle", "beef", "sheep", "goat", "chicken", "duck", "turkey", "lamb", "horse", "deer", "rabbit", "pheasant", "quail", "ostrich", "emu", "bison", "buffalo", "elk", "goose")],
     (["farm", "intensive"], "intensiveFarm", "breeder"), (["farm"], "farm", "breeder"),
     (["animal production", "hunting"], "gameHuntingFacility", "breeder"), (["animal production", "game"], "gameHuntingFacility", "breeder"), (["animal production"], "animalFarm", "breeder"),
     (["exhibition"], "exhibitionFacility", "exhibitor"), (["aquatic", "processing"], "aquaticProcessingFacility", "slaughter"), (["aquatic"], "aquaticProductionFacility", "breeder"),
@@ -32,6 +32,58 @@ MEXICAN_TYPES = [
     ("Aquaculture", ["acuicultura", "piscicultura", "ranicultura", "pez", "acua"]), ("Laboratory", ["laboratorio", "investigacion", "analytical", "análisis"]),
     ("Slaughterhouse", ["matanza", "slaughter", "sacrifi"]),
 ]
+#: British classifications and their names.
+BRITISH_TYPES = {
+    "DairyFarm": "Dairy Farm", "IntensivePigFarm": "Intensive Pig Farm", "IntensivePoultryFarm": "Intensive Poultry Farm", "IntensiveSowPigFarm": "Intensive Sow Pig Farm", "FinishingUnit": "Finishing Unit",
+    "CowSlaughterhouse": "Cattle Slaughterhouse", "PigSlaughterhouse": "Pig Slaughterhouse", "PoultrySlaughterhouse": "Poultry Slaughterhouse", "SheepAndLambSlaughterhouse": "Sheep & Lamb Slaughterhouse",
+    "GoatSlaughterhouse": "Goat Slaughterhouse", "HorseSlaughterhouse": "Horse Slaughterhouse", "LargeBirdSlaughterhouse": "Large Bird Slaughterhouse", "WildBirdSlaughterhouse": "Wild Bird Slaughterhouse",
+    "WildRabbitSlaughterhouse": "Wild Rabbit Slaughterhouse", "OtherMammalSlaughterhouse": "Other Mammal Slaughterhouse",
+}
+#: Text in a classification and the flag it sets; of one classification only the first.
+BRITISH_FLAGS = [
+    ("CowSlaughterhouse", "cow_slaughter"), ("PigSlaughterhouse", "pig_slaughter"), ("SheepAndLambSlaughterhouse", "sheep_lamb_slaughter"), ("GoatSlaughterhouse", "goat_slaughter"),
+    ("PoultrySlaughterhouse", "poultry_slaughter"), ("OtherMammalSlaughterhouse", "other_mammal_slaughter"), ("DairyFarm", "dairy_farm"), ("IntensivePigFarm", "intensive_pig_farm"),
+    ("IntensivePoultryFarm", "intensive_poultry_farm"),
+]
+SPANISH_FLAGS = [("GranjaPorcinaIntensiva", "intensive_pig_farm"), ("GranjaPorcinaIntensivaDeCerdas", "intensive_pig_breeding_farm"), ("GranjaAvícolaIntensiva", "intensive_poultry_farm"), ("Acuicultura", "aquaculture")]
+#: Danish industries that slaughter, and those that only process.
+DANISH_SLAUGHTER = [
+    "Fremstilling af animalske produkter - Fisk og muslinger m.v.", "Fremstilling af animalske produkter - Kød", "Slagterier", "Specialforretning - Slagter m.v.",
+    "Virksomhed, foreløbig AUT: Slagteri, slagteri med fremstilli", "Virksomhed, foreløbig: Slagter, slagterafdeling",
+]
+DANISH_PROCESSING = ["Fremstilling af animalske produkter - Andre produkter", "Fremstilling af animalske produkter - Mælk og ost", "Fremstilling af animalske produkter - Æg"]
+
+
+def classification_flags(classifications: Column, flags: list[tuple[str, str]]) -> dict[str, Column]:
+    """A flag column for each of ``flags``, from a comma-separated list; blank or null sets none."""
+    each = F.transform(F.split(F.coalesce(classifications, F.lit("")), ","), lambda x: reduce(lambda chain, f: chain.when(x.contains(f[0]), f[1]), flags[1:], F.when(x.contains(flags[0][0]), flags[0][1])))
+    return {name: F.coalesce(F.array_contains(F.filter(each, lambda x: x.isNotNull()), name), F.lit(False)) for _, name in flags}
+
+
+def flag_activities(flags: dict[str, Column], groups: list[tuple[str, str]]) -> Column:
+    """Activities whose flags (those with the given ending) are set, in order; else Unknown."""
+    named = [F.when(reduce(lambda a, b: a | b, [c for n, c in flags.items() if n.endswith(ending)]), activity) for ending, activity in groups]
+    text = F.concat_ws("; ", *named)
+    return F.when(text == "", "Unknown").otherwise(text)
+
+
+def british_activities(classifications: Column) -> Column:
+    return flag_activities(classification_flags(classifications, BRITISH_FLAGS), [("_slaughter", "Meat Slaughter"), ("_farm", "Animal Production")])
+
+
+def spanish_activities(classifications: Column) -> Column:
+    return flag_activities(classification_flags(classifications, SPANISH_FLAGS), [("_farm", "Animal Production"), ("aquaculture", "Aquaculture")])
+
+
+def danish_industry(industry: Column) -> Column:
+    """Whether a row is of interest: made of animals, or a butcher's."""
+    return F.lower(industry).startswith("fremstilling af animalske produkter") | F.lower(industry).contains("slagter")
+
+
+def danish_activities(industry: Column) -> Column:
+    """The activities of an industry; an unknown one fails the query."""
+    known = F.when(industry.isin(DANISH_SLAUGHTER), "Meat Processing; Meat Slaughter").when(industry.isin(DANISH_PROCESSING), "Meat Processing")
+    return known.otherwise(F.raise_error(F.concat(F.lit("unknown industry: "), F.coalesce(industry, F.lit("null")))))
 
 
 def _first(c: Column, pick, default: str) -> Column:

@@ -63,6 +63,7 @@ def german_address(c: Column) -> list[Column]:
 
 
 def italian_address(c: Column, provinces: dict[str, str]) -> list[Column]:
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
     pattern = r"^(.+?),\s*(.+?)\s*\(([A-Z]{2})\)$"
     hit, code = c.rlike(pattern), F.regexp_extract(c, pattern, 3)
     return [

@@ -24,7 +24,8 @@ def country_match(selected: str, state: Column, country: Column, regions: dict[s
     if selected == "UK":
         known = [s for states in regions.values() for s in states]
         return (F.trim(F.coalesce(state, F.lit(""))) != "") & ~state.isin(known)
-    tests = [state.isin(regions[selected])] if selected in regions else []
+    given = F.upper(state) if selected == "MX" else state  # Mexican registers write states in any case
+    tests = [given.isin(regions[selected])] if selected in regions else []
     tests += [country == selected.lower()] if selected in tagged else []
     return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import staged
+
 
 def suffixed_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join on a key (null meets null); other shared names get _x and _y."""
@@ -34,7 +36,10 @@ def first_containing(names: DataFrame, titles: DataFrame) -> DataFrame:
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(title), F.lit(1))), lambda i: F.transform(F.array(F.lit(3), F.lit(2), F.lit(1)), lambda n: title.substr(i, n)))))
     indexed = titles.withColumn("_gram", F.explode(grams))
     hits = probes.join(indexed, "_gram").where(title.contains(name)).groupBy("name_id").agg(F.min_by("title", "_ord").alias("title"))
-    return names.join(hits, "name_id", "left")
+    # Every title contains the empty name: the first one, a single row.
+    first = titles.agg(F.min_by("title", "_ord").alias("_first")).withColumn("_name", F.lit(""))
+    found = names.join(hits, "name_id", "left").join(F.broadcast(first), F.col("name") == F.col("_name"), "left")
+    return found.withColumn("title", F.coalesce("title", "_first")).drop("_first", "_name")
 
 
 def near(points: DataFrame, targets: DataFrame, eps: float = 0.001) -> DataFrame:
@@ -55,11 +60,17 @@ def keyed_dedup(base: DataFrame, others: DataFrame, key: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column | str], start: int = 0) -> DataFrame:
-    """Dense ids in order without one global window: rows are range-partitioned, counted, and numbered within."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """Dense ids in order without one global window: rows are range-partitioned, counted, and numbered within.
+
+    The ranges are written first: a second evaluation would sample other bounds,
+    and rows would be counted under one range and numbered under another.  Rows
+    that tie in ``order`` get their ids in any order.
+    """
+    ranged = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_part").count().withColumn("_start", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).drop("count")
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_n", within).join(F.broadcast(counts), "_part").withColumn("id", F.col("_start") + F.col("_n") - 1 + start).drop("_part", "_n", "_start")
+    joined = ranged.withColumn("_n", within).join(F.broadcast(counts), "_part", "left")  # a row per partition
+    return joined.withColumn("id", F.coalesce("_start", F.raise_error(F.lit("a range without a count")).cast("long")) + F.col("_n") - 1 + start).drop("_part", "_n", "_start")
 
 
 def ranked_search(df: DataFrame, term: str, limit: int = 10) -> DataFrame:
@@ -71,3 +82,13 @@ def ranked_search(df: DataFrame, term: str, limit: int = 10) -> DataFrame:
 def chunked(df: DataFrame, order: list[str], size: int = 2000) -> DataFrame:
     """Chunk numbers (from 1) of ``size`` rows in order."""
     return numbered(df, order).withColumn("chunk", F.expr(f"cast(id div {size} as int) + 1"))
+
+
+def locale_sorted(df: DataFrame, column: str) -> DataFrame:
+    """Rows in the root locale's order of a text column: accents and case count last."""
+    return df.orderBy(F.collate(F.col(column), "UNICODE"), column)
+
+
+def write_chunks(df: DataFrame, order: list[str], path: str, size: int = 2000) -> None:
+    """CSV files of ``size`` rows in order, each in a folder chunk=1, chunk=2 and so on."""
+    chunked(df, order, size).drop("id").repartition("chunk").sortWithinPartitions("chunk", *order).write.partitionBy("chunk").option("header", True).option("escape", '"').csv(path)

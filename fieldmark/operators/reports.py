@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,21 @@ def coverage(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
     return df.agg(F.count("*").alias("total"), *[x for n, c in tests.items() for x in (F.count_if(c).alias(f"n_{n}"), percent(c).alias(f"pct_{n}"))])
 
 
+def layer_counts(counts: DataFrame, shown: set[str]) -> DataFrame:
+    """layer, label, n and total of the layers (layer, n) that are switched on and not empty, in the order shown to readers.
+
+    Inspections count as other locations while breeders, dealers or exhibitors are on.
+    """
+    labels = [("slaughter", "Slaughterhouses"), ("processing", "Processing Plants"), ("breeder", "Production Facilities"), ("exhibitor", "Exhibition Facilities"), ("labs", "Animal Labs"), ("inspections", "Other Locations")]
+    on = shown | ({"inspections"} if shown & {"breeder", "dealer", "exhibitor"} else set())
+    kept = [(k, layer, label) for k, (layer, label) in enumerate(labels) if layer in on]
+    if not kept:
+        return counts.where(F.lit(False)).select("layer", F.lit("").alias("label"), "n", F.lit(0).cast("long").alias("total"), F.lit(0).alias("place"))
+    place, label = (F.create_map(*[F.lit(x) for row in kept for x in (row[1], row[i])]) for i in (0, 2))
+    seen = counts.where(F.col("layer").isin([x for _, x, _ in kept]) & (F.col("n") > 0))
+    return seen.select("layer", F.try_element_at(label, F.col("layer")).alias("label"), "n", F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"), F.try_element_at(place, F.col("layer")).alias("place"))  # six rows at most
+
+
 def padded_bounds(df: DataFrame, share: float = 0.1) -> DataFrame:
     lat, lng = F.max("lat") - F.min("lat"), F.max("lng") - F.min("lng")
     return df.agg((F.min("lat") - share * lat).alias("south"), (F.max("lat") + share * lat).alias("north"), (F.min("lng") - share * lng).alias("west"), (F.max("lng") + share * lng).alias("east"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import animals, classify, columns
+from ..functions import animals, classify, columns, registers, states
 from ..operators import filters, relational, reports
 from .adapter import FACILITIES, MARKERS, facilities, markers, table
 
@@ -48,14 +48,28 @@ def filter_country(spark, d):
     return filters.in_country(facilities(spark, d), "EUROPE").select("id", "name", "state")
 
 
-REGIONS = {"US": ["UNITED STATES", "CANADA"], "DE": ["GERMANY", "DE_UNKNOWN"], "FR": ["FRANCE"], "NZ": []}
+_STATES = ["CA", "TX", "BY", "DE_UNKNOWN", "Sevilla", "Catalunya", "13", "971", "QC", "Sonora", "NUEVO LEÓN", "nuevo leon", "London", " ", ""]
+_STATE_SQL = "CASE c_custkey % 15 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_STATES)) + " END"
+_TAG_SQL = "CASE c_nationkey % 4 WHEN 0 THEN 'fr' WHEN 1 THEN 'mx' WHEN 2 THEN 'dk' ELSE 'us' END"
 
 
-@query(f"""WITH {FACILITIES} SELECT state, count(*) FILTER (state IN ('UNITED STATES', 'CANADA')) AS us, count(*) FILTER (country = 'fr' OR state = 'FRANCE') AS fr,
-    count(*) FILTER (trim(state) <> '' AND state NOT IN ('UNITED STATES', 'CANADA', 'GERMANY', 'DE_UNKNOWN', 'FRANCE')) AS uk, count(*) AS everything FROM fac GROUP BY state""")
+@query(f"""WITH c AS (SELECT {_STATE_SQL} AS state, {_TAG_SQL} AS tag FROM customer) SELECT state,
+    count(*) FILTER (state IN ('CA', 'TX')) AS us, count(*) FILTER (state IN ('BY', 'DE_UNKNOWN')) AS de, count(*) FILTER (state IN ('Sevilla', 'Catalunya')) AS es,
+    count(*) FILTER (tag = 'fr' OR state IN ('13', '971')) AS fr, count(*) FILTER (tag = 'mx' OR state IN ('Sonora', 'NUEVO LEÓN')) AS mx, count(*) FILTER (state = 'QC') AS ca,
+    count(*) FILTER (tag = 'dk') AS dk, count(*) FILTER (state IN ('Sonora', 'nuevo leon', 'London')) AS uk, count(*) AS everything FROM c GROUP BY state""")
 def country_predicate(spark, d):
-    m = lambda c: F.count_if(filters.country_match(c, F.col("state"), F.col("country"), REGIONS, {"FR", "CA", "MX", "DK", "NZ"}))
-    return facilities(spark, d).groupBy("state").agg(m("US").alias("us"), m("FR").alias("fr"), m("UK").alias("uk"), m("all").alias("everything"))
+    named = F.element_at(F.array(*[F.lit(s) for s in _STATES]), (F.col("c_custkey") % 15 + 1).cast("int"))
+    tag = F.element_at(F.array(*[F.lit(x) for x in ("fr", "mx", "dk", "us")]), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    rows = table(spark, d, "customer").select(named.alias("state"), tag.alias("country"))
+    m = lambda c: F.count_if(filters.country_match(c, F.col("state"), F.col("country"), states.REGIONS, states.TAGGED)).alias("everything" if c == "all" else c.lower())
+    return rows.groupBy("state").agg(*[m(c) for c in ("US", "DE", "ES", "FR", "MX", "CA", "DK", "UK", "all")])
+
+
+@query(f"""SELECT c_custkey, CASE c_custkey % 15 WHEN 0 THEN 'California' WHEN 1 THEN 'Texas' WHEN 2 THEN 'Bayern' WHEN 3 THEN 'Deutschland (Unspecified)' WHEN 4 THEN 'Sevilla' WHEN 5 THEN 'Cataluña'
+    WHEN 6 THEN 'Bouches-du-Rhône' WHEN 7 THEN 'Guadeloupe' WHEN 8 THEN 'Quebec' WHEN 10 THEN 'Nuevo León' WHEN 13 THEN '' ELSE {_STATE_SQL} END AS shown FROM customer""")
+def state_names(spark, d):
+    named = F.element_at(F.array(*[F.lit(s) for s in _STATES]), (F.col("c_custkey") % 15 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", registers.display_state(named, [states.US, states.GERMANY, states.SPAIN, states.FRANCE, states.CANADA, states.MEXICO]).alias("shown"))
 
 
 @query(f"WITH {FACILITIES} SELECT count(*) FILTER (state = 'FRANCE') AS plain, count(*) AS fr, count(*) FILTER (country = 'ASIA') AS dk FROM fac")
@@ -64,9 +78,14 @@ def state_predicate(spark, d):
     return facilities(spark, d).agg(m("US", "FRANCE").alias("plain"), m("FR", "FRANCE").alias("fr"), m("DK", "ASIA").alias("dk"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'cow') OR contains(lower(p_type), 'cattle') OR contains(lower(p_brand), 'cow')")
+_ANIMALS_SQL = "CASE p_size % 4 WHEN 0 THEN 'Cattle (Cows, Bulls), Pigs' WHEN 1 THEN 'CATTLE' WHEN 2 THEN 'cow bells' END"
+
+
+@query(f"SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'cow') OR contains(lower({_ANIMALS_SQL}), 'cattle') OR contains(lower(concat(p_brand, CASE WHEN p_partkey % 9 = 0 THEN ' Cow Lane' ELSE '' END)), 'cow')")
 def text_search(spark, d):
-    return table(spark, d, "part").where(filters.text_match(" Cow", [F.col("p_name"), F.col("p_brand")], [F.col("p_type")])).select("p_partkey", "p_name")
+    given = F.when(F.col("p_size") % 4 == 0, "Cattle (Cows, Bulls), Pigs").when(F.col("p_size") % 4 == 1, "CATTLE").when(F.col("p_size") % 4 == 2, "cow bells")
+    place = F.concat("p_brand", F.when(F.col("p_partkey") % 9 == 0, " Cow Lane").otherwise(""))
+    return table(spark, d, "part").where(filters.text_match(" Cow", [F.col("p_name"), place], [given])).select("p_partkey", "p_name")
 
 
 @query(f"WITH {FACILITIES} SELECT id, name FROM fac WHERE contains(lower(name), 'supplier#00') OR contains(lower(type), 'supplier#00')")
@@ -74,9 +93,11 @@ def lab_search(spark, d):
     return facilities(spark, d).where(filters.lab_match("supplier#00", F.col("name"), F.col("type"))).select("id", "name")
 
 
-@query("SELECT count(*) AS n FROM customer")
+@query("SELECT count(*) AS n, count(*) FILTER (contains(lower(c_name), '7') OR contains(lower(c_mktsegment), '7')) AS named, count(*) FILTER (contains(lower(c_mktsegment), 'build')) AS segment FROM customer")
 def reverse_containment(spark, d):
-    return table(spark, d, "customer").where(filters.lab_match("lab", F.col("c_name"), F.col("c_mktsegment"))).agg(F.count("*").alias("n"))
+    """A term inside one of the laboratory phrases shows all; another one only rows that hold it."""
+    m = lambda term: F.count_if(filters.lab_match(term, F.col("c_name"), F.col("c_mktsegment")))
+    return table(spark, d, "customer").agg(m("search lab").alias("n"), m("7").alias("named"), m("build").alias("segment"))
 
 
 LICENCE_SQL = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Class A - Breeder' WHEN '2' THEN 'Class B - Dealer' WHEN '3' THEN 'Class C - Exhibitor' ELSE 'Other' END"
@@ -160,21 +181,28 @@ def counts_to_text(spark, d):
 
 # Classification ---------------------------------------------------------------------------------
 
-_TYPES = ["Mixed Farm (Goats)", "Mixed Farm (Dairy Farm, Intensive Pig Farm)", "Meat Processing; Meat Slaughter", "Aquatic Processing", "Aquatic Production", "Farm / Breeder", "Butcher", "Duck Farm", "Exhibition", "Fishing Operation"]
-_TYPE_SQL = "CASE p_size % 11 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TYPES)) + " ELSE '' END"
+#: A type for each rule, its key and its category, by hand; the SQL knows nothing of the rules' table.
+_EXPECTED = [
+    ("Mixed Farm (Goats)", "mixedFarm", "breeder"), ("MIXED SLAUGHTERHOUSE (Pig)", "mixedSlaughterhouse", "slaughter"), ("Meat Processing; Meat Slaughter", "slaughterhouse", "slaughter"),
+    ("Aquatic Processing", "aquaticProcessingFacility", "slaughter"), ("Aquatic Production", "aquaticProductionFacility", "breeder"), ("Farm / Breeder", "farm", "breeder"), ("Butcher", "butcher", "slaughter"),
+    ("Duck Farm", "duckFarm", "breeder"), ("Exhibition", "exhibitionFacility", "exhibitor"), ("Fishing Operation", "processing", "processing"), ("Pheasant Farm", "pheasantFarm", "breeder"),
+    ("Quail farm", "quailFarm", "breeder"), ("Farm of ostrich", "ostrichFarm", "breeder"), ("Emu farm", "emuFarm", "breeder"), ("Bison Farm", "bisonFarm", "breeder"), ("buffalo farm", "buffaloFarm", "breeder"),
+    ("elk farm", "elkFarm", "breeder"), ("Goose Farm", "gooseFarm", "breeder"), ("Dairy Farm", "dairyFarm", "breeder"), ("Intensive Sow Pig Farm", "intensiveSowPigFarm", "breeder"),
+    ("Intensive Poultry Farm", "intensivePoultryFarm", "breeder"), ("Finishing Unit", "finishingUnit", "breeder"), ("Cattle Slaughterhouse", "cattleSlaughterhouse", "slaughter"),
+    ("Sheep & Lamb Slaughterhouse", "sheepLambSlaughterhouse", "slaughter"), ("Other Mammal Slaughterhouse", "otherMammalSlaughterhouse", "slaughter"), ("Wild Rabbit Slaughterhouse", "wildRabbitSlaughterhouse", "slaughter"),
+    ("Pig Breeding Farm", "pigBreedingFarm", "breeder"), ("Pig Farm", "pigFarm", "breeder"), ("Aquaculture", "aquacultureFacility", "breeder"), ("Intensive fruit farm", "intensiveFarm", "breeder"),
+    ("Animal Production - Game", "gameHuntingFacility", "breeder"), ("Animal Production", "animalFarm", "breeder"), ("Chicken Producer", "chickenProducer", "breeder"), ("Farm with slaughter", "slaughterhouse", "slaughter"),
+    ("", "processing", "processing"), ("Horse Slaughterhouse", "horseSlaughterhouse", "slaughter"), ("Intensive Pig Farm", "intensivePigFarm", "breeder"), ("Large Bird Slaughterhouse", "largeBirdSlaughterhouse", "slaughter"),
+    ("beef and sheep farm", "beefFarm", "breeder"), ("rabbit farm", "rabbitFarm", "breeder"),
+]
 
 
 def _typed(spark, d):
-    text = F.element_at(F.array(*[F.lit(t) for t in [*_TYPES, ""]]), F.col("p_size") % 11 + 1)
+    text = F.element_at(F.array(*[F.lit(t) for t, _, _ in _EXPECTED]), (F.col("p_partkey") % len(_EXPECTED) + 1).cast("int"))
     return table(spark, d, "part").select("p_partkey", text.alias("type"))
 
 
-def _rules_sql(pick: Callable[[str, str], str], default: str) -> str:
-    whens = " ".join(f"WHEN {' AND '.join(f'contains(lower(type), {w!r})' for w in words)} THEN '{pick(k, g)}'" for words, k, g in classify.RULES)
-    return f"CASE {whens} ELSE '{default}' END"
-
-
-_KINDS = f"kinds AS (SELECT p_partkey, {_rules_sql(lambda k, _: 'facilityTypes.' + k, 'facilityTypes.processing')} AS label_key, {_rules_sql(lambda _, g: g, 'processing')} AS category FROM (SELECT p_partkey, {_TYPE_SQL} AS type FROM part))"
+_KINDS = f"kinds AS (SELECT p_partkey, 'facilityTypes.' || e.label AS label_key, e.category FROM part JOIN (VALUES {', '.join(f'({i}, {k!r}, {g!r})' for i, (_, k, g) in enumerate(_EXPECTED))}) e(i, label, category) ON p_partkey % {len(_EXPECTED)} = e.i)"
 
 
 @query(f"WITH {_KINDS} SELECT p_partkey, label_key, category FROM kinds")
@@ -187,7 +215,17 @@ def classify_rules(spark, d):
 def category_counts(spark, d):
     _, _, category, _ = classify.facility_type(F.col("type"))
     counts = _typed(spark, d).select(category).groupBy("category").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("total"))))  # a row per category, four at most
+    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))  # a row per category, four at most
+
+
+@query(f"""WITH {_KINDS}, c AS (SELECT category, count(*) AS n FROM kinds GROUP BY category UNION ALL SELECT 'labs', count(*) FROM supplier WHERE s_suppkey < 0 UNION ALL SELECT 'inspections', count(*) FROM orders),
+    l AS (SELECT * FROM c JOIN (VALUES ('slaughter', 'Slaughterhouses', 0), ('breeder', 'Production Facilities', 2), ('inspections', 'Other Locations', 5)) v(layer, label, place) ON category = layer AND n > 0)
+    SELECT layer, label, n, CAST(sum(n) OVER () AS BIGINT) AS total, place FROM l""")
+def layer_counts(spark, d):
+    _, _, category, _ = classify.facility_type(F.col("type"))
+    kinds = _typed(spark, d).select(category).groupBy(F.col("category").alias("layer")).agg(F.count("*").alias("n"))
+    others = [table(spark, d, t).agg(F.lit(name).alias("layer"), F.count_if(test).alias("n")) for t, name, test in (("supplier", "labs", F.col("s_suppkey") < 0), ("orders", "inspections", F.lit(True)))]
+    return reports.layer_counts(kinds.union(others[0]).union(others[1]), {"slaughter", "breeder", "labs"})
 
 
 @query("""SELECT o_orderkey, CASE WHEN regexp_extract(c, '^.*([1234678])', 1) <> '' THEN CASE regexp_extract(c, '^.*([1234678])', 1) WHEN '1' THEN 'Slaughter' WHEN '2' THEN 'Canning' WHEN '3' THEN 'Boning and Cutting' WHEN '4' THEN 'Rendering'
@@ -211,6 +249,36 @@ def keyword_types(spark, d):
     return table(spark, d, "part").select("p_partkey", classify.keyword_type(given, classify.MEXICAN_TYPES, "Processing").alias("kind"))
 
 
+_CLASSES = ["CowSlaughterhouse, DairyFarm", "PigSlaughterhouse", "IntensivePoultryFarm,IntensivePigFarm", "GoatSlaughterhouse,PoultrySlaughterhouse", "Zoo", None, "SheepAndLambSlaughterhouse, OtherMammalSlaughterhouse", "FinishingUnit"]
+
+
+@query("""SELECT p_partkey, k IN (0) AS cow_slaughter, k IN (1) AS pig_slaughter, k IN (6) AS sheep_lamb_slaughter, k IN (3) AS goat_slaughter, k IN (3) AS poultry_slaughter, k IN (6) AS other_mammal_slaughter, k IN (0) AS dairy_farm,
+    k IN (2) AS intensive_pig_farm, k IN (2) AS intensive_poultry_farm, CASE WHEN k = 0 THEN 'Meat Slaughter; Animal Production' WHEN k IN (1, 3, 6) THEN 'Meat Slaughter' WHEN k = 2 THEN 'Animal Production' ELSE 'Unknown' END AS activities,
+    CASE k WHEN 0 THEN 'Dairy Farm' WHEN 1 THEN 'Pig Slaughterhouse' WHEN 2 THEN 'Mixed Farm (Intensive Poultry Farm, Intensive Pig Farm)' WHEN 3 THEN 'Mixed Slaughterhouse (Goat Slaughterhouse, Poultry Slaughterhouse)' WHEN 4 THEN 'Unknown (Zoo)'
+    WHEN 5 THEN 'Unknown Facility' WHEN 6 THEN 'Mixed Slaughterhouse (Sheep & Lamb Slaughterhouse, Other Mammal Slaughterhouse)' ELSE 'Finishing Unit' END AS kind FROM (SELECT p_partkey, p_partkey % 8 AS k FROM part)""")
+def british_classifications(spark, d):
+    given = F.element_at(F.array(*[F.lit(c) for c in _CLASSES]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    flags = classify.classification_flags(given, classify.BRITISH_FLAGS)
+    return table(spark, d, "part").select("p_partkey", *[c.alias(n) for n, c in flags.items()], classify.british_activities(given).alias("activities"), classify.primary_type(given, classify.BRITISH_TYPES).alias("kind"))
+
+
+@query("""SELECT p_partkey, k IN (0, 1) AS intensive_pig_farm, false AS intensive_pig_breeding_farm, k IN (2) AS intensive_poultry_farm, k IN (2, 3) AS aquaculture,
+    CASE k WHEN 0 THEN 'Animal Production' WHEN 1 THEN 'Animal Production' WHEN 2 THEN 'Animal Production; Aquaculture' WHEN 3 THEN 'Aquaculture' ELSE 'Unknown' END AS activities FROM (SELECT p_partkey, p_partkey % 5 AS k FROM part)""")
+def spanish_classifications(spark, d):
+    """The sow farms' name contains the pig farms' name, which so always comes first."""
+    given = F.element_at(F.array(*[F.lit(c) for c in ("GranjaPorcinaIntensiva", "GranjaPorcinaIntensivaDeCerdas", "GranjaAvícolaIntensiva, Acuicultura", "Acuicultura", "")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    flags = classify.classification_flags(given, classify.SPANISH_FLAGS)
+    return table(spark, d, "part").select("p_partkey", *[c.alias(n) for n, c in flags.items()], classify.spanish_activities(given).alias("activities"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Meat Processing; Meat Slaughter' WHEN 1 THEN 'Meat Processing; Meat Slaughter' ELSE 'Meat Processing' END AS activities FROM part WHERE p_partkey % 5 < 3")
+def danish_activities(spark, d):
+    industries = ["Slagterier", "Fremstilling af animalske produkter - Kød", "Fremstilling af animalske produkter - Æg", "Bager", ""]
+    given = F.element_at(F.array(*[F.lit(c) for c in industries]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", given.alias("industry")).where(classify.danish_industry(F.col("industry")))
+    return rows.select("p_partkey", classify.danish_activities(F.col("industry")).alias("activities"))
+
+
 # Aggregates -------------------------------------------------------------------------------------
 
 
@@ -255,8 +323,7 @@ def version_diff(spark, d):
 @query("SELECT p_size, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM part GROUP BY p_size")
 def histogram_share(spark, d):
     counts = table(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n"))
-    total = table(spark, d, "part").agg(F.count("*").alias("t"))
-    return counts.crossJoin(F.broadcast(total)).select("p_size", "n", F.round(100.0 * F.col("n") / F.col("t"), 2).alias("pct"))
+    return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 2))  # a row per size
 
 
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)")
@@ -343,10 +410,10 @@ def full_dedup(spark, d):
 
 
 @query("""SELECT k, id FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, o) AS n FROM (
-    SELECT c_nationkey AS k, c_custkey AS id, 0 AS s, -c_custkey AS o FROM customer WHERE c_nationkey < 20 UNION ALL SELECT s_nationkey, s_suppkey, 1, s_suppkey FROM supplier)) WHERE n = 1""")
+    SELECT c_nationkey AS k, c_custkey AS id, 0 AS s, -c_custkey AS o FROM customer UNION ALL SELECT s_nationkey + 10, s_suppkey, 1, s_suppkey FROM supplier)) WHERE n = 1""")
 def keyed_dedup(spark, d):
-    base = table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("_ord"))
-    others = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("_ord"), F.lit(0).alias("_source"))
+    base = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("_ord"))
+    others = table(spark, d, "supplier").select((F.col("s_nationkey") + 10).alias("k"), F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("_ord"), F.lit(0).alias("_source"))
     return relational.keyed_dedup(base, others, "k").select("k", "id")
 
 
@@ -374,9 +441,9 @@ def hetero_union(spark, d):
     return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def set_difference(spark, d):
-    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")))
 
 
 @query("""SELECT id, source_rank FROM (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS dba, 1 AS source_rank FROM customer UNION ALL SELECT s_suppkey, s_name, '', 0 FROM supplier)
@@ -395,14 +462,22 @@ def mixed_key_sort(spark, d):
     return relational.numbered(order.withColumnRenamed("_n", "num"), ["_t", "num", "k"], 1).select("k", F.col("id").alias("rn"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders WHERE o_orderstatus = 'F'")
+@query("""SELECT name, row_number() OVER (ORDER BY strip_accents(lower(name)), lower(name)) AS place FROM (SELECT DISTINCT CASE p_partkey % 7 WHEN 0 THEN 'Ávila' WHEN 1 THEN 'avila' WHEN 2 THEN 'Burgos'
+    WHEN 3 THEN 'Cádiz' WHEN 4 THEN 'Cuenca' WHEN 5 THEN 'Zamora' ELSE 'Álava' END AS name FROM part)""")
+def locale_sort(spark, d):
+    given = F.element_at(F.array(*[F.lit(n) for n in ("Ávila", "avila", "Burgos", "Cádiz", "Cuenca", "Zamora", "Álava")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    names = relational.locale_sorted(table(spark, d, "part").select(given.alias("name")).distinct(), "name")
+    return names.select("name", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.collate("name", "UNICODE"))).cast("long").alias("place"))  # seven rows
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders WHERE o_orderstatus = 'F'")
 def surrogate_ids(spark, d):
-    return relational.numbered(table(spark, d, "orders").where("o_orderstatus = 'F'"), ["o_orderkey"]).select("o_orderkey", "id")
+    return relational.numbered(table(spark, d, "orders").where("o_orderstatus = 'F'"), ["o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderpriority", "id")
 
 
-@query("SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 200 + 1 AS INTEGER) AS chunk FROM customer")
+@query("SELECT c_custkey, c_name, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 200 + 1 AS INTEGER) AS chunk FROM customer")
 def chunk_assign(spark, d):
-    return relational.chunked(table(spark, d, "customer"), ["c_custkey"], 200).select("c_custkey", "chunk")
+    return relational.chunked(table(spark, d, "customer"), ["c_custkey"], 200).select("c_custkey", "c_name", "chunk")
 
 
 # Scalars ----------------------------------------------------------------------------------------
@@ -431,15 +506,20 @@ def dba_split(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", *columns.split_dba(given))
 
 
-@query("SELECT s_suppkey, concat(s_suppkey, ' Mill Lane') AS street, 'Leeds' AS city, 'LS1 4AB' AS zip FROM supplier")
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN concat(s_suppkey, ' Mill Lane') WHEN 1 THEN concat(s_suppkey, ' High St, Unit 2') WHEN 2 THEN '' ELSE 'The Mill' END AS street,
+    CASE s_suppkey % 4 WHEN 0 THEN 'Leeds' WHEN 1 THEN 'York' WHEN 2 THEN concat('Farm ', s_suppkey) ELSE 'Bath' END AS city, CASE s_suppkey % 4 WHEN 0 THEN 'LS1 4AB' WHEN 3 THEN 'BA1 1AA' ELSE '' END AS zip FROM supplier""")
 def uk_address(spark, d):
-    given = F.concat(F.col("s_suppkey").cast("string"), F.lit(" Mill Lane, Leeds, LS1 4AB, United Kingdom"))
+    """With a postcode, without one, a single part, and a town that occurs again behind the postcode."""
+    k, kind = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 4
+    given = F.when(kind == 0, F.concat(k, F.lit(" Mill Lane, Leeds, LS1 4AB, United Kingdom"))).when(kind == 1, F.concat(k, F.lit(" High St, Unit 2,  York"))).when(kind == 2, F.concat(F.lit("Farm "), k)).otherwise("The Mill, Bath, BA1 1AA, Somerset")
     return table(spark, d, "supplier").select("s_suppkey", *columns.uk_address(given))
 
 
-@query("SELECT s_suppkey, concat('Calle Sol ', s_suppkey) AS street, 'Lugo' AS city, '27001' AS zip FROM supplier")
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN concat('Calle Sol ', s_suppkey) WHEN 1 THEN concat('Finca ', s_suppkey) ELSE 'Calle Mar' END AS street,
+    CASE s_suppkey % 3 WHEN 0 THEN 'Lugo' WHEN 1 THEN 'Soria' ELSE 'Vigo' END AS city, CASE s_suppkey % 3 WHEN 0 THEN '27001' WHEN 1 THEN '' ELSE '36201' END AS zip FROM supplier""")
 def es_address(spark, d):
-    given = F.concat(F.lit("Calle Sol "), F.col("s_suppkey").cast("string"), F.lit(", Lugo, 27001, España"))
+    k, kind = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 3
+    given = F.when(kind == 0, F.concat(F.lit("Calle Sol "), k, F.lit(", Lugo, 27001, España"))).when(kind == 1, F.concat(F.lit("Finca "), k, F.lit(", Soria"))).otherwise("Calle Mar, Vigo, 36201 Pontevedra")
     return table(spark, d, "supplier").select("s_suppkey", *columns.spanish_address(given))
 
 
@@ -449,9 +529,13 @@ def de_address(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", *columns.german_address(given))
 
 
-@query("SELECT s_suppkey, 'VIA ROMA 1' AS street, 'BASSIANO' AS city, 'Latina' AS state FROM supplier")
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN concat('VIA ROMA ', s_suppkey) WHEN 1 THEN 'VIA, ALTA' WHEN 2 THEN concat(s_suppkey, ' BORGO') ELSE 'VIA PO' END AS street,
+    CASE s_suppkey % 4 WHEN 0 THEN 'BASSIANO' WHEN 3 THEN 'ASTI, NORD' ELSE '' END AS city, CASE s_suppkey % 4 WHEN 0 THEN 'Latina' WHEN 3 THEN 'XX' ELSE '' END AS state FROM supplier""")
 def it_address(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", *columns.italian_address(F.lit("VIA ROMA 1, BASSIANO (LT)"), {"LT": "Latina"}))
+    """Blanks around, no province, no comma, and a comma in the town with an unknown province."""
+    k, kind = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 4
+    given = F.when(kind == 0, F.concat(F.lit(" VIA ROMA "), k, F.lit(", BASSIANO (LT) "))).when(kind == 1, "VIA, ALTA").when(kind == 2, F.concat(k, F.lit(" BORGO "))).otherwise("VIA PO, ASTI, NORD(XX)")
+    return table(spark, d, "supplier").select("s_suppkey", *columns.italian_address(given, {"LT": "Latina"}))
 
 
 @query("SELECT c_custkey, concat('+52(55)', c_custkey, '-', c_nationkey) AS phone FROM customer")

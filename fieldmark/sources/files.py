@@ -34,6 +34,34 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
     return marks.select("folder", "p.name", "p.description", part(1).alias("lat"), part(0).alias("lng"))
 
 
+def read_orphan_placemarks(spark: SparkSession, path: str) -> DataFrame:
+    """name, description, lat, lng of the placemarks of a KML file that lie in no folder."""
+    schema = "name string, description string, Point struct<coordinates: string>"
+    marks = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
+    part = lambda k: F.get(F.split(F.trim("Point.coordinates"), ","), F.lit(k)).try_cast("double")
+    everything = marks.select("name", "description", part(1).alias("lat"), part(0).alias("lng"))
+    return everything.exceptAll(read_placemarks(spark, path).drop("folder"))
+
+
+def text_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all lines are, else latin-1, under which any bytes can be read."""
+    return "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+
+
+def read_positional(spark: SparkSession, path: str, names: list[str], separator: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """A CSV without a header, its columns named by place; missing ones are null, further ones are left out."""
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return spark.read.option("header", False).option("sep", separator).option("escape", '"').option("encoding", encoding).schema(schema).csv(path)
+
+
+def write_export(tables: list[DataFrame], path: str) -> None:
+    """Tables with differing columns as one CSV under the union of their headers, in order of appearance; lacking values are blank."""
+    first, *rest = tables
+    for df in rest:
+        first = first.unionByName(df, allowMissingColumns=True)
+    first.write.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
+
+
 def read_xml_rows(spark: SparkSession, path: str, schema: str, row_tag: str = "row") -> DataFrame:
     """Rows of an XML register; columns that a row lacks are null."""
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
