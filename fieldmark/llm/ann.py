@@ -11,8 +11,11 @@ that holds a third of all rows is many tasks.
 Fitting looks at the sample only, and the number of lists follows the number of
 rows up to ``MAX_LISTS``.  Defined results: vectors that are null, zero, of
 another dimension than the sample's, or hold null or non-finite components take
-no part; ties go to the smaller id; repeated ids are one row each (a query's own
-id never counts); empty tables give no rows; extra columns are ignored.
+no part; ties go to the smaller id; a query id in several rows asks once, with the
+least of its vectors, and rows of its own id never count; a candidate id in
+several rows is a candidate with each; a query whose probed lists hold fewer
+than ``k`` candidates searches all lists; empty tables give no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,7 +97,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
     fitted = fit(base)
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    probes = max(1, round(probe_share * len(fitted.centres)))
+    lists = len(fitted.centres)
     shipped, dim = spark.sparkContext.broadcast(fitted), fitted.dim  # of a fixed size
     sized = F.size("embedding") == dim
 
@@ -105,24 +108,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
                 lists, codes = shipped.value.encode(x)
                 yield pd.DataFrame({"list": lists, "vec_id": f["vec_id"], "code": [c.tobytes() for c in codes], "vector": [v.tobytes() for v in x]})
 
-    def route(frames):
-        for f in frames:
-            if len(f):
-                x = np.stack(f["embedding"].to_numpy())
-                at = shipped.value.probes(x, probes)
-                yield pd.DataFrame({"list": at.ravel(), "query_id": np.repeat(f["vec_id"].to_numpy(), at.shape[1]), "query": [v.tobytes() for v in np.repeat(x, at.shape[1], 0)]})
+    def route(probes: int):
+        def rows(frames):
+            for f in frames:
+                if len(f):
+                    x = np.stack(f["embedding"].to_numpy())
+                    at = shipped.value.probes(x, probes)
+                    yield pd.DataFrame({"list": at.ravel(), "query_id": np.repeat(f["vec_id"].to_numpy(), at.shape[1]), "query": [v.tobytes() for v in np.repeat(x, at.shape[1], 0)]})
+
+        return rows
 
     stored = staged(base.where(sized).mapInPandas(index, "list int, vec_id long, code binary, vector binary"), "ivf-index")
     # Blocks per list: a table of MAX_LISTS rows at most.
     blocks = stored.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    routed = asked.where(sized).mapInPandas(route, "list int, query_id long, query binary").join(F.broadcast(blocks), "list")
-    asked_blocks = staged(routed, "ivf-queries")
-    query_blocks = asked_blocks.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    left = stored.join(F.broadcast(blocks), "list").join(F.broadcast(query_blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")))
-    left = left.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).select("list", "block", "query_block", "vec_id", "code", "vector")
-    right = asked_blocks.join(F.broadcast(query_blocks), "list").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select("list", F.col("block").cast("long").alias("block"), F.col("query_block").cast("int").alias("query_block"), "query_id", "query")
-
     def scan(codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(codes) and len(asked):
@@ -133,7 +131,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
             for q, raw in zip(asked["query_id"], asked["query"], strict=True):
                 v = np.frombuffer(raw)
                 near = sum(t[words[:, j]] for j, t in enumerate(shipped.value.tables(v, at)))
-                best = np.argsort(near, kind="stable")[: depth + 1]
+                best = np.argsort(np.where(ids == q, np.inf, near), kind="stable")[:depth]
                 best = best[ids[best] != q]
                 exact = np.sqrt(((x[best] - v) ** 2).sum(1))
                 top = np.lexsort((ids[best], exact))[:k]
@@ -141,7 +139,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     key = ["list", "block", "query_block"]
-    left = left.withColumn("block", F.col("block").cast("long"))
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, RESULT)
-    best = F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k)
-    return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+
+    def nearest(questions: DataFrame, probes: int) -> DataFrame:
+        """query_id and the best (score, vec_id) of its ``probes`` nearest lists."""
+        routed = questions.mapInPandas(route(probes), "list int, query_id long, query binary").join(F.broadcast(blocks), "list")
+        asked_blocks = staged(routed, "ivf-queries")
+        query_blocks = asked_blocks.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
+        left = stored.join(F.broadcast(blocks), "list").join(F.broadcast(query_blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("long"))
+        left = left.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).select(*key, "vec_id", "code", "vector")
+        right = asked_blocks.join(F.broadcast(query_blocks), "list").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int"))
+        right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select(*key, "query_id", "query")
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, RESULT)
+        return found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
+
+    questions = asked.where(sized).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    probes = max(1, round(probe_share * lists))
+    first = staged(nearest(questions, probes), "ivf-found")
+    best = first
+    if probes < lists:
+        enough = first.where(F.size("best") >= k)
+        short = staged(questions.join(enough.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "ivf-short")
+        best = enough.union(nearest(short, lists)) if not short.isEmpty() else enough
+    return best.select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

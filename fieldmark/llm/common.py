@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_own: dict[str, str] = {}
-
+from ..scratch import scratch_dir
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared folder of the cluster, ``spark.checkpoint.dir``.
-
-    Where the session names none, a single machine (as in tests) gets a folder of
-    its own; a cluster is refused, since its executors share no local folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="fieldmark-"))
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the written table.
+    """Writes ``df`` to the shared folder and returns the written table, which ``discard`` can delete.
 
     Cuts the lineage: a lost executor costs a read of the file, not a rerun.
     """

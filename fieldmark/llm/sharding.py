@@ -13,10 +13,10 @@ that shard is as much larger as the key is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import scratch_dir, staged
 
 N_SLOTS = 4096
 
@@ -58,7 +58,7 @@ def grown_map(current: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame:
     Each old shard hands over its smallest slots while what it has handed over
     stays within what it holds above the new mean.
     """
-    now = current.join(sizes, "virtual_slot")
+    now = current.join(sizes, "virtual_slot", "left").fillna(0, ["bytes", "rows"])
     held = Window.partitionBy("shard")
     order = held.orderBy("bytes", "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
     target = now.agg((F.sum("bytes") / (n_shards + 1)).alias("target"))
@@ -68,15 +68,42 @@ def grown_map(current: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame:
     )
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(rows, map): every document with its shard and its place in the shard, and the stored map.
+def store_map(slot_map: DataFrame, path: str) -> None:
+    """Adds a version to the map's table; older versions stay."""
+    slot_map.write.mode("append").partitionBy("version").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of the stored map, the latest by default; only its own partition is read."""
+    found = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    if version is None:
+        version = found.agg(F.max("version")).first()[0]
+    return found.where(F.col("version") == F.lit(version)).select("version", "virtual_slot", "shard")
+
+
+def rebalance(docs: DataFrame, path: str, n_slots: int = N_SLOTS) -> DataFrame:
+    """Adds a shard to the stored map for the bytes that ``docs`` now hold, and returns the new version."""
+    now = load_map(docs.sparkSession, path)
+    n_shards = now.agg(F.coalesce(F.max("shard") + 1, F.lit(0))).first()[0]
+    store_map(grown_map(now, slot_sizes(slotted(docs, n_slots)), n_shards), path)
+    return load_map(docs.sparkSession, path)
+
+
+def assign_shards(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None, first: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, map): every document with its shard and its place in the shard, and the version of the map used.
+
+    The map is made from the documents and stored at ``map_path`` (or in the
+    scratch folder); with ``first`` false the latest one stored there is used.
 
     A place is the row's number in its shard, from 0 without gaps.  Rows are
     numbered within their input partition and shard; a sum over the partitions
     before gives the start, so that no shard is ever gathered in one task.
     """
     thin = staged(slotted(docs, n_slots), "shard-rows")
-    slot_map = staged(first_map(slot_sizes(thin), n_shards), "slot-map")
+    path = map_path or scratch_dir(docs.sparkSession, "slot-map")
+    if first:
+        store_map(first_map(slot_sizes(thin), n_shards), path)
+    slot_map = load_map(docs.sparkSession, path)
     placed = thin.join(F.broadcast(slot_map.drop("version")), "virtual_slot").withColumn("part", F.shiftright("row", 33))
     starts = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select(
         "shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start")

@@ -40,7 +40,7 @@ def test_sql(spark, name):
 def test_token_counts(spark):
     path, pattern = queries.vocabulary(queries.BPE_RANKS), queries.token_pattern()
     code = token_counts.encoder(path, pattern).encode_ordinary
-    docs = awkward(spark).where("length(text) < 90000 or text is null")
+    docs = awkward(spark)
     got = token_counts.tokens_per_document(spark, docs, path, pattern).collect()
     assert sorted((r[0] is None, r[0] or 0, r[1]) for r in got) == sorted((r.doc_id is None, r.doc_id or 0, len(code(r.text or ""))) for r in docs.collect())
     assert token_counts.tokens_per_document(spark, empty(spark), path, pattern).count() == 0
@@ -91,6 +91,19 @@ def test_sharding_of_awkward_rows_and_growth(spark):
 # 3 ----------------------------------------------------------------------------------------------
 
 
+def test_sharding_map_is_stored_and_edited(spark, tmp_path):
+    docs, path = spark.read.parquet(f"{SF}/documents.parquet"), str(tmp_path / "map")
+    rows_1, used = sharding.assign_shards(docs, 3, map_path=path)
+    grown = sharding.rebalance(docs, path)
+    assert {r.version for r in grown.collect()} == {2} and grown.count() == used.count()
+    rows_2, _ = sharding.assign_shards(docs, map_path=path, first=False)
+    before, after = ({(r.doc_id, r.text_crc32): r.shard for r in x.collect()} for x in (rows_1, rows_2))
+    assert all(after[k] in (s, 3) for k, s in before.items()) and set(after.values()) == {0, 1, 2, 3}
+    held = rows_2.groupBy("shard").agg(F.sum("size").alias("b")).toPandas().b
+    assert held.max() <= 1.2 * held.mean()
+    assert sharding.load_map(spark, path, 1).exceptAll(used).count() == 0
+
+
 def test_ann_recall(spark):
     d = "/root/testdata/sf0.01"
     table = duck(d).sql("select vec_id, embedding from embeddings order by vec_id").df()
@@ -119,6 +132,23 @@ def test_ann_awkward(spark):
     assert ann.search(v.limit(0), v).count() == 0 and ann.search(v, v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 11, 17, 24, 40])
+def test_ann_finds_all_there_are_in_small_tables(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 4))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(v, v).toPandas()
+    for q in range(n):
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, min(10, n - 1) + 1)) and len(set(mine.vec_id) - {q}) == len(mine)
+
+
+def test_ann_query_in_several_rows_asks_once(spark):
+    rows = [(0, [0.1, 1.0]), (0, [0.1, 1.0]), (0, [9.0, 1.0])] + [(i, [float(i), 1.0]) for i in range(1, 15)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(v, v.where("vec_id = 0"), probe_share=1.0).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(i, i) for i in range(1, 11)]
+
+
 # 4 ----------------------------------------------------------------------------------------------
 
 
@@ -235,6 +265,29 @@ def test_toxicity_held_out(spark):
     assert (recall + 1 - false) / 2 >= 0.9 and false <= 0.05
 
 
+def test_toxicity_recall_with_enough_labels(spark):
+    """Held-out recall of 0.9, where there are some hundred toxic labels to learn from."""
+    d = "/root/testdata/check_s"
+    if not Path(d).exists():
+        pytest.skip("no table with enough labels here")
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+    model = toxicity.fit(docs.where(queries.remainder(5) != 0), labels)
+    held = toxicity.score_documents(known.where(queries.remainder(5) == 0), model).toPandas()
+    assert (held.toxic == 1).sum() > 300
+    assert held[held.toxic == 1].predicted.mean() >= 0.9 and held[held.toxic == 0].predicted.mean() <= 0.02
+
+
+def test_toxicity_scores_words_as_it_was_trained():
+    texts = [[b"one", b"two", "zw\u00f6lf".encode(), b"a"], [b"two"], [b"x" * 300, b"one"] * 9]
+    model = toxicity.train(texts, [0, 1, 1])
+    bags = toxicity.Bags(texts)
+    _, vectors = bags.forward(model["table"])
+    margin = (vectors @ model["weights"] + model["bias"]) @ [-1.0, 1.0]
+    for d, own in enumerate(toxicity.Scorer(model).scores([b" ".join(t).decode() for t in texts])):
+        assert own == pytest.approx(1 / (1 + np.exp(-margin[bags.doc == d].max())), rel=1e-4)
+
+
 def test_toxicity_awkward_and_misspelt(spark):
     calm = [f"a calm sentence about gardens number {i} and walks" for i in range(60)]
     rude = [f"you stupid horrible idiot number {i} go away" for i in range(60)]
