@@ -2,11 +2,11 @@ r"""Operator 6, chat formatting with a grammar round trip (DataFrame functions o
 
 A conversation becomes ``<s>`` and its turns: ``[INST] text [/INST]`` for a
 user, `` text</s>`` for an assistant, ``[ROLE]role[/ROLE] text[/TURN]`` for any
-other role.  One regular expression reads it back.  Each conversation is
-rendered with raw texts, parsed and compared with its source; where they differ
-the conflicting texts are escaped (a backslash goes into each control string and
-before each backslash), and if need be every ``<``, ``[`` and ``\``; a
-conversation that still differed would fail the query.  The parser always
+other role.  One regular expression reads it back.  Control strings inside texts
+are escaped (a backslash goes into each and before each backslash).  Each
+conversation is rendered, parsed and compared with its source; where they differ
+every ``<``, ``[`` and ``\`` is escaped, and a conversation that still differed
+would fail the query.  The parser always
 unescapes, so no flag is needed.
 
 Defined results: rows are ordered by turn, then role, then text (nulls first);
@@ -25,8 +25,6 @@ START = "<s>"
 
 
 def escape(text: Column, level: int) -> Column:
-    if level == 0:
-        return text
     if level == 2:
         return F.regexp_replace(text, r"([\\<\[])", r"\\$1")
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), CONTROL, r"$1$3\\$2$4")
@@ -68,7 +66,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     chats = conversations.groupBy("conv_id").agg(source.alias("source")).withColumn("source", F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     fits = lambda level: F.coalesce(parse(render(F.col("source"), level)) == F.col("source"), F.lit(False))
     failed = F.raise_error(F.lit("a conversation does not survive its round trip")).cast("string")
-    formatted = F.when(fits(0), render(F.col("source"), 0)).when(fits(1), render(F.col("source"), 1)).when(fits(2), render(F.col("source"), 2)).otherwise(failed)
+    formatted = F.when(fits(1), render(F.col("source"), 1)).when(fits(2), render(F.col("source"), 2)).otherwise(failed)
     done = chats.select("conv_id", formatted.alias("formatted"))
     pieces = done.select("conv_id", F.col("formatted"), F.posexplode(F.regexp_extract_all("formatted", F.lit(TURN), F.lit(0))).alias("pos", "piece"))
     end = F.sum(F.length("piece").cast("long")).over(Window.partitionBy("conv_id").orderBy("pos")) + len(START)

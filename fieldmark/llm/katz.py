@@ -15,7 +15,9 @@ bucket; contexts that would overfill a bucket are split by word.  3. Buckets add
 up pair counts and are written as the table of pairs; sums of split contexts and
 counts of counts are added up over buckets.  4. A pass over that table computes
 backoff weights and scores, added up per document.  All that meets in one task
-is a chunk or a bucket, and the number of buckets follows the corpus.
+is a chunk or a bucket, and the number of buckets follows the corpus.  Both passes
+over the documents must cut the same chunks; a digest of each tells if they did
+not, and the query then fails.
 
 Defined results: a null or empty text is one end token; repeated rows are
 documents of their own; a null doc_id counts as an empty text when the fold is
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -112,6 +115,13 @@ class Unigrams:
         return np.where(count > 0, d * count / max(self.total, 1) * self.scale, self.unknown)
 
 
+def digest(held: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Tells whether a chunk is the same in both passes over the documents."""
+    whole = xxhash.xxh64(np.ascontiguousarray(tokens).tobytes())
+    whole.update(np.ascontiguousarray(lengths, np.int64).tobytes() + np.ascontiguousarray(held, bool).tobytes())
+    return np.array([whole.intdigest()], np.uint64)
+
+
 def send_words(docs: DataFrame, buckets: int) -> DataFrame:
     """Distinct words of each chunk with their training counts, by word bucket."""
 
@@ -122,7 +132,7 @@ def send_words(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = (distinct % np.uint64(buckets)).astype(int)
             order = np.argsort(bucket, kind="stable")
             for b, at in by_bucket(bucket[order]):
-                yield pd.DataFrame({"bucket": [b], "chunk": [chunk], "data": [pack(np.diff(distinct[order[at]], prepend=np.uint64(0)), counts[order[at]])]})
+                yield pd.DataFrame({"bucket": [b], "chunk": [chunk], "data": [pack(np.diff(distinct[order[at]], prepend=np.uint64(0)), counts[order[at]], digest(held, lengths, tokens))]})
 
     return docs.mapInPandas(send, PACKED)
 
@@ -139,7 +149,7 @@ def add_words(sent: DataFrame, buckets: int) -> DataFrame:
         if ids[-1] >= 1 << 32:
             raise ValueError("more words than 32-bit ids")
         edges = np.cumsum([0, *[len(p[0]) for p in parts]])
-        back = [pack(np.where(total[w] > 0, ids[w], UNKNOWN).astype(np.uint32), total[w]) for w in (place[a:b] for a, b in zip(edges, edges[1:], strict=False))]
+        back = [pack(np.where(total[w] > 0, ids[w], UNKNOWN).astype(np.uint32), total[w], p[2]) for p, w in ((p, place[a:b]) for p, a, b in zip(parts, edges, edges[1:], strict=False))]
         stats = np.append(np.bincount(np.minimum(total, MAX_DISCOUNTED + 2), minlength=MAX_DISCOUNTED + 3)[1 : MAX_DISCOUNTED + 2], [total.sum(), (total > 0).sum()])
         return pd.DataFrame({"bucket": bucket, "chunk": [*frame["chunk"], -1], "data": [*back, pack(stats)]})
 
@@ -155,7 +165,7 @@ def send_tokens(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort((distinct % np.uint64(buckets)).astype(int), kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
-            yield pd.DataFrame({"bucket": [-1], "chunk": [chunk], "data": [pack(np.array(ids, object), held, lengths.astype(np.uint32), rank[place])]})
+            yield pd.DataFrame({"bucket": [-1], "chunk": [chunk], "data": [pack(np.array(ids, object), held, lengths.astype(np.uint32), rank[place], digest(held, lengths, tokens))]})
 
     return docs.mapInPandas(send, PACKED)
 
@@ -166,8 +176,10 @@ def send_pairs(tokens: DataFrame, dictionary: DataFrame, uni: Unigrams, buckets:
 
     def send(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         chunk = int(own["chunk"].iloc[0])
-        doc_ids, held, lengths, place = unpack(own["data"].iloc[0])
+        doc_ids, held, lengths, place, mark = unpack(own["data"].iloc[0])
         parts = [unpack(d) for d in words.sort_values("bucket")["data"]]
+        if any(p[2][0] != mark[0] for p in parts):
+            raise ValueError("the documents came in another order when they were read again; write them to a table first")
         ids, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         w, count = ids[place], counts[place]
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int)

@@ -218,6 +218,15 @@ def test_katz_awkward(spark):
     assert [tuple(r) for r in untrained] == [(0.0, 0)]
 
 
+def test_katz_fails_when_the_second_pass_sees_other_chunks(spark):
+    docs = frame(spark, ["a b c", "d e"]).select("doc_id", "text").withColumn("held_out", F.lit(False)).coalesce(1)
+    other = frame(spark, ["a b", "c d e"]).select("doc_id", "text").withColumn("held_out", F.lit(False)).coalesce(1)
+    words = katz.add_words(katz.send_words(docs, 2), 2)
+    uni = katz.Unigrams(7, 6, np.array([5, 1, 0, 0, 0, 0]))
+    with pytest.raises(Exception, match="another order"):
+        katz.send_pairs(katz.send_tokens(other, 2), words.where("chunk >= 0"), uni, 2, 2).count()
+
+
 # 5 ----------------------------------------------------------------------------------------------
 
 
@@ -254,6 +263,12 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+def test_chat_escapes_control_strings_wherever_they_stand(spark):
+    chats = spark.createDataFrame([(1, 0, "assistant", "[INST]"), (2, 0, "user", "</s>")], "conv_id long, turn int, role string, text string")
+    got = {r.conv_id: r.formatted for r in chat.format_chats(chats).collect()}
+    assert got == {1: "<s> [\\INST]</s>", 2: "<s>[INST] <\\/s> [/INST]"}
+
+
 # 7 ----------------------------------------------------------------------------------------------
 
 
