@@ -63,8 +63,8 @@ LONG_RUN = 1_000_000
 BINS, BLOCK, PACK = 256, 2048, 5_000
 #: Ids of vertices, 8 bytes each, that are sent to all tasks at most; beyond, texts are shuffled to them.
 FEW = 500_000
-#: Sets that meet in a task, and in a block of a larger group; pairs that a task looks at together.
-SETS, SLAB = 512, 400_000
+#: Sets that meet in a task, and in a block of a larger group; pairs and rows that a task looks at together.
+SETS, SLAB, ROWS = 512, 400_000, 500
 SUMMARY = "doc_id long, n_shingles long, vertex long, other_key long, band int, profile binary"
 
 
@@ -123,6 +123,13 @@ def segment_entries(shingles: np.ndarray, band: int, plan: tuple[int, int, int])
     return distinct(np.concatenate([whole, mix(total[segment[near]] - shingles[near] + name[segment[near]])]))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, as a row grows into many entries."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def profile(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
 
@@ -132,7 +139,7 @@ def summarise(docs: DataFrame, size: int, p: int, q: int, seed: int = 0) -> Data
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands = WordHashes(), Bands(p, q)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(hashes.of(t.as_py()), size) for t in batch.column("text")]
             n = [len(s) for s in sets]
             keys = [set_keys(s, seed) if len(s) else (None, None) for s in sets]
@@ -148,7 +155,7 @@ def index_entries(docs: DataFrame, size: int, p: int, q: int, plans: dict[int, t
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, seen = WordHashes(), Bands(p, q), set()
-        for batch in batches:
+        for batch in slices(batches):
             found, keys = [], []
             for text in batch.column("text"):
                 s = shingle_set(hashes.of(text.as_py()), size)
@@ -241,7 +248,7 @@ def sets_of(docs: DataFrame, vertices: DataFrame, size: int, seed: int) -> DataF
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(hashes.of(t.as_py()), size) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([set_keys(s, seed)[0] if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["vertex", "shingles"])
 

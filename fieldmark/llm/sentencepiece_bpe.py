@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Cuts kept by a worker in each of two generations; a full younger one becomes the older.
-CACHE_SIZE = 600_000
+CACHE_SIZE = 200_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

@@ -7,7 +7,7 @@ import xxhash
 
 from .common import distinct, words
 
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

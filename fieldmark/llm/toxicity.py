@@ -34,12 +34,19 @@ MIN_SEEN, DECAY = 8, 1e-5
 #: Zero vectors averaged into each word, so that a word of few n-grams weighs less.
 SHRINK = 6
 SIZES = range(3, 6)
-#: Words whose scores a task keeps at most (and those of a part); words of a part; what a code point is multiplied by.
-CACHE_SIZE, PART, FACTOR = 400_000, 200_000, 0x100000001B3
+#: Words whose scores a task keeps at most (and those of a part); words of a part; what a code point is
+#: multiplied by; words that are hashed at once.
+CACHE_SIZE, PART, FACTOR, WORDS_AT_ONCE = 200_000, 50_000, 0x100000001B3, 20_000
 
 
 def subwords(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Position of a word and bucket, for the distinct buckets of each word: its character n-grams, its ends marked, and itself.
+    """Position of a word and bucket, for the distinct buckets of each word, some thousand words at a time."""
+    parts = [subwords_of(vocabulary[k : k + WORDS_AT_ONCE]) for k in range(0, max(len(vocabulary), 1), WORDS_AT_ONCE)]
+    return np.concatenate([w + k * WORDS_AT_ONCE for k, (w, _) in enumerate(parts)]).astype(np.int32), np.concatenate([b for _, b in parts]).astype(np.int32)
+
+
+def subwords_of(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a word: its character n-grams, its ends marked, and itself.
 
     All words at once: they lie in one array of code points with marks between them,
     and an n-gram is a polynomial of its code points, so that a whole word and an
@@ -89,24 +96,24 @@ class Bags:
         spans = [(d, t[s : s + WINDOW]) for d, t in enumerate(ids) for s in windows(len(t)) if s < len(t)]
         self.doc = np.array([d for d, _ in spans])
         self.word_n = np.array([len(s) for _, s in spans])
-        self.words = np.concatenate([s for _, s in spans])
+        self.words = np.concatenate([s for _, s in spans]).astype(np.int32)
         self.word_at = np.concatenate([[0], self.word_n.cumsum()[:-1]])
-        self.word_window = np.repeat(np.arange(len(spans)), self.word_n)
+        self.word_window = np.repeat(np.arange(len(spans), dtype=np.int32), self.word_n)
         self.seen = np.zeros(BUCKETS, int)
         grams = np.split(self.grams, self.gram_at[1:])
         for t in ids:  # document by document: all pairs at once would be the driver's largest array
             self.seen[distinct(np.concatenate([grams[w] for w in set(t.tolist())]))] += 1
 
     def forward(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        of_words = np.add.reduceat(table[self.grams], self.gram_at) / self.weight_n[:, None]
-        return of_words, np.add.reduceat(of_words[self.words], self.word_at) / self.word_n[:, None]
+        # One dimension at a time, which keeps the driver's arrays small.
+        of_words = np.stack([np.add.reduceat(table[:, k][self.grams], self.gram_at) / self.weight_n for k in range(DIM)], 1)
+        return of_words, np.stack([np.add.reduceat(of_words[:, k][self.words], self.word_at) / self.word_n for k in range(DIM)], 1)
 
     def backward(self, grad: np.ndarray) -> np.ndarray:
         """Gradient of the bucket table from that of the window vectors."""
-        at_words = (grad / self.word_n[:, None])[self.word_window]
         out = np.empty((BUCKETS, DIM), np.float32)
         for k in range(DIM):
-            of_words = np.bincount(self.words, at_words[:, k], len(self.gram_n)) / self.weight_n
+            of_words = np.bincount(self.words, (grad[:, k] / self.word_n)[self.word_window], len(self.gram_n)) / self.weight_n
             out[:, k] = np.bincount(self.grams, of_words[self.gram_word], BUCKETS)
         return out
 
