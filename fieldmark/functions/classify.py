@@ -123,3 +123,29 @@ def primary_type(classifications: Column, names: dict[str, str]) -> Column:
 def keyword_type(c: Column, types: list[tuple[str, list[str]]], default: str) -> Column:
     lower = F.lower(c)
     return reduce(lambda chain, t: chain.when(lower.rlike("|".join(t[1])), t[0]), types[1:], F.when(lower.rlike("|".join(types[0][1])), types[0][0])).otherwise(default)
+
+
+# Types of the Mexican register under the names of the map, and its ranges of employees.
+MEXICAN_TYPES = {"Aquaculture Facility": "Aquaculture Farm", "Fishing Operation": "Fishing Operation", "Animal Farming Service": "Farm / Breeder"}
+EMPLOYEES = {
+    "0 a 5 personas": "0-5", "6 a 10 personas": "6-10", "11 a 30 personas": "11-30", "31 a 50 personas": "31-50", "51 a 100 personas": "51-100",
+    "101 a 250 personas": "101-250", "251 y mas": "250+",
+}
+
+
+def mapped(c: Column, names: dict[str, str]) -> Column:
+    """The name of a value, the value itself where it has none."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), c), c)
+
+
+def mexican_category(facility_type: Column) -> Column:
+    return F.when(facility_type.contains("Aquaculture"), "Aquaculture").when(facility_type.contains("Fishing"), "Fishing").otherwise("Breeding/Farming")
+
+
+def employees(c: Column) -> Column:
+    return F.when(F.coalesce(c, F.lit("")) == "", "Unknown").otherwise(mapped(c, EMPLOYEES))
+
+
+def licence_icon(licence: Column) -> Column:
+    """The marker of an inspection; unknown licences look like breeders."""
+    return F.when(licence == "Class B - Dealer", "dealer").when(licence == "Class C - Exhibitor", "exhibitor").otherwise("breeder")

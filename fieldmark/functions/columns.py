@@ -131,3 +131,23 @@ def plain_text(html: Column) -> Column:
 
 def any_contains(c: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(t) for t in terms])
+
+
+def prefixed_id(prefix: str, number: Column) -> Column:
+    """A register's running number under its prefix, as in CA_ON_12."""
+    return F.concat(F.lit(f"{prefix}_"), number.cast("string"))
+
+
+def trade_name(operator: Column, name: Column) -> Column:
+    """The operator where it differs from the name, else blank."""
+    return F.when(~operator.eqNullSafe(name), F.coalesce(operator, F.lit(""))).otherwise("")
+
+
+def distinct_items(c: Column) -> Column:
+    """A '; ' list with each item once, at its first place."""
+    return F.array_join(F.array_distinct(F.split(c, "; ")), "; ")
+
+
+def query_address(*parts: Column, country: str = "Italy") -> Column:
+    """The parts that are not blank and the country, as a geocoder is asked."""
+    return F.concat_ws(", ", *[F.when(F.trim(p) != "", F.trim(p)) for p in parts], F.lit(country))

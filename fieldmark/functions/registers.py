@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .classify import function_type
+from .classify import facility_type, function_type
 from .columns import any_contains, filled, matched, outer_commas
 
 #: Product letters of Canadian federal codes and the (slaughter, processing) animals they stand for.
@@ -206,6 +206,36 @@ def lab_row(name: Column, line1: Column, line2: Column, city_state_zip: Column)
     ]
 
 
+def inspection_row(licence: Column, name: Column, state: Column, line1: Column, city_state_zip: Column, lat: Column, lng: Column, certificate: Column) -> list[Column]:
+    """An inspection's export columns: the licence's last word as type, the address without a comma at either end."""
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    place = blank(city_state_zip)
+    kind = F.when(licence == "Class A - Breeder", "Breeder").when(licence == "Class B - Dealer", "Dealer").when(licence == "Class C - Exhibitor", "Exhibitor").otherwise("Other")
+    return [
+        kind.alias("Type"), blank(name).alias("Name"), blank(state).alias("State"), _stripped(F.get(F.split(place, ","), F.lit(0))).alias("City"),
+        F.element_at(F.split(place, r"\s+"), -1).alias("ZIP"), _stripped(F.regexp_replace(F.concat(blank(line1), F.lit(", "), place), r"^,|,\z", "")).alias("Address"),
+        blank(lat).alias("Latitude"), blank(lng).alias("Longitude"), blank(certificate).alias("CertificateNumber"),
+    ]
+
+
+def facility_row(layer: str, dictionaries: list[dict[str, str]], name: str = "establishment_name") -> list[Column]:
+    """A facility's export columns from the location table: the label's key as type, or the layer's name where there is no type.
+
+    The label of a mixed farm is no text in the export, but an object.
+    """
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key, suffix, *_ = facility_type(F.col("type"))
+    layers = {"breeding": "Production Facility", "exhibition": "Exhibition Facility", "slaughter": "Slaughterhouse", "processing": "Processing"}
+    label = F.when(blank("type") == "", layers.get(layer, "Facility")).when(suffix != "", "[object Object]").otherwise(key)
+    state = display_state(_stripped(blank("state")), dictionaries)
+    number = lambda c: F.when(F.col(c) != 0, F.col(c).cast("string")).otherwise("")
+    return [
+        label.alias("Type"), blank(name).alias("Name"), display_state(F.col("state"), dictionaries).alias("State"), blank("city").alias("City"), blank("zip").alias("ZIP"),
+        facility_address(F.col("street"), F.col("city"), state, F.col("zip")).alias("Address"), number("latitude").alias("Latitude"), number("longitude").alias("Longitude"),
+        blank("establishment_id").alias("EstablishmentID"), blank("phone").alias("Phone"), blank("animals_processed").alias("AnimalsProcessed"), blank("animals_slaughtered").alias("AnimalsSlaughtered"),
+    ]
+
+
 def facility_address(street: Column, city: Column, state_name: Column, zip_code: Column) -> Column:
     """Street, city, state and zip; nothing without a street."""
     state = F.when(F.coalesce(state_name, F.lit("")) != "", F.concat(F.lit(", "), state_name)).otherwise("")
@@ -238,11 +268,12 @@ def url_part(c: Column) -> Column:
     return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
 
 
-def html_rows(html: Column, cells: int | None = None) -> Column:
-    """Rows of cell texts of all tables in a page; with ``cells``, only rows of so many."""
+def html_rows(html: Column, cells: int | None = None, skip: int = 0) -> Column:
+    """Rows of cell texts of all tables in a page, but the first ``skip``; with ``cells``, only rows of so many."""
     rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), lambda r: F.transform(
         F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), lambda c: _stripped(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " "))
     ))
+    rows = F.slice(rows, skip + 1, F.greatest(F.size(rows), F.lit(1))) if skip else rows
     return F.filter(rows, lambda r: F.size(r) == cells) if cells else rows
 
 

@@ -65,3 +65,29 @@ def meaningful(c: Column) -> Column:
 
 def in_box(lat: Column, lng: Column, south: float, north: float, west: float, east: float) -> Column:
     return (lat > south) & (lat < north) & (lng > west) & (lng < east)
+
+
+def inspection_filter(country: str, selected_state: str, term: str, state: Column, tag: Column, name: Column, licence: Column, shown: list[str], regions: dict[str, list[str]], tagged: set[str]) -> Column:
+    """Inspections of a country and state whose name or licence holds the term, on the layers that are shown."""
+    here = F.lit(True) if selected_state == "all" else state == selected_state
+    return country_match(country, state, tag, regions, tagged) & here & inspection_match(term, name, licence, shown)
+
+
+def located(row_id: Column, lat: Column, lng: Column) -> Column:
+    """Rows with an id and coordinates that are numbers of the globe."""
+    return (F.trim(row_id) != "") & lat.between(-90, 90) & lng.between(-180, 180)
+
+
+def placeable(lat: Column, lng: Column) -> Column:
+    """Coordinates that a marker can stand at: neither zero nor NaN nor missing."""
+    return (lat != 0) & (lng != 0) & ~F.isnan(lat) & ~F.isnan(lng)
+
+
+def researchable(company: Column) -> Column:
+    """Company names long and special enough to look up."""
+    return (F.length(company) >= 4) & ~F.lower(company).isin("meat", "usda")
+
+
+def first_of_type(df: DataFrame, kind: str, order: str, limit: int = 20) -> DataFrame:
+    """The first rows of one type in order."""
+    return df.where(F.col("type") == kind).orderBy(order).limit(limit)

@@ -26,6 +26,16 @@ PROCESSING_FLAGS = [f"{n}_processing" for n in animals.PROCESSING]
 COLUMNS = [*REQUIRED, *OPTIONAL, *SLAUGHTER_FLAGS, *PROCESSING_FLAGS]
 
 
+#: Headers of older registers under the names of today.
+RENAMED = {"activities": "type"}
+RESEARCH_HEADERS = {"Legal Name": "facility_name", "Certificate Number": "certificate_number", "City": "city", "State": "state", "Zip Code": "zip_code"}
+
+
+def renamed(df: DataFrame, names: dict[str, str] = RENAMED) -> DataFrame:
+    """Columns under new names; names that the table lacks are passed over."""
+    return df.withColumnsRenamed(names)
+
+
 def to_locations(df: DataFrame) -> DataFrame:
     """All columns of the location table: blanks for what is missing, 0.0 for missing coordinates; other columns go."""
     have = set(df.columns)

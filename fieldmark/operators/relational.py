@@ -92,3 +92,22 @@ def locale_sorted(df: DataFrame, column: str) -> DataFrame:
 def write_chunks(df: DataFrame, order: list[str], path: str, size: int = 2000) -> None:
     """CSV files of ``size`` rows in order, each in a folder chunk=1, chunk=2 and so on."""
     chunked(df, order, size).drop("id").repartition("chunk").sortWithinPartitions("chunk", *order).write.partitionBy("chunk").option("header", True).option("escape", '"').csv(path)
+
+
+def samples_per_type(df: DataFrame, kind: str, order: str, first: int = 20, each: int = 2) -> DataFrame:
+    """Of the first rows in order, the first few of each type."""
+    nth = F.row_number().over(Window.partitionBy(kind).orderBy(order))
+    return df.orderBy(order).limit(first).withColumn("_n", nth).where(F.col("_n") <= each).drop("_n")
+
+
+def with_cached_coordinates(df: DataFrame, cache: DataFrame) -> DataFrame:
+    """Coordinates by (street, city, zip) from a cache of texts; the last usable row of a key wins (by ``_ord``).
+
+    Rows whose coordinates are no finite numbers are passed over; a place that the cache lacks gets 0.0, 0.0.
+    """
+    number = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+    usable = cache.where(F.col("latitude").rlike(number) & F.col("longitude").rlike(number))
+    at = F.struct(F.trim("latitude").cast("double").alias("latitude"), F.trim("longitude").cast("double").alias("longitude"))
+    last = usable.groupBy("street", "city", "zip").agg(F.max_by(at, "_ord").alias("_at"))
+    found = df.drop("latitude", "longitude").join(last, ["street", "city", "zip"], "left")
+    return found.withColumns({c: F.coalesce(f"_at.{c}", F.lit(0.0)) for c in ("latitude", "longitude")}).drop("_at")

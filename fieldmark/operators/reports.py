@@ -55,3 +55,39 @@ def csv_line(*cols: Column) -> Column:
 
 def shown_coordinate(c: Column) -> Column:
     return F.when(c != 0, c.cast("string")).otherwise("")
+
+
+def most_common(df: DataFrame, column: str, order: str, limit: int = 10) -> DataFrame:
+    """The values of a column that most rows have; of equal ones, that which comes first in order."""
+    counts = df.groupBy(column).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    return counts.orderBy(F.desc("n"), "_first").limit(limit).drop("_first")
+
+
+def clustered(counts: DataFrame, shown: set[str], threshold: int = 2800) -> DataFrame:
+    """Total of the layers (layer, n) that are shown, inspections always, and whether so many markers are clustered."""
+    total = F.coalesce(F.sum(F.when(F.col("layer").isin(*shown, "inspections"), F.col("n"))), F.lit(0))
+    return counts.agg(total.alias("total"), (total >= threshold).alias("clustered"))
+
+
+def geocode_outcomes(df: DataFrame, valid: Column, found: Column) -> DataFrame:
+    """Rows whose coordinates were valid before, were found, or were not, and the share found of those looked up."""
+    looked_up = F.count_if(~valid)
+    share = F.round(100.0 * F.count_if(~valid & found) / F.nullif(looked_up, F.lit(0)), 1)
+    return df.agg(F.count_if(~valid & found).alias("geocoded"), F.count_if(~valid & ~found).alias("failed"), F.count_if(valid).alias("skipped"), share.alias("pct_found"))
+
+
+def popup_sections(slaughter: Column, slaughtered: Column, slaughter_volume: Column, processed: Column, processing_volume: Column, country: Column) -> list[Column]:
+    """Which parts of a facility's popup are shown; animals and processing stay hidden for Mexico, coordinates outside the US are approximate."""
+    has = lambda c: F.coalesce((F.trim(c) != "") & ~F.lower(c).isin("n/a", "unknown"), F.lit(False))
+    volume = lambda c: F.coalesce(c.isin("1.0", "2.0", "3.0", "4.0", "5.0"), F.lit(False))
+    foreign = F.coalesce(country != "mx", F.lit(True))
+    return [
+        (slaughter & has(slaughtered) & foreign).alias("shows_slaughtered"), (slaughter & volume(slaughter_volume)).alias("shows_slaughter_volume"),
+        (has(processed) & foreign).alias("shows_processed"), (volume(processing_volume) & foreign).alias("shows_processing_volume"),
+        F.coalesce((country != "") & (country != "us"), F.lit(False)).alias("approximate"),
+    ]
+
+
+def export_name(project: str, day: str, complete: bool) -> str:
+    """Name of an export file of a day (YYYY-MM-DD)."""
+    return f"{project}-visible-{day}-{'complete' if complete else 'filtered'}.csv"

@@ -1,3 +1,3 @@
 """Whole plans: registered queries over the tables."""
 
-from . import registers, registry  # noqa: F401
+from . import registers, registry, rules  # noqa: F401
