@@ -126,7 +126,7 @@ def keyword_type(c: Column, types: list[tuple[str, list[str]]], default: str) ->
 
 
 # Types of the Mexican register under the names of the map, and its ranges of employees.
-MEXICAN_TYPES = {"Aquaculture Facility": "Aquaculture Farm", "Fishing Operation": "Fishing Operation", "Animal Farming Service": "Farm / Breeder"}
+MEXICAN_NAMES = {"Aquaculture Facility": "Aquaculture Farm", "Fishing Operation": "Fishing Operation", "Animal Farming Service": "Farm / Breeder"}
 EMPLOYEES = {
     "0 a 5 personas": "0-5", "6 a 10 personas": "6-10", "11 a 30 personas": "11-30", "31 a 50 personas": "31-50", "51 a 100 personas": "51-100",
     "101 a 250 personas": "101-250", "251 y mas": "250+",

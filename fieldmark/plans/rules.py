@@ -93,7 +93,7 @@ _EMPLOYEES_SQL = "list_extract(['0-5', '251+', 'Unknown', '250+', 'Unknown'], CA
 def mexican_types(spark, d):
     given = _pick(["Aquaculture Facility", "Fishing Operation", "Animal Farming Service", "Zoo"], "p_partkey")
     people = classify.employees(_pick(["0 a 5 personas", "251+", "", "251 y mas", ""], "p_size"))
-    return table(spark, d, "part").select("p_partkey", classify.mapped(given, classify.MEXICAN_TYPES).alias("type"), classify.mexican_category(given).alias("category"), people.alias("employees"))
+    return table(spark, d, "part").select("p_partkey", classify.mapped(given, classify.MEXICAN_NAMES).alias("type"), classify.mexican_category(given).alias("category"), people.alias("employees"))
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name || ', LT, Italy' WHEN 1 THEN 'Via Roma 1, ' || s_name || ', Italy' ELSE s_name || ', Italy' END AS address FROM supplier")
