@@ -200,9 +200,13 @@ class Scorer:
         if len(self.cache) >= CACHE_SIZE:
             self.cache.clear()
         self.learn(list({w for t in texts for w in t if w not in self.cache}))
-        return [self.score(t) for t in texts]
+        return [self.windowed(t) for t in texts]
 
-    def score(self, text: list[bytes]) -> float:
+    def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
+
+    def windowed(self, text: list[bytes]) -> float:
+        """The score of the highest window of words that were learnt."""
         s = np.fromiter(map(self.cache.__getitem__, text), float, len(text))
         margin = self.bias
         if len(s):
