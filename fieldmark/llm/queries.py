@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontamination, jaccard_join, katz, line_dedup, sentencepiece_bpe, sharding, token_counts, toxicity
-from .common import table
+from . import ann, chat, decontamination, jaccard_join, katz, line_dedup, quality, ranked_search, sentencepiece_bpe, sharding, token_counts, toxicity, vector_codes
+from .common import staged, table
 
 #: Where the public vocabulary files are; a parameter of the operators.
 BPE_RANKS, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -115,13 +115,80 @@ FROM j GROUP BY doc_id
 """
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = staged(quality.with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
+    model = quality.fit(measured.where(remainder(4) != 2), table(spark, sf_dir, "labels"))
+    return quality.score_documents(measured, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    way = "list_sum(list_transform(range(1, len(x.xs) + 1), lambda i: (x.xs[i] - c.xs[i]) * (x.xs[i] - c.xs[i])))"
+    steps = []
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT x.r, x.p, min({way} * 64 + c.e) AS least FROM parts x JOIN c{k} c USING (p) GROUP BY x.r, x.p)")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""s{k} AS MATERIALIZED (SELECT p, e, i, sum(v)::BIGINT AS t, count(*) AS n
+                FROM (SELECT x.p, a.least % 64 AS e, unnest(x.xs) AS v, generate_subscripts(x.xs, 1) AS i FROM parts x JOIN a{k} a USING (r, p)) GROUP BY p, e, i)""")
+            steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.xs, c.xs) AS xs FROM c{k} c
+                LEFT JOIN (SELECT p, e, list((t - ((t % n) + n) % n) // n ORDER BY i) AS xs FROM s{k} GROUP BY p, e) m USING (p, e))""")
+    last = vector_codes.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, ints) - 1 AS r, vec_id, label, ints FROM (
+        SELECT vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * x::DOUBLE) AS BIGINT)) AS ints FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), parts AS MATERIALIZED (
+    SELECT r, p.p, ints[p.p * (len(ints) // 16) + 1 : (p.p + 1) * (len(ints) // 16)] AS xs FROM v, range(16) p(p)
+), c0 AS MATERIALIZED (SELECT p, r AS e, xs FROM parts WHERE r < 64), {", ".join(steps)}, coded AS (
+    SELECT r, string_agg(printf('%02x', least % 64), '' ORDER BY p) AS code, sum(least // 64)::BIGINT AS error FROM a{last} GROUP BY r
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(xs, ','), ',' ORDER BY p, e)) FROM c{last}) AS codebooks_sha256
+FROM v JOIN coded USING (r)
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 20)
+
+
+OP13_SQL = r"""
+WITH t AS (
+    SELECT row_number() OVER () AS d, doc_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+    FROM documents WHERE text IS NOT NULL
+), g AS (
+    SELECT count(*) AS docs, sum(len(ts))::BIGINT AS total FROM t WHERE len(ts) > 0
+), p AS (
+    SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(ts) AS term FROM t) GROUP BY d, term
+), w AS (
+    SELECT term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term, docs
+), q AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)) GROUP BY item_id, term
+), s AS (
+    SELECT item_id, d, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(ts) * docs) // total))))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN p USING (term) JOIN t USING (d), g GROUP BY item_id, d, doc_id
+), r AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
     found = [
         op1_token_counts, op2_sharding, op3_ann, op4_lm_scoring, op5_sentencepiece, op6_chat_formatting,
-        op7_toxicity, op8_decontamination, op9_jaccard_join, op10_line_dedup,
+        op7_toxicity, op8_decontamination, op9_jaccard_join, op10_line_dedup, op11_quality, op12_vector_codes,
+        op13_ranked_search,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op6_chat_formatting": OP6_SQL, "op10_line_dedup": OP10_SQL, "op12_vector_codes": _op12_sql(), "op13_ranked_search": OP13_SQL}
