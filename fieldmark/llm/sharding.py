@@ -8,11 +8,15 @@ Defined results: a null text counts as empty (size 1), a null id hashes as
 null, repeated rows are placed each for itself but share a slot, extra columns
 are ignored, and an empty table gives an empty result.  Identical rows (same id
 and text) are one key: should they hold more than a shard's share of all bytes,
-that shard is as much larger as the key is.
+that shard is as much larger as the key is.  Equal texts under several ids may
+part: rows are keyed by id and text.  A map names every slot, also those that
+held no row when it was made, so that later documents find a shard under it; a
+row whose slot the map lacks fails the query.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +40,8 @@ def slot_sizes(thin: DataFrame) -> DataFrame:
     return thin.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
 
-def first_map(sizes: DataFrame, n_shards: int) -> DataFrame:
-    """Version 1 of the map: the largest slot first, each to the lightest shard.
+def first_map(sizes: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
+    """A map of all slots: the largest slot first, each to the lightest shard; empty slots in turn.
 
     ``sizes`` has a row per slot, so the folded array is bounded by ``n_slots``.
     """
@@ -49,7 +53,10 @@ def first_map(sizes: DataFrame, n_shards: int) -> DataFrame:
             'out', concat(a.out, array(named_struct('virtual_slot', x.virtual_slot, 'shard', cast({lightest} as int))))),
         a -> a.out)"""
     slots = sizes.agg(F.sort_array(F.collect_list(F.struct("bytes", "virtual_slot")), asc=False).alias("slots"))
-    return slots.select(F.inline(F.expr(fold))).select(F.lit(1).alias("version"), "virtual_slot", "shard")
+    held = slots.select(F.inline(F.expr(fold)))
+    every = sizes.sparkSession.range(n_slots).select(F.col("id").cast("int").alias("virtual_slot"))
+    shard = F.coalesce("shard", F.pmod("virtual_slot", F.lit(n_shards)))
+    return every.join(F.broadcast(held), "virtual_slot", "left").select(F.lit(1).alias("version"), "virtual_slot", shard.alias("shard"))  # n_slots rows at most
 
 
 def grown_map(current: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame:
@@ -68,16 +75,28 @@ def grown_map(current: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame:
     )
 
 
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The latest version stored at ``path``, 0 if there is none."""
+    try:
+        found = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return found.agg(F.max("version")).first()[0] or 0
+
+
 def store_map(slot_map: DataFrame, path: str) -> None:
-    """Adds a version to the map's table; older versions stay."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    """Adds the map to its table as the version after the latest; older versions stay."""
+    version = latest_version(slot_map.sparkSession, path) + 1
+    slot_map.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A version of the stored map, the latest by default; only its own partition is read."""
     found = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
     if version is None:
-        version = found.agg(F.max("version")).first()[0]
+        version = latest_version(spark, path)
     return found.where(F.col("version") == F.lit(version)).select("version", "virtual_slot", "shard")
 
 
@@ -93,7 +112,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, ma
     """(rows, map): every document with its shard and its place in the shard, and the version of the map used.
 
     The map is made from the documents and stored at ``map_path`` (or in the
-    scratch folder); with ``first`` false the latest one stored there is used.
+    scratch folder) as a new version; with ``first`` false the latest one stored
+    there is used.
 
     A place is the row's number in its shard, from 0 without gaps.  Rows are
     numbered within their input partition and shard; a sum over the partitions
@@ -102,9 +122,10 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, ma
     thin = staged(slotted(docs, n_slots), "shard-rows")
     path = map_path or scratch_dir(docs.sparkSession, "slot-map")
     if first:
-        store_map(first_map(slot_sizes(thin), n_shards), path)
+        store_map(first_map(slot_sizes(thin), n_shards, n_slots), path)
     slot_map = load_map(docs.sparkSession, path)
-    placed = thin.join(F.broadcast(slot_map.drop("version")), "virtual_slot").withColumn("part", F.shiftright("row", 33))
+    placed = thin.join(F.broadcast(slot_map.drop("version")), "virtual_slot", "left").withColumn("part", F.shiftright("row", 33))  # n_slots rows
+    placed = placed.withColumn("shard", F.coalesce("shard", F.raise_error(F.concat(F.lit("the map has no slot "), F.col("virtual_slot").cast("string"))).cast("int")))
     starts = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select(
         "shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start")
     )

@@ -104,6 +104,19 @@ def test_sharding_map_is_stored_and_edited(spark, tmp_path):
     assert sharding.load_map(spark, path, 1).exceptAll(used).count() == 0
 
 
+def test_sharding_of_other_documents_under_an_old_map(spark, tmp_path):
+    docs, path = spark.read.parquet(f"{SF}/documents.parquet"), str(tmp_path / "map")
+    sharding.assign_shards(docs.where("doc_id < 50"), 3, map_path=path)
+    rows, used = sharding.assign_shards(docs, map_path=path, first=False)
+    assert rows.count() == docs.count() and used.count() == sharding.N_SLOTS
+    assert set(rows.toPandas().groupby("shard").size().index) == {0, 1, 2}
+    again, _ = sharding.assign_shards(docs, 3, map_path=path)  # a second first map is the next version
+    assert again.count() == docs.count() and sharding.latest_version(spark, path) == 2
+    sharding.store_map(used.where("virtual_slot > 2000"), path)
+    with pytest.raises(Exception, match="the map has no slot"):
+        sharding.assign_shards(docs, map_path=path, first=False)[0].collect()
+
+
 def test_ann_recall(spark):
     d = "/root/testdata/sf0.01"
     table = duck(d).sql("select vec_id, embedding from embeddings order by vec_id").df()
