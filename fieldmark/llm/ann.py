@@ -2,36 +2,37 @@
 
 Coarse centroids and the residuals' codebooks are fitted in numpy on a bounded
 sample (``TRAIN``); every vector is indexed under its nearest centroid as a code
-of ``SUBSPACES`` bytes.  A query probes the lists of its nearest centroids; in
-each block of a list asymmetric distance tables rank the codes and the best
-``DEPTH`` are measured exactly on the original vectors.  Lists are cut into
-blocks of bounded size, and so are the queries of a list, so that one centroid
-that holds a third of all rows is many tasks.
+of ``SUBSPACES`` bytes.  How many lists a query probes is measured on the sample:
+as many as hold ``REACH`` of the true neighbours of its rows.  In each block of a
+probed list asymmetric distance tables rank the codes; the ``depth`` best of all
+blocks, merged in two steps, are measured exactly on the original vectors, which
+are fetched for them alone.  Lists are cut into blocks of bounded size, and so
+are the queries of a list, so that one centroid that holds a third of all rows
+is many tasks; only codes and queries travel to meet.
 
 Fitting looks at the sample only, and the number of lists follows the number of
 rows up to ``MAX_LISTS``.  Defined results: vectors that are null, zero, of
-another dimension than the sample's, or hold null or non-finite components take
-no part; ties go to the smaller id; a query id in several rows asks once, with the
-least of its vectors, and rows of its own id never count; a candidate id in
-several rows is a candidate with each; a query whose probed lists hold fewer
-than ``k`` candidates searches all lists; empty tables give no rows; extra
-columns are ignored.
+another dimension than the most frequent one (the larger of equally frequent
+ones), or hold null or non-finite components take no part; ties go to the smaller
+id; a query id in several rows asks once, with the least of its vectors, and rows
+of its own id never count; a candidate id in several rows is a candidate with
+each; a query whose probed lists hold fewer than ``k`` candidates searches all
+lists; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
 TRAIN, SUBSPACES, CODES = 20_000, 16, 256
-MAX_LISTS, DEPTH, BLOCK, QUERY_BLOCK = 4096, 64, 2048, 512
-#: Share of the lists that a query probes; vectors spread evenly over the sphere need most of them.
-PROBE_SHARE = 0.7
-RESULT = "query_id long, vec_id long, score double"
+MAX_LISTS, DEPTH, BLOCK, QUERY_BLOCK, MERGES = 4096, 256, 2048, 512, 64
+#: Share of true neighbours that the probed lists shall hold, and the sample's rows that it is measured with.
+REACH, ASKED = 0.96, 200
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ class Quantiser:
     """Coarse centroids, and a codebook of residuals for each subspace."""
 
     def __init__(self, sample: np.ndarray, lists: int):
-        self.dim = sample.shape[1]
+        self.dim, self.sample = sample.shape[1], sample
         self.centres = kmeans(sample, lists)
         rest = sample - self.centres[squared(sample, self.centres).argmin(1)]
         self.edges = np.linspace(0, self.dim, min(SUBSPACES, self.dim) + 1).astype(int)
@@ -81,32 +82,45 @@ class Quantiser:
         return [squared(p, b)[0] for p, b in zip(self.parts((query - self.centres[at])[None]), self.books, strict=True)]
 
 
-def fit(vectors: DataFrame, train: int = TRAIN) -> Quantiser | None:
+def fit(vectors: DataFrame, dim: int, train: int = TRAIN) -> Quantiser | None:
     """Fits on at most ``train`` rows, chosen by a hash of the id."""
     n = vectors.count()
-    rows = [r[0] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(train).collect()]
-    if not rows:
-        return None
-    sample = np.array([r for r in rows if len(r) == len(rows[0])])
-    return Quantiser(sample, int(min(MAX_LISTS, max(1, len(sample) // 8), max(1, n**0.5 / 2))))
+    sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(train).collect()]).reshape(-1, dim)
+    return Quantiser(sample, int(min(MAX_LISTS, max(1, len(sample) // 8), max(1, n**0.5 / 2)))) if len(sample) else None
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: float = PROBE_SHARE, depth: int = DEPTH) -> DataFrame:
+def probes_needed(fitted: Quantiser, sample: np.ndarray, k: int, reach: float = REACH) -> int:
+    """Lists to probe so that they hold ``reach`` of the sample's true neighbours of some of its rows."""
+    asked = sample[:: max(1, len(sample) // ASKED)]
+    way = squared(asked, sample)
+    way[np.arange(len(asked)), np.arange(0, len(sample), max(1, len(sample) // ASKED))] = np.inf
+    near = np.argsort(way, 1, kind="stable")[:, : max(1, min(k, len(sample) - 1))]
+    order = fitted.probes(asked, len(fitted.centres))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(order), 0), 1)
+    home = squared(sample, fitted.centres).argmin(1)
+    return int(np.quantile(np.take_along_axis(place, home[near], 1), reach)) + 1
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | None = None, depth: int = DEPTH) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest found for each row of ``queries``."""
-    spark, base, asked = vectors.sparkSession, valid(vectors), valid(queries)
-    fitted = fit(base)
-    if fitted is None:
+    spark, base = vectors.sparkSession, valid(vectors)
+    sizes = base.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = len(fitted.centres)
-    shipped, dim = spark.sparkContext.broadcast(fitted), fitted.dim  # of a fixed size
+    dim = sizes[0]["dim"]
     sized = F.size("embedding") == dim
+    base = staged(base.where(sized).withColumn("row", F.monotonically_increasing_id()), "vectors")  # so that a row keeps its number
+    fitted = fit(base, dim)
+    lists, wanted = len(fitted.centres), probes or probes_needed(fitted, fitted.sample, k)
+    fitted.sample = None
+    shipped = spark.sparkContext.broadcast(fitted)  # of a fixed size
 
     def index(frames):
         for f in frames:
             if len(f):
-                x = np.stack(f["embedding"].to_numpy())
-                lists, codes = shipped.value.encode(x)
-                yield pd.DataFrame({"list": lists, "vec_id": f["vec_id"], "code": [c.tobytes() for c in codes], "vector": [v.tobytes() for v in x]})
+                lists, codes = shipped.value.encode(np.stack(f["embedding"].to_numpy()))
+                yield pd.DataFrame({"list": lists, "row": f["row"], "vec_id": f["vec_id"], "code": [c.tobytes() for c in codes]})
 
     def route(probes: int):
         def rows(frames):
@@ -118,46 +132,48 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probe_share: flo
 
         return rows
 
-    stored = staged(base.where(sized).mapInPandas(index, "list int, vec_id long, code binary, vector binary"), "ivf-index")
+    stored = staged(base.mapInPandas(index, "list int, row long, vec_id long, code binary"), "ivf-index")
     # Blocks per list: a table of MAX_LISTS rows at most.
     blocks = stored.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    def scan(codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+
+    def scan(key, codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(codes) and len(asked):
             codes = codes.sort_values("vec_id", kind="stable")
-            ids, at = codes["vec_id"].to_numpy(), int(codes["list"].iloc[0])
+            ids, rows = codes["vec_id"].to_numpy(), codes["row"].to_numpy()
             words = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(ids), -1)
-            x = np.frombuffer(b"".join(codes["vector"])).reshape(len(ids), dim)
             for q, raw in zip(asked["query_id"], asked["query"], strict=True):
-                v = np.frombuffer(raw)
-                near = sum(t[words[:, j]] for j, t in enumerate(shipped.value.tables(v, at)))
-                best = np.argsort(np.where(ids == q, np.inf, near), kind="stable")[:depth]
-                best = best[ids[best] != q]
-                exact = np.sqrt(((x[best] - v) ** 2).sum(1))
-                top = np.lexsort((ids[best], exact))[:k]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best][top], "score": exact[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                near = sum(t[words[:, j]] for j, t in enumerate(shipped.value.tables(np.frombuffer(raw), int(key[0]))))
+                best = np.argsort(np.where(ids == q, np.inf, near), kind="stable")[: depth + (ids == q).sum()]
+                best = best[ids[best] != q][:depth]
+                out.append(pd.DataFrame({"query_id": q, "near": near[best], "vec_id": ids[best], "row": rows[best], "part": int(key[1]) * 31 + int(key[0])}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "near": [], "vec_id": [], "row": [], "part": []})
 
     key = ["list", "block", "query_block"]
 
     def nearest(questions: DataFrame, probes: int) -> DataFrame:
-        """query_id and the best (score, vec_id) of its ``probes`` nearest lists."""
+        """query_id, vec_id, score and rank of the best of its ``probes`` nearest lists."""
         routed = questions.mapInPandas(route(probes), "list int, query_id long, query binary").join(F.broadcast(blocks), "list")
         asked_blocks = staged(routed, "ivf-queries")
         query_blocks = asked_blocks.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-        left = stored.join(F.broadcast(blocks), "list").join(F.broadcast(query_blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("long"))
-        left = left.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).select(*key, "vec_id", "code", "vector")
+        left = stored.join(F.broadcast(blocks), "list").join(F.broadcast(query_blocks), "list").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("long"))
+        left = left.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).select(*key, "row", "vec_id", "code")
         right = asked_blocks.join(F.broadcast(query_blocks), "list").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int"))
         right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select(*key, "query_id", "query")
-        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, RESULT)
-        return found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-
-    questions = asked.where(sized).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    probes = max(1, round(probe_share * lists))
-    first = staged(nearest(questions, probes), "ivf-found")
-    best = first
-    if probes < lists:
-        enough = first.where(F.size("best") >= k)
-        short = staged(questions.join(enough.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "ivf-short")
-        best = enough.union(nearest(short, lists)) if not short.isEmpty() else enough
-    return best.select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, "query_id long, near double, vec_id long, row long, part long")
+        ranked = lambda df, by, *order: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        found = ranked(found.withColumn("part", F.pmod("part", F.lit(MERGES))), ["query_id", "part"], "near", "vec_id", "row").where(F.col("rank") <= depth)
+        found = ranked(found, ["query_id"], "near", "vec_id", "row").where(F.col("rank") <= depth).select("query_id", "row")
+        pairs = found.join(base.select("row", "vec_id", "embedding"), "row").join(questions.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
+        squares = F.aggregate(F.zip_with("embedding", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+        exact = pairs.select("query_id", "vec_id", "row", F.sqrt(squares).alias("score"))
+        return ranked(exact, ["query_id"], "score", "vec_id", "row").where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    questions = staged(valid(queries).where(sized).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ivf-questions")
+    best = first = staged(nearest(questions, min(wanted, lists)), "ivf-found")
+    if wanted < lists:
+        enough = first.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= k)
+        short = staged(questions.join(enough, "vec_id", "left_anti"), "ivf-short")
+        if not short.isEmpty():
+            best = first.join(enough.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi").union(nearest(short, lists))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
