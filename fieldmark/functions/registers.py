@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 from .classify import facility_type, function_type
 from .columns import any_contains, filled, matched, outer_commas
 
-#: Product letters of Canadian federal codes and the (slaughter, processing) animals they stand for.
+#: Product letters of Canadian federal codes and the animals they stand for, in slaughter and in processing.
 FEDERAL_LETTERS = {
-    "ABC": ("beef_cow", "beef"), "DE": ("market_swine", "pork"), "FGI": ("young_chicken", "chicken"), "K": ("young_turkey", "turkey"),
-    "R": ("duck", "duck"), "S": ("goat", "goat"), "V": ("sheep", "sheep"), "X": ("rabbit", "rabbit"),
-}
+    "A": ("beef_cow_slaughter", "beef_processing"),
+    "B": ("beef_cow_slaughter", "beef_processing"),
+    "C": ("beef_cow_slaughter", "beef_processing"),
+    "D": ("market_swine_slaughter", "pork_processing"),
+    "E": ("market_swine_slaughter", "pork_processing"),
+    "F": ("young_chicken_slaughter", "chicken_processing"),
+    "G": ("young_chicken_slaughter", "chicken_processing"),
+    "I": ("young_chicken_slaughter", "chicken_processing"),
+    "K": ("young_turkey_slaughter", "turkey_processing"),
+    "R": ("duck_slaughter", "duck_processing"),
+    "S": ("goat_slaughter", "goat_processing"),
+    "V": ("sheep_slaughter", "sheep_processing"),
+    "X": ("rabbit_slaughter", "rabbit_processing"),
+}
 #: Activities of the folders of the French map.
 FRENCH_FOLDERS = {
     "Elevages divers": "Animal Production", "Elevages et Accessoires de chasse et pêche": "Animal Production; Hunting/Game", "Elevages de Chasse (AUTRES)": "Animal Production; Hunting/Game",
@@ -23,28 +34,57 @@ FRENCH_FOLDERS = {
 }
 #: German species codes and the flags they set, for slaughter and for processing.
 GERMAN_SLAUGHTER = {
-    "B": "beef_cow steer heifer bull_stag dairy_cow heavy_calf bob_veal formula_fed_veal non_formula_fed_veal", "P": "market_swine sow roaster_swine", "wU": "boar_stag_swine stag_swine feral_swine",
-    "C": "goat young_goat adult_goat", "O": "sheep lamb", "L": "rabbit", "R": "ostrich emu rhea",
-    "A": "poultry young_chicken light_fowl heavy_fowl capon young_turkey young_breeder_turkey old_breeder_turkey fryer_roaster_turkey duck goose",
+    "B": ["beef_cow_slaughter", "steer_slaughter", "heifer_slaughter", "bull_stag_slaughter", "dairy_cow_slaughter", "heavy_calf_slaughter", "bob_veal_slaughter", "formula_fed_veal_slaughter", "non_formula_fed_veal_slaughter"],
+    "P": ["market_swine_slaughter", "sow_slaughter", "roaster_swine_slaughter"],
+    "wU": ["boar_stag_swine_slaughter", "stag_swine_slaughter", "feral_swine_slaughter"],
+    "C": ["goat_slaughter", "young_goat_slaughter", "adult_goat_slaughter"],
+    "O": ["sheep_slaughter", "lamb_slaughter"],
+    "L": ["rabbit_slaughter"],
+    "R": ["ostrich_slaughter", "emu_slaughter", "rhea_slaughter"],
+    "A": ["poultry_slaughter", "young_chicken_slaughter", "light_fowl_slaughter", "heavy_fowl_slaughter", "capon_slaughter", "young_turkey_slaughter", "young_breeder_turkey_slaughter", "old_breeder_turkey_slaughter", "fryer_roaster_turkey_slaughter", "duck_slaughter", "goose_slaughter"],
+}
+GERMAN_PROCESSING = {
+    "A": ["poultry_processing", "chicken_processing", "duck_processing", "goose_processing", "turkey_processing"],
+    "B": ["beef_processing"],
+    "P": ["pork_processing"],
+    "wU": ["deer_processing", "elk_processing"],
+    "C": ["goat_processing"],
+    "L": ["rabbit_processing"],
+    "O": ["sheep_processing"],
+    "R": ["ratite_processing"],
 }
-GERMAN_PROCESSING = {"A": "poultry chicken duck goose turkey", "B": "beef", "P": "pork", "wU": "deer elk", "C": "goat", "L": "rabbit", "O": "sheep", "R": "ratite"}
 #: Italian species codes, in the order of the list.
 ITALIAN_SPECIES = {"B": "Cattle (Cows, Bulls)", "P": "Pigs", "C": "Chickens", "S": "Sheep & Lambs", "O": "Other"}
 #: Keywords in Mexican activities and the flags they set (a word may set several).
 MEXICAN_FLAGS = {
-    "beef": "beef_slaughter beef_cow_slaughter steer_slaughter heifer_slaughter bull_stag_slaughter dairy_cow_slaughter beef_processing",
-    "pork": "market_swine_slaughter sow_slaughter roaster_swine_slaughter pork_processing",
-    "poultry": "poultry_slaughter young_chicken_slaughter light_fowl_slaughter heavy_fowl_slaughter young_turkey_slaughter chicken_processing turkey_processing",
-    "avicultura": "poultry_slaughter young_chicken_slaughter chicken_processing", "ganado": "beef_slaughter beef_cow_slaughter beef_processing meat_slaughter", "carne": "meat_slaughter",
-    "cerdo": "market_swine_slaughter pork_processing", "conejo": "rabbit_slaughter rabbit_processing", "cabra": "goat_slaughter goat_processing", "oveja": "sheep_slaughter",
-    "pez": "poultry_slaughter", "aves": "poultry_slaughter",
+    "beef": ["beef_slaughter", "beef_cow_slaughter", "steer_slaughter", "heifer_slaughter", "bull_stag_slaughter", "dairy_cow_slaughter", "beef_processing"],
+    "pork": ["market_swine_slaughter", "sow_slaughter", "roaster_swine_slaughter", "pork_processing"],
+    "poultry": ["poultry_slaughter", "young_chicken_slaughter", "light_fowl_slaughter", "heavy_fowl_slaughter", "young_turkey_slaughter", "chicken_processing", "turkey_processing"],
+    "avicultura": ["poultry_slaughter", "young_chicken_slaughter", "chicken_processing"],
+    "ganado": ["beef_slaughter", "beef_cow_slaughter", "beef_processing", "meat_slaughter"],
+    "carne": ["meat_slaughter"],
+    "cerdo": ["market_swine_slaughter", "pork_processing"],
+    "conejo": ["rabbit_slaughter", "rabbit_processing"],
+    "cabra": ["goat_slaughter", "goat_processing"],
+    "oveja": ["sheep_slaughter"],
+    "pez": ["poultry_slaughter"],
+    "aves": ["poultry_slaughter"],
 }
 #: Species columns of the Ontario register and the flags they set.
 ONTARIO_SPECIES = {
-    "Beef_Boeuf": "beef_cow", "Pigs_Porcs": "market_swine", "Chicken, Fowl_Poulet, Oiseaux de basse-cour": "young_chicken", "Turkeys_Dindes": "young_turkey",
-    "Ducks, Geese_Canards, Oies": "duck", "Rabbits_Lapins": "rabbit", "Goats, Lamb, Sheep_Chèvres, Agneaux, Moutons": "goat lamb sheep",
-    "Veal, Light Calves_Veaux de boucherie, Veaux légers": "heavy_calf", "Deer, Elk_Cerfs, Élans": "deer_reindeer elk", "Buffalo,Yak_Bison, Yack": "bison yak",
-    "Emus, Ostrich, Rhea_Émeus, Autruches, Nandous": "ostrich emu", "Alpaca, Llama_Alpaga, Lama": "other_voluntary_livestock", "Fancy Poultry_Volaille à chair fine": "other_voluntary_poultry",
+    "Beef_Boeuf": ["beef_cow_slaughter"],
+    "Pigs_Porcs": ["market_swine_slaughter"],
+    "Chicken, Fowl_Poulet, Oiseaux de basse-cour": ["young_chicken_slaughter"],
+    "Turkeys_Dindes": ["young_turkey_slaughter"],
+    "Ducks, Geese_Canards, Oies": ["duck_slaughter"],
+    "Rabbits_Lapins": ["rabbit_slaughter"],
+    "Goats, Lamb, Sheep_Chèvres, Agneaux, Moutons": ["goat_slaughter", "lamb_slaughter", "sheep_slaughter"],
+    "Veal, Light Calves_Veaux de boucherie, Veaux légers": ["heavy_calf_slaughter"],
+    "Deer, Elk_Cerfs, Élans": ["deer_reindeer_slaughter", "elk_slaughter"],
+    "Buffalo,Yak_Bison, Yack": ["bison_slaughter", "yak_slaughter"],
+    "Emus, Ostrich, Rhea_Émeus, Autruches, Nandous": ["ostrich_slaughter", "emu_slaughter"],
+    "Alpaca, Llama_Alpaga, Lama": ["other_voluntary_livestock_slaughter"],
+    "Fancy Poultry_Volaille à chair fine": ["other_voluntary_poultry_slaughter"],
 }
 #: What is no part of a laboratory's postal address.
 ADDRESS_NOISE = [
@@ -73,10 +113,8 @@ def _any(tests: list[tuple[str, Column]]) -> dict[str, Column]:
 def federal_animals(codes: Column) -> dict[str, Column]:
     """Flag columns of Canadian federal codes: letters anywhere in the text, for slaughter or else for processing."""
     upper, slaughters = F.upper(codes), function_type(codes) == "Slaughter"
-    tests = {}
-    for letters, (killed, made) in FEDERAL_LETTERS.items():
-        tests |= {f"{killed}_slaughter": slaughters & upper.rlike(f"[{letters}]"), f"{made}_processing": ~slaughters & upper.rlike(f"[{letters}]")}
-    return _flags(tests)
+    pairs = [(letter, flags) for letter, flags in FEDERAL_LETTERS.items()]
+    return _any([(killed, slaughters & upper.contains(letter)) for letter, (killed, _) in pairs] + [(made, ~slaughters & upper.contains(letter)) for letter, (_, made) in pairs])
 
 
 def french_activity(description: Column, folder: Column) -> Column:
@@ -101,8 +139,8 @@ def german_activity(codes: Column) -> Column:
 def german_animals(codes: Column, species: Column) -> dict[str, Column]:
     """Flag columns of German codes; species codes are found anywhere, so that wA and wL count as A and L too."""
     kills, makes = german_activity(codes).contains("Slaughter"), german_activity(codes).contains("Processing")
-    tests = [(f"{n}_slaughter", kills & species.contains(k)) for k, names in GERMAN_SLAUGHTER.items() for n in names.split()]
-    tests += [(f"{n}_processing", makes & species.contains(k)) for k, names in GERMAN_PROCESSING.items() for n in names.split()]
+    tests = [(n, kills & species.contains(k)) for k, names in GERMAN_SLAUGHTER.items() for n in names]
+    tests += [(n, makes & species.contains(k)) for k, names in GERMAN_PROCESSING.items() for n in names]
     return _any([("meat_slaughter", kills), ("meat_processing", makes), ("slaughter_or_processing_only", kills != makes), *tests])
 
 
@@ -133,7 +171,7 @@ def mexican_address(kind: Column, street: Column, number: Column, letter: Column
 def mexican_animals(activity: Column) -> dict[str, Column]:
     """Flag columns of an activity's keywords; all keywords that occur count."""
     text = F.lower(F.coalesce(activity, F.lit("")))
-    return _any([(flag, text.contains(word)) for word, flags in MEXICAN_FLAGS.items() for flag in flags.split()])
+    return _any([(flag, text.contains(word)) for word, flags in MEXICAN_FLAGS.items() for flag in flags])
 
 
 def nz_activity(risk: Column, programme: Column) -> Column:
@@ -190,7 +228,7 @@ def ontario_type(slaughters: Column, processes: Column) -> Column:
 
 def ontario_animals(held=lambda name: F.col(f"`{name}`")) -> dict[str, Column]:
     """Flag columns of the species columns that hold '1'."""
-    return _any([(f"{flag}_slaughter", held(name) == "1") for name, flags in ONTARIO_SPECIES.items() for flag in flags.split()])
+    return _any([(flag, held(name) == "1") for name, flags in ONTARIO_SPECIES.items() for flag in flags])
 
 
 def lab_row(name: Column, line1: Column, line2: Column, city_state_zip: Column) -> list[Column]:

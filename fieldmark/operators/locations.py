@@ -36,12 +36,12 @@ def renamed(df: DataFrame, names: dict[str, str] = RENAMED) -> DataFrame:
     return df.withColumnsRenamed(names)
 
 
-def to_locations(df: DataFrame) -> DataFrame:
-    """All columns of the location table: blanks for what is missing, 0.0 for missing coordinates; other columns go."""
+def to_locations(df: DataFrame, *kept: str) -> DataFrame:
+    """All columns of the location table: blanks for what is missing, 0.0 for missing coordinates; other columns but ``kept`` go."""
     have = set(df.columns)
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in have else F.lit("")
     number = lambda c: F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)
-    return df.select([(number(c) if c in ("latitude", "longitude") else text(c)).alias(c) for c in COLUMNS])
+    return df.select(*[(number(c) if c in ("latitude", "longitude") else text(c)).alias(c) for c in COLUMNS], *kept)
 
 
 def shown_locations(locations: DataFrame) -> DataFrame:
@@ -51,21 +51,21 @@ def shown_locations(locations: DataFrame) -> DataFrame:
     return locations.select("country", *same, *lists, "slaughter_volume_category", "processing_volume_category", "dbas", "phone", "grant_date")
 
 
-def read_countries(spark: SparkSession, folder: str, countries: list[str]) -> DataFrame:
+def read_countries(spark: SparkSession, folder: str, countries: list[str], ordered: bool = False) -> DataFrame:
     """The registers <folder>/<country>/locations.csv under one another; a missing one warns and is skipped, a bad row fails.
 
-    The country is a literal of each branch of the union, so a filter on it drops the other files from the plan.
+    With ``ordered`` rows have their place in the register as ``_ord``.  The country is a literal of each branch of the union, so a filter on it drops the other files from the plan.
     """
     found = []
     for country in countries:
         try:
-            rows = read_register(spark, f"{folder}/{country}/locations.csv", REQUIRED, ["latitude", "longitude"])
+            rows = read_register(spark, f"{folder}/{country}/locations.csv", REQUIRED, ["latitude", "longitude"], ordered=ordered)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             warnings.warn(f"no register of {country}", stacklevel=2)
             continue
-        found.append(to_locations(rows).withColumn("country", F.lit(country)))
+        found.append(to_locations(rows, *["_ord"] * ordered).withColumn("country", F.lit(country)))
     if not found:
         raise ValueError(f"no register in {folder}")
     first, *rest = found

@@ -91,7 +91,7 @@ def locale_sorted(df: DataFrame, column: str) -> DataFrame:
 
 def write_chunks(df: DataFrame, order: list[str], path: str, size: int = 2000) -> None:
     """CSV files of ``size`` rows in order, each in a folder chunk=1, chunk=2 and so on."""
-    chunked(df, order, size).drop("id").repartition("chunk").sortWithinPartitions("chunk", *order).write.partitionBy("chunk").option("header", True).option("escape", '"').csv(path)
+    chunked(df, order, size).drop("id").repartition("chunk").sortWithinPartitions("chunk", *order).write.partitionBy("chunk").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def samples_per_type(df: DataFrame, kind: str, order: str, first: int = 20, each: int = 2) -> DataFrame:

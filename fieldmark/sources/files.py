@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import read_in_order, with_source_order
 
-def read_register(spark: SparkSession, path: str, required: list[str], numbers: list[str], policy: str = "fail", encoding: str = "UTF-8") -> DataFrame:
-    """A CSV with a header, blanks as '', ``numbers`` as doubles.
+
+def read_register(spark: SparkSession, path: str, required: list[str], numbers: list[str], policy: str = "fail", encoding: str = "UTF-8", ordered: bool = False) -> DataFrame:
+    """A CSV with a header, blanks as '', ``numbers`` as doubles; with ``ordered`` also ``_file`` and ``_ord``, the row's place in it.
 
     All columns are read as text and cast here, so that column pruning cannot
     change which rows are bad: 'drop' filters them, 'fail' raises on reading.
+    Rows that are dropped leave a gap in the order.
     """
     raw = spark.read.option("header", True).option("escape", '"').option("encoding", encoding).csv(path)
-    if missing := set(required) - set(raw.columns):
+    if ordered:
+        placed = with_source_order(raw)
+        return _checked(placed, [c for c in placed.columns if c not in ("_file", "_ord")], required, numbers, policy)
+    return _checked(raw, raw.columns, required, numbers, policy)
+
+
+def _checked(raw: DataFrame, names: list[str], required: list[str], numbers: list[str], policy: str) -> DataFrame:
+    if missing := set(required) - set(names):
         raise ValueError(f"missing columns: {sorted(missing)}")
-    text = raw.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
+    text = raw.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in names else F.col(c) for c in raw.columns])
     parsed = {n: F.col(f"`{n}`").try_cast("double") for n in numbers}
     if policy == "drop":
         for c in parsed.values():
@@ -55,11 +65,14 @@ def read_positional(spark: SparkSession, path: str, names: list[str], separator:
 
 
 def write_export(tables: list[DataFrame], path: str) -> None:
-    """Tables with differing columns as one CSV under the union of their headers, in order of appearance; lacking values are blank."""
+    """Tables with differing columns as one CSV under the union of their headers, in order of appearance; lacking values are blank.
+
+    Every part file has a header; ``exports.write_client_csv`` writes one before all rows.
+    """
     first, *rest = tables
     for df in rest:
         first = first.unionByName(df, allowMissingColumns=True)
-    first.write.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
+    first.write.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_xml_rows(spark: SparkSession, path: str, schema: str, row_tag: str = "row") -> DataFrame:
@@ -67,9 +80,11 @@ def read_xml_rows(spark: SparkSession, path: str, schema: str, row_tag: str = "r
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
-def read_all(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files with differing headers under one another; missing columns are null."""
-    first, *rest = [spark.read.option("header", True).csv(p) for p in paths]
+def read_all(spark: SparkSession, paths: list[str], ordered: bool = False) -> DataFrame:
+    """Files with differing headers under one another; missing columns are null.  ``ordered`` adds what ``read_in_order`` adds."""
+    if ordered:
+        return read_in_order(spark, paths)
+    first, *rest = [spark.read.option("header", True).option("escape", '"').csv(p) for p in paths]
     for df in rest:
         first = first.unionByName(df, allowMissingColumns=True)
     return first
