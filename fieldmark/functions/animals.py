@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import NUMBER
+
 #: Flag columns and their labels, in the order of the lists.
 PROCESSING = {
     "beef": "Beef", "pork": "Pork", "antelope": "Antelope", "bison": "Bison", "buffalo": "Buffalo", "deer": "Deer", "elk": "Elk", "goat": "Goat",
@@ -26,7 +28,6 @@ SLAUGHTER = {
     "Ratites (Ostrich, Emu, etc.)": ["ostrich", "emu", "rhea"], "Pigeons (Squab)": ["squab"], "Other Poultry": ["other_voluntary_poultry"],
 }
 TESTED = ["Dogs", "Cats", "Guinea Pigs", "Hamsters", "Rabbits", "Non-Human Primates", "Sheep", "Pigs", "Other Farm Animals", "All Other Animals"]
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def labels(flags: list[tuple[Column, str]], none: str) -> Column:

@@ -18,6 +18,10 @@ SLAUGHTER_VOLUMES = {
 }
 
 
+#: Texts that are numbers.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def filled(c: Column) -> Column:
     """The trimmed text, or null where nothing is left."""
     return F.nullif(F.trim(c), F.lit(""))
