@@ -3,12 +3,12 @@
 Coarse centroids and the residuals' codebooks are fitted in numpy on a bounded
 sample (``TRAIN``); every vector is indexed under its nearest centroid as a code
 of ``SUBSPACES`` bytes.  How many lists a query probes is measured on the sample:
-as many as hold ``REACH`` of the true neighbours of its rows.  In each block of a
-probed list asymmetric distance tables rank the codes; the ``depth`` best of all
-blocks, merged in two steps, are measured exactly on the original vectors, which
-are fetched for them alone.  Lists are cut into blocks of bounded size, and so
-are the queries of a list, so that one centroid that holds a third of all rows
-is many tasks; only codes and queries travel to meet.
+as many as hold ``REACH`` of the true neighbours of its rows.  The codes are cut
+into slices of about ``SLICE`` rows by a hash, so that a list that holds a third
+of all rows is spread over all of them, and the queries into blocks.  Where a
+slice meets a block, asymmetric distance tables rank the codes of the probed
+lists; the ``depth`` best of all slices, merged in two steps, are measured exactly
+on the original vectors, which are fetched for them alone.
 
 Fitting looks at the sample only, and the number of lists follows the number of
 rows up to ``MAX_LISTS``.  Defined results: vectors that are null, zero, of
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import staged
 
 TRAIN, SUBSPACES, CODES = 20_000, 16, 256
-MAX_LISTS, DEPTH, BLOCK, QUERY_BLOCK, MERGES = 4096, 256, 2048, 512, 64
+MAX_LISTS, DEPTH, SLICE, MERGES = 4096, 256, 65_536, 64
+#: Queries that meet a slice in one task, at least and at most; those ranked at once, and codes at once.
+FEWEST, MOST, AT_ONCE, CODES_AT_ONCE = 64, 4096, 16, 4096
 #: Share of true neighbours that the probed lists shall hold, and the sample's rows that it is measured with.
 REACH, ASKED = 0.96, 200
 
@@ -77,9 +79,16 @@ class Quantiser:
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(squared(x, self.centres), 1, kind="stable")[:, :n]
 
-    def tables(self, query: np.ndarray, at: int) -> np.ndarray:
-        """Squared distances of the query's residual to every code word, by subspace."""
-        return [squared(p, b)[0] for p, b in zip(self.parts((query - self.centres[at])[None]), self.books, strict=True)]
+    def products(self, x: np.ndarray) -> np.ndarray:
+        """Inner products of the vectors' parts with every code word: vector, subspace, word."""
+        out = np.zeros((len(x), len(self.books), CODES))
+        for j, (p, b) in enumerate(zip(self.parts(x), self.books, strict=True)):
+            out[:, j, : len(b)] = p @ b.T
+        return out
+
+    def norms(self) -> np.ndarray:
+        """Squared lengths of the code words: subspace, word."""
+        return np.stack([np.pad((b * b).sum(1), (0, CODES - len(b))) for b in self.books])
 
 
 def fit(vectors: DataFrame, dim: int, train: int = TRAIN) -> Quantiser | None:
@@ -102,6 +111,27 @@ def probes_needed(fitted: Quantiser, sample: np.ndarray, k: int, reach: float =
     return int(np.quantile(np.take_along_axis(place, home[near], 1), reach)) + 1
 
 
+def distances(fitted: Quantiser, asked: np.ndarray, members: dict[int, np.ndarray], words: np.ndarray, probes: int) -> np.ndarray:
+    """Asymmetric squared distances of queries to the codes of their probed lists, infinite to others.
+
+    To a code of list c a query q is as far as |q - c|^2 and, for each subspace,
+    |b|^2 - 2 q b + 2 c b of the code word b: tables that are looked up.
+    """
+    near = np.full((len(asked), len(words)), np.inf)
+    probed = np.zeros((len(asked), len(fitted.centres)), bool)
+    np.put_along_axis(probed, fitted.probes(asked, probes), True, 1)
+    base, own, apart = fitted.norms(), fitted.products(asked), squared(asked, fitted.centres)
+    subspace = np.arange(words.shape[1])
+    for c, places in members.items():
+        some = np.flatnonzero(probed[:, c])
+        if len(some):
+            table = base + 2 * fitted.products(fitted.centres[c : c + 1])[0] - 2 * own[some]
+            for k in range(0, len(places), CODES_AT_ONCE):
+                at = places[k : k + CODES_AT_ONCE]
+                near[np.ix_(some, at)] = table[:, subspace, words[at]].sum(2) + apart[some, c][:, None]
+    return near
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | None = None, depth: int = DEPTH) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest found for each row of ``queries``."""
     spark, base = vectors.sparkSession, valid(vectors)
@@ -122,47 +152,43 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | No
                 lists, codes = shipped.value.encode(np.stack(f["embedding"].to_numpy()))
                 yield pd.DataFrame({"list": lists, "row": f["row"], "vec_id": f["vec_id"], "code": [c.tobytes() for c in codes]})
 
-    def route(probes: int):
-        def rows(frames):
-            for f in frames:
-                if len(f):
-                    x = np.stack(f["embedding"].to_numpy())
-                    at = shipped.value.probes(x, probes)
-                    yield pd.DataFrame({"list": at.ravel(), "query_id": np.repeat(f["vec_id"].to_numpy(), at.shape[1]), "query": [v.tobytes() for v in np.repeat(x, at.shape[1], 0)]})
-
-        return rows
-
     stored = staged(base.mapInPandas(index, "list int, row long, vec_id long, code binary"), "ivf-index")
-    # Blocks per list: a table of MAX_LISTS rows at most.
-    blocks = stored.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-
-    def scan(key, codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(codes) and len(asked):
-            codes = codes.sort_values("vec_id", kind="stable")
-            ids, rows = codes["vec_id"].to_numpy(), codes["row"].to_numpy()
-            words = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(ids), -1)
-            for q, raw in zip(asked["query_id"], asked["query"], strict=True):
-                near = sum(t[words[:, j]] for j, t in enumerate(shipped.value.tables(np.frombuffer(raw), int(key[0]))))
-                best = np.argsort(np.where(ids == q, np.inf, near), kind="stable")[: depth + (ids == q).sum()]
-                best = best[ids[best] != q][:depth]
-                out.append(pd.DataFrame({"query_id": q, "near": near[best], "vec_id": ids[best], "row": rows[best], "part": int(key[1]) * 31 + int(key[0])}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "near": [], "vec_id": [], "row": [], "part": []})
-
-    key = ["list", "block", "query_block"]
+    slices = -(-stored.count() // SLICE)
+
+    def ranker(probes: int):
+        def rank(key, codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"query_id": [], "near": [], "vec_id": [], "row": [], "part": []})]
+            if len(codes) and len(asked):
+                codes = codes.sort_values(["vec_id", "row"])  # so that of equally near codes the smaller ids go first
+                ids, rows = codes["vec_id"].to_numpy(), codes["row"].to_numpy()
+                words = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(ids), -1)
+                homes = codes["list"].to_numpy()
+                members = {int(c): np.flatnonzero(homes == c) for c in np.unique(homes)}
+                for k in range(0, len(asked), AT_ONCE):
+                    some = asked.iloc[k : k + AT_ONCE]
+                    near = distances(shipped.value, np.stack(some["embedding"].to_numpy()), members, words, probes)
+                    for q, way in zip(some["query_id"], near, strict=True):
+                        way[ids == q] = np.inf
+                        edge = np.partition(way, depth)[depth] if len(way) > depth else np.inf
+                        best = np.flatnonzero((way <= edge) & (way < np.inf))
+                        best = best[np.argsort(way[best], kind="stable")[:depth]]
+                        out.append(pd.DataFrame({"query_id": q, "near": way[best], "vec_id": ids[best], "row": rows[best], "part": int(key[0]) % MERGES}))
+            return pd.concat([x for x in out if len(x)] or out)
+
+        return rank
 
     def nearest(questions: DataFrame, probes: int) -> DataFrame:
         """query_id, vec_id, score and rank of the best of its ``probes`` nearest lists."""
-        routed = questions.mapInPandas(route(probes), "list int, query_id long, query binary").join(F.broadcast(blocks), "list")
-        asked_blocks = staged(routed, "ivf-queries")
-        query_blocks = asked_blocks.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-        left = stored.join(F.broadcast(blocks), "list").join(F.broadcast(query_blocks), "list").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("long"))
-        left = left.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).select(*key, "row", "vec_id", "code")
-        right = asked_blocks.join(F.broadcast(query_blocks), "list").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int"))
-        right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select(*key, "query_id", "query")
-        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scan, "query_id long, near double, vec_id long, row long, part long")
+        n = questions.count()
+        blocks = -(-n // max(FEWEST, min(MOST, -(-n // 16)))) or 1
+        cut = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        key, tasks = ["slice", "block"], min(4 * slices * blocks, 20_000)  # by number, so that small groups are not put into one task
+        left = stored.withColumn("slice", cut("row", slices)).withColumn("block", every(blocks)).repartition(tasks, *key)
+        right = questions.select(F.col("vec_id").alias("query_id"), "embedding").withColumn("block", cut("query_id", blocks)).withColumn("slice", every(slices)).repartition(tasks, *key)
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(ranker(probes), "query_id long, near double, vec_id long, row long, part long")
         ranked = lambda df, by, *order: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-        found = ranked(found.withColumn("part", F.pmod("part", F.lit(MERGES))), ["query_id", "part"], "near", "vec_id", "row").where(F.col("rank") <= depth)
+        found = ranked(found, ["query_id", "part"], "near", "vec_id", "row").where(F.col("rank") <= depth)
         found = ranked(found, ["query_id"], "near", "vec_id", "row").where(F.col("rank") <= depth).select("query_id", "row")
         pairs = found.join(base.select("row", "vec_id", "embedding"), "row").join(questions.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
         squares = F.aggregate(F.zip_with("embedding", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)

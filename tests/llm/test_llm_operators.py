@@ -143,6 +143,15 @@ def test_ann_recall(spark, sf):
     assert recall(ann.search(vectors, vectors).toPandas(), ids, x, range(len(ids))) >= 0.9
 
 
+def test_ann_over_slices_and_blocks_finds_the_same(spark, monkeypatch):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked = vectors.where("vec_id % 7 = 0")
+    want = sorted(map(tuple, ann.search(vectors, asked).collect()))
+    monkeypatch.setattr(ann, "SLICE", 60)
+    monkeypatch.setattr(ann, "FEWEST", 5)
+    assert sorted(map(tuple, ann.search(vectors, asked, depth=20).collect())) == want
+
+
 def test_ann_takes_the_most_frequent_dimension(spark):
     x = np.random.default_rng(4).normal(size=(39, 6))
     rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(100 + i, [1.0, 2.0]) for i in range(20)]
