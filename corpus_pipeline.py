@@ -2,8 +2,8 @@
 
 Every stage but the last returns the columns of ``documents``.  Toxic documents
 go; lines that ten documents or more share stay only where they first occur (a
-document that so loses lines and keeps none but blank ones goes); one document of each group of near
-copies stays (five-word shingles, similarity 0.8 or more); documents that hold a
+document that so loses lines and keeps none but blank ones goes); one row of each group of near
+copies stays (five-word shingles, similarity 0.8 or more), whatever the rows' ids are; documents that hold a
 benchmark passage go; the rest is encoded.  ORACLE_SQL is None: the toxicity
 model cannot be said in SQL, so the tests hold the stages against brute force.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import decontamination, jaccard_join, line_dedup, sentencepiece_bpe, toxicity
-from fieldmark.llm.common import staged, table
+from fieldmark.llm.common import discard, scratch_tables, staged, table
 from fieldmark.llm.queries import PIECES, remainder, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,17 +34,25 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return done.select("doc_id", F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row, so that rows without an id, or with the id of others, count for themselves.
+
+    Written, since a second evaluation could number the rows otherwise.
+    """
+    return staged(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_join.similarity_classes(docs, 5, 80, 100)
-    copies = staged(classes.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
+    rows = numbered(docs)
+    classes = jaccard_join.similarity_classes(rows.select(F.col("row").alias("doc_id"), "text"), 5, 80, 100)
+    copies = staged(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("row")), "copies")
+    return rows.join(copies, "row", "left_anti").select(COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # By a key of the row, so that rows without an id, or with the id of others, go by their own text.
-    key = F.xxhash64("doc_id", "text")
-    leaks = decontamination.find_leaks(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row_key")).distinct()
-    return docs.select(*COLUMNS, key.alias("row_key")).join(leaks, "row_key", "left_anti").select(COLUMNS)
+    rows = numbered(docs)
+    leaks = decontamination.find_leaks(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(leaks, "row", "left_anti").select(COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table; all that the stages wrote on the way is deleted as soon as the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with scratch_tables() as made:
+            after = staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        discard(*(t for t in made if t is not after), *([docs] if hasattr(docs, "scratch") else []))
+        docs = after
     return docs

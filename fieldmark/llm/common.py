@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,21 @@ from ..scratch import scratch_dir
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Lists that gather the tables staged meanwhile.
+_gathering: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch_tables() -> Iterator[list[DataFrame]]:
+    """Gathers the tables that are staged within, for ``discard``."""
+    made: list[DataFrame] = []
+    _gathering.append(made)
+    try:
+        yield made
+    finally:
+        _gathering.remove(made)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the written table, which ``discard`` can delete.
 
@@ -20,6 +38,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     done = df.sparkSession.read.schema(df.schema).parquet(path)
     done.scratch = path
+    for made in _gathering:
+        made.append(done)
     return done
 
 

@@ -20,15 +20,18 @@ word in the document.  A window with fewer than ``MIN_LITERAL`` words that are n
 placeholders is hashed by its exact words: only verbatim copies match it.
 
 Defined results: null and empty texts match nothing; an item with fewer words
-than a window is one shorter window of its own length; repeated items and rows
-are matched each; an empty benchmark gives an empty result; extra columns are
-ignored.
+than a window is one shorter window of its own length; the rows of an id, null
+included, count as one document, and those of an item id as one item; of several
+alignments of a document and an item the one with most windows is told, of equal
+ones that with more slots; an empty benchmark gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -226,7 +229,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     plain = F.regexp_replace("slots", "\x1f", "") == ""
     slots = pairs.where(~plain).select(*key, same.cast("int").alias("same"), F.explode(F.arrays_zip(F.split("slots", "\x1f").alias("d"), F.split("item_slots", "\x1f").alias("i"))).alias("z")).where("z.i <> ''").groupBy(*key, F.col("z.d").alias("d"), F.col("z.i").alias("i")).agg(F.max("same").alias("same"))
     ambiguous = slots.groupBy(*key).agg(F.count("*").alias("pairs"), F.countDistinct("d").alias("values"), F.countDistinct("i").alias("n_slots"), F.sum("same").alias("same_slots"))
-    judged = windows.join(ambiguous, key, "left").fillna(0, ["pairs", "values", "n_slots", "same_slots"])
+    told = ambiguous.withColumnsRenamed({c: f"_{c}" for c in key})
+    alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])  # an id may be null
+    judged = windows.join(told, alike, "left").drop(*[f"_{c}" for c in key]).fillna(0, ["pairs", "values", "n_slots", "same_slots"])
     consistent = (F.col("pairs") == F.col("values")) & (F.col("pairs") == F.col("n_slots"))
     counted = F.when(consistent, F.struct("n_windows", "n_slots")).when(F.col("same_windows") > 0, F.struct(F.col("same_windows").alias("n_windows"), F.col("same_slots").alias("n_slots")))
     judged = judged.withColumn("counted", counted).where(F.col("counted").isNotNull())

@@ -51,6 +51,26 @@ def test_line_stage_leaves_no_stubs_of_copies(spark):
     assert got == {i: (t, len(t or "")) for i, t in ({0: copy} | own | {14: "", 15: " \n", 16: None}).items()}
 
 
+def test_join_stage_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    copy = " ".join(f"w{i}" for i in range(40))
+    near, other = f"{copy} more", " ".join(f"v{i}" for i in range(40))
+    texts = [(1, copy), (1, copy), (2, near), (None, copy), (None, copy), (3, other), (3, other), (4, ""), (5, None), (1, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.text for r in c.without_near_copies(spark, docs, SF).collect()]
+    assert len(got) == 5 and sorted(t or "" for t in got)[:3] == ["", "", "short"]
+    assert len([t for t in got if t in (copy, near)]) == 1 and got.count(other) == 1
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    from fieldmark import scratch
+
+    monkeypatch.setattr(scratch, "_own", {spark.sparkContext.applicationId: str(tmp_path)})
+    got = c.run(spark, SF)
+    assert got.count() > 0 and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["stage-SentencePiece-encoding"]
+
+
 def test_benchmark_stage_takes_each_row_by_its_text(spark):
     ((item,),) = duck(SF).sql("select text from benchmark where length(text) > 80 order by item_id limit 1").fetchall()
     texts = [(None, f"So: {item}"), (None, "clean"), (7, item), (7, "also clean"), (8, None)]

@@ -146,9 +146,9 @@ def test_ann_recall(spark, sf):
 def test_ann_over_slices_and_blocks_finds_the_same(spark, monkeypatch):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     asked = vectors.where("vec_id % 7 = 0")
-    want = sorted(map(tuple, ann.search(vectors, asked).collect()))
-    monkeypatch.setattr(ann, "SLICE", 60)
-    monkeypatch.setattr(ann, "FEWEST", 5)
+    want = sorted(map(tuple, ann.search(vectors, asked, depth=20).collect()))
+    monkeypatch.setattr(ann, "SLICE", 200)
+    monkeypatch.setattr(ann, "FEWEST", 20)
     assert sorted(map(tuple, ann.search(vectors, asked, depth=20).collect())) == want
 
 
@@ -379,6 +379,18 @@ def test_decontamination_reads_first_words_in_all_ways(spark):
     assert got == {(k, k // len(leads)) for k in range(len(texts))}
 
 
+def test_decontamination_of_rows_without_id(spark):
+    item = "the boy took 7 apples plus 7 pears home again today"
+    same = item.replace("7", "9")
+    other = same.replace("9 pears", "8 pears")  # one slot of the item stands for two values
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for text, found in ((same, 1), (other, 0)):
+        for doc_id in (5, None):
+            docs = spark.createDataFrame([(doc_id, text)], "doc_id long, text string")
+            with_windows = decontamination.find_leaks(docs, bench).collect()
+            assert (len(with_windows), {r.doc_id for r in with_windows}) == (found, {doc_id} if found else set())
+
+
 def test_decontamination_reports_verbatim_windows_beside_others(spark):
     item = "the old baker carries 7 sacks of white flour to the mill by the river and comes home with 7 loaves of fresh bread for all of the town"
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
