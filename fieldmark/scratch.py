@@ -21,7 +21,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="fieldmark-"))
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="fieldmark-")
+        base = _own[app]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
