@@ -114,8 +114,22 @@ def split_dba(c: Column) -> list[Column]:
 
 
 def outer_commas(c: Column) -> Column:
-    """Splits at commas outside parentheses (one level deep) and trims the items."""
-    return F.transform(F.split(F.regexp_replace(c, ",$", ""), r",(?![^()]*\))"), lambda x: F.trim(x))
+    """Splits at commas outside parentheses of any depth and trims the items; nothing behind the last comma is no item.
+
+    A fold over the pieces between parentheses and commas keeps the depth.  A
+    closing parenthesis too many lowers it below zero, where commas part nothing.
+    """
+    pieces = F.regexp_extract_all(c, F.lit(r"[(),]|[^(),]+"), 0)
+    blank = F.struct(F.lit(0).alias("depth"), F.lit("").alias("item"), F.array().cast("array<string>").alias("items"))
+    trimmed = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+    def step(s: Column, piece: Column) -> Column:
+        cut = (piece == ",") & (s["depth"] == 0)
+        depth = s["depth"] + F.when(piece == "(", 1).when(piece == ")", -1).otherwise(0)
+        item = F.when(cut, "").otherwise(F.concat(s["item"], piece))
+        return F.struct(depth.alias("depth"), item.alias("item"), F.when(cut, F.array_append(s["items"], trimmed(s["item"]))).otherwise(s["items"]).alias("items"))
+
+    return F.aggregate(pieces, blank, step, lambda s: F.when(s["item"] != "", F.array_append(s["items"], trimmed(s["item"]))).otherwise(s["items"]))
 
 
 def valid_coordinates(lat: Column, lng: Column) -> list[Column]:

@@ -281,8 +281,15 @@ def facility_address(street: Column, city: Column, state_name: Column, zip_code:
     return F.when(filled(street).isNotNull(), F.replace(whole, F.lit(" ,"), F.lit(","))).otherwise("")
 
 
-def translated_list(c: Column, words: dict[str, str]) -> Column:
-    """The items of a list in other words: 'Main (inner, inner)', '<number> item' or 'item'; plurals fall back to singulars, unknown items stay."""
+#: Parentheses within parentheses that are translated.
+LEVELS = 5
+
+
+def translated_list(c: Column, words: dict[str, str], levels: int = LEVELS) -> Column:
+    """The items of a list in other words: 'Main (list)', '<number> item' or 'item'; plurals fall back to singulars, unknown items stay.
+
+    Lists in parentheses are translated ``levels`` deep; what lies deeper stays.
+    """
     table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
 
     def item(x: Column) -> Column:
@@ -293,12 +300,17 @@ def translated_list(c: Column, words: dict[str, str]) -> Column:
         number = r"(?s)^(\d+)\s+(.+)$"
         return F.when(x.rlike(number), F.concat(F.regexp_extract(x, number, 1), F.lit(" "), item(F.regexp_extract(x, number, 2)))).otherwise(item(x))
 
-    def outer(x: Column) -> Column:
-        group = r"^([^(]+)\s*\((.*)\)$"
-        inner = F.array_join(F.transform(outer_commas(F.regexp_extract(x, group, 2)), counted), ", ")
-        return F.when(x.rlike(group), F.concat(item(F.trim(F.regexp_extract(x, group, 1))), F.lit(" ("), inner, F.lit(")"))).otherwise(counted(x))
+    def listed(text: Column, left: int) -> Column:
+        return F.array_join(F.transform(outer_commas(text), lambda x: whole(x, left)), ", ")
+
+    def whole(x: Column, left: int) -> Column:
+        group = r"(?s)^([^(]+)\s*\((.*)\)$"
+        if not left:
+            return counted(x)
+        inner = listed(F.regexp_extract(x, group, 2), left - 1)
+        return F.when(x.rlike(group), F.concat(item(_stripped(F.regexp_extract(x, group, 1))), F.lit(" ("), inner, F.lit(")"))).otherwise(counted(x))
 
-    return F.when(c == "", c).otherwise(F.array_join(F.transform(outer_commas(c), outer), ", "))
+    return F.when(c == "", c).otherwise(listed(c, levels))
 
 
 def url_part(c: Column) -> Column:

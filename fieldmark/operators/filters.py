@@ -74,8 +74,8 @@ def inspection_filter(country: str, selected_state: str, term: str, state: Colum
 
 
 def located(row_id: Column, lat: Column, lng: Column) -> Column:
-    """Rows with an id and coordinates that are numbers of the globe."""
-    return (F.trim(row_id) != "") & lat.between(-90, 90) & lng.between(-180, 180)
+    """Rows with an id and coordinates that are numbers of the globe, neither of them 0."""
+    return (F.trim(row_id) != "") & lat.between(-90, 90) & lng.between(-180, 180) & (lat != 0) & (lng != 0)
 
 
 def placeable(lat: Column, lng: Column) -> Column:
@@ -88,6 +88,6 @@ def researchable(company: Column) -> Column:
     return (F.length(company) >= 4) & ~F.lower(company).isin("meat", "usda")
 
 
-def first_of_type(df: DataFrame, kind: str, order: str, limit: int = 20) -> DataFrame:
+def first_of_type(df: DataFrame, kind: str | Column, order: str, limit: int = 20) -> DataFrame:
     """The first rows of one type in order."""
     return df.where(F.col("type") == kind).orderBy(order).limit(limit)

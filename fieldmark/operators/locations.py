@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import animals
+from ..sources.exports import read_current, replace_table
 from ..sources.files import read_register
+from .filters import in_country
 
 #: Columns that every register must have, and the others that describe an establishment.
 REQUIRED = [
@@ -72,3 +74,13 @@ def read_countries(spark: SparkSession, folder: str, countries: list[str], order
     for df in rest:
         first = first.unionByName(df)
     return first
+
+
+def write_countries(locations: DataFrame, path: str) -> None:
+    """Puts the location table, as Parquet with a folder for each country, in the place of what ``path`` holds, which becomes its backup."""
+    replace_table(locations.repartition("country", F.pmod(F.xxhash64("establishment_id"), F.lit(8))), path, ["country"])
+
+
+def read_country(spark: SparkSession, path: str, country: str | None = None) -> DataFrame:
+    """The written table, or only the folder of one country."""
+    return in_country(read_current(spark, path), country)

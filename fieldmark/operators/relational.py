@@ -22,34 +22,68 @@ def lookup_update(df: DataFrame, updates: DataFrame, key: str, column: str) -> D
     return df.join(last, key, "left").withColumn(column, F.coalesce("_new", F.col(column))).drop("_new")
 
 
-def first_containing(names: DataFrame, titles: DataFrame) -> DataFrame:
-    """For each (name_id, name) the first title by ``_ord`` that contains it; null without one.
+def _grams(text: Column, size: int) -> Column:
+    """The distinct parts of so many characters."""
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: text.substr(i, F.lit(size)))
+    return F.array_distinct(F.filter(parts, lambda g: F.length(g) == size))
+
+
+GRAM = 3
+
 
-    Both sides meet on the title's words: a title can only contain a name if its
-    own words contain the name's longest word, so titles are exploded into the
-    suffixes of their words and joined on fixed-length prefixes of that word.
+def containment_candidates(names: DataFrame, titles: DataFrame) -> DataFrame:
+    """name_id, name, title and _ord of the pairs that share the name's rarest part, which all titles that contain the name do.
+
+    Parts have ``GRAM`` characters, or are the whole of a shorter name.  How many
+    titles hold a part is counted, and of each name's parts the one that fewest
+    titles hold is looked up; a name with a part that no title holds meets none.
     """
-    name = F.lower("name")
-    longest = F.reduce(F.split(name, " "), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    probes = names.withColumn("_gram", F.substring(longest, 1, 3))
+    low = names.where("name is not null and name <> ''").select("name_id", "name", F.lower("name").alias("_low"))
+    sizes = [r[0] for r in low.select(F.least(F.length("_low"), F.lit(GRAM)).alias("n")).distinct().collect()]  # GRAM numbers at most
     title = F.lower("title")
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(title), F.lit(1))), lambda i: F.transform(F.array(F.lit(3), F.lit(2), F.lit(1)), lambda n: title.substr(i, n)))))
-    indexed = titles.withColumn("_gram", F.explode(grams))
-    hits = probes.join(indexed, "_gram").where(title.contains(name)).groupBy("name_id").agg(F.min_by("title", "_ord").alias("title"))
+    held = F.flatten(F.array(*[_grams(title, n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    indexed = titles.where("title is not null").select("title", "_ord", F.explode(held).alias("_gram"))
+    counts = indexed.groupBy("_gram").agg(F.count("*").alias("_n"))
+    own = F.when(F.length("_low") >= GRAM, _grams(F.col("_low"), GRAM)).otherwise(F.array("_low"))
+    parts = low.withColumn("_gram", F.explode(own)).join(counts, "_gram", "left")
+    rarest = F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")
+    probes = parts.groupBy("name_id", "name").agg(rarest)
+    return probes.join(indexed, "_gram").select("name_id", "name", "title", "_ord")
+
+
+def first_containing(names: DataFrame, titles: DataFrame) -> DataFrame:
+    """For each (name_id, name) the first title by ``_ord`` that contains it, in any case; null without one."""
+    contains = F.lower("title").contains(F.lower("name"))
+    hits = containment_candidates(names, titles).where(contains).groupBy("name_id").agg(F.min_by("title", "_ord").alias("title"))
     # Every title contains the empty name: the first one, a single row.
     first = titles.agg(F.min_by("title", "_ord").alias("_first")).withColumn("_name", F.lit(""))
     found = names.join(hits, "name_id", "left").join(F.broadcast(first), F.col("name") == F.col("_name"), "left")
     return found.withColumn("title", F.coalesce("title", "_first")).drop("_first", "_name")
 
 
-def near(points: DataFrame, targets: DataFrame, eps: float = 0.001) -> DataFrame:
-    """First point (by layer, then ``_ord``) within ``eps`` of each target, on a grid of cells of that size."""
+DENSE = 10_000
+
+
+def near_pairs(points: DataFrame, targets: DataFrame, eps: float, dense: int = DENSE) -> DataFrame:
+    """Targets (target_id, t_lat, t_lng) beside the points of their cells and the cells around, on a grid of cells of ``eps``.
+
+    A cell with more than ``dense`` points is dealt into as many parts as hold
+    about so many each, and its targets meet every part.
+    """
     cell = lambda c: F.floor(F.col(c) / eps)
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     gridded = points.withColumn("_x", cell("lat")).withColumn("_y", cell("lng"))
+    cells = gridded.groupBy("_x", "_y").agg(F.ceil(F.count("*") / dense).alias("_parts"))
+    dealt = gridded.join(cells, ["_x", "_y"]).withColumn("_part", F.pmod(F.xxhash64("point_id", "_ord"), F.col("_parts"))).drop("_parts")
     spread = targets.withColumn("_d", F.explode(around)).select("target_id", "t_lat", "t_lng", (cell("t_lat") + F.col("_d.i")).alias("_x"), (cell("t_lng") + F.col("_d.j")).alias("_y"))
+    asked = spread.join(cells, ["_x", "_y"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    return asked.join(dealt, ["_x", "_y", "_part"])
+
+
+def near(points: DataFrame, targets: DataFrame, eps: float = 0.001, dense: int = DENSE) -> DataFrame:
+    """First point (by layer, then ``_ord``) within ``eps`` of each target; targets without one are left out."""
     close = (F.abs(F.col("lat") - F.col("t_lat")) < eps) & (F.abs(F.col("lng") - F.col("t_lng")) < eps)
-    return spread.join(gridded, ["_x", "_y"]).where(close).groupBy("target_id").agg(F.min_by("point_id", F.struct("layer", "_ord")).alias("point_id"))
+    return near_pairs(points, targets, eps, dense).where(close).groupBy("target_id").agg(F.min_by("point_id", F.struct("layer", "_ord")).alias("point_id"))
 
 
 def keyed_dedup(base: DataFrame, others: DataFrame, key: str) -> DataFrame:

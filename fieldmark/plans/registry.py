@@ -194,6 +194,11 @@ _EXPECTED = [
     ("Animal Production - Game", "gameHuntingFacility", "breeder"), ("Animal Production", "animalFarm", "breeder"), ("Chicken Producer", "chickenProducer", "breeder"), ("Farm with slaughter", "slaughterhouse", "slaughter"),
     ("", "processing", "processing"), ("Horse Slaughterhouse", "horseSlaughterhouse", "slaughter"), ("Intensive Pig Farm", "intensivePigFarm", "breeder"), ("Large Bird Slaughterhouse", "largeBirdSlaughterhouse", "slaughter"),
     ("beef and sheep farm", "beefFarm", "breeder"), ("rabbit farm", "rabbitFarm", "breeder"),
+    ("Pig Slaughterhouse", "pigSlaughterhouse", "slaughter"), ("Poultry Slaughterhouse", "poultrySlaughterhouse", "slaughter"), ("Goat Slaughterhouse", "goatSlaughterhouse", "slaughter"),
+    ("Wild Bird Slaughterhouse", "wildBirdSlaughterhouse", "slaughter"), ("Farm of horses", "horseFarm", "breeder"), ("deer farm", "deerFarm", "breeder"), ("Turkey Farm", "turkeyFarm", "breeder"),
+    ("lamb farm", "lambFarm", "breeder"), ("Sheep farm", "sheepFarm", "breeder"), ("goat farm", "goatFarm", "breeder"), ("cattle farm", "cattleFarm", "breeder"), ("chicken farm", "chickenFarm", "breeder"),
+    ("Animal Production; Hunting", "gameHuntingFacility", "breeder"), ("Farm for dairy", "dairyFarm", "breeder"), ("Farm for pigs", "pigFarm", "breeder"), ("Farm for poultry", "poultryFarm", "breeder"),
+    ("Poultry Farm", "poultryFarm", "breeder"), ("Unknown (Zoo)", "processing", "processing"),
 ]
 
 
@@ -211,6 +216,13 @@ def classify_rules(spark, d):
     return _typed(spark, d).select("p_partkey", key, category)
 
 
+@query("""SELECT p_partkey, list_extract(['', ' (pigs, goats)', ' (goats)', '', ''], CAST(p_partkey % 5 + 1 AS INTEGER)) AS label_suffix FROM part""")
+def label_suffixes(spark, d):
+    """What stands in the parentheses of mixed farms and slaughterhouses, in small letters."""
+    given = F.element_at(F.array(*[F.lit(t) for t in ("Goat Farm (old)", "Mixed Slaughterhouse (Pigs, Goats)", "MIXED FARM (Goats)", "Mixed Farm", "Butcher (Mixed)")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", classify.facility_type(given)[1])
+
+
 @query(f"WITH {_KINDS} SELECT category, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM kinds GROUP BY category")
 def category_counts(spark, d):
     _, _, category, _ = classify.facility_type(F.col("type"))
@@ -549,10 +561,14 @@ def volume_label(spark, d):
     return table(spark, d, "part").select("p_partkey", columns.volume_label(code, columns.PROCESSING_VOLUMES).alias("volume"))
 
 
-@query("SELECT r_regionkey, 'Cattle (Cows, Bulls)|Pigs|' || r_name AS items, CAST(3 AS BIGINT) AS n FROM region")
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN concat('Cattle (Cows, Bulls)|', n_name) WHEN 1 THEN concat('A (B (c, ', n_name, '), d)|e') WHEN 2 THEN concat('||', n_name) WHEN 3 THEN concat('x), ', n_name) ELSE '' END AS items,
+    CAST(list_extract([2, 2, 3, 1, 0], CAST(n_nationkey % 5 + 1 AS INTEGER)) AS BIGINT) AS n FROM nation""")
 def paren_split(spark, d):
-    items = columns.outer_commas(F.concat(F.lit("Cattle (Cows, Bulls), Pigs, "), F.col("r_name")))
-    return table(spark, d, "region").select("r_regionkey", F.array_join(items, "|").alias("items"), F.size(items).cast("long").alias("n"))
+    """One level, two levels, blank items, a parenthesis too many, and nothing."""
+    name, kind = F.col("n_name"), F.col("n_nationkey") % 5
+    given = F.when(kind == 0, F.concat(F.lit("Cattle (Cows, Bulls), "), name, F.lit(","))).when(kind == 1, F.concat(F.lit("A (B (c, "), name, F.lit("), d) ,e"))).when(kind == 2, F.concat(F.lit(",,"), name)).when(kind == 3, F.concat(F.lit("x), "), name)).otherwise("")
+    items = columns.outer_commas(given)
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(items, "|").alias("items"), F.size(items).cast("long").alias("n"))
 
 
 @query("SELECT event_id, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'first' ELSE event_type END AS text FROM events")

@@ -34,9 +34,10 @@ def inspections_of_state(spark, d):
     return o.where(wanted).select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_nationkey <> 0 AND c_nationkey * 8 BETWEEN -90 AND 90")
+@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (0, 1) AND c_nationkey * 8 BETWEEN -90 AND 90")
 def located_rows(spark, d):
-    row_id, lat = F.when(F.col("c_nationkey") == 0, " ").otherwise(F.col("c_name")), F.col("c_nationkey") * 8.0
+    """Nation 0 has an id and stands at 0, nation 1 has no id."""
+    row_id, lat = F.when(F.col("c_nationkey") == 1, " ").otherwise(F.col("c_name")), F.col("c_nationkey") * 8.0
     return table(spark, d, "customer").where(filters.located(row_id, lat, lat)).select("c_custkey")
 
 
@@ -55,8 +56,8 @@ def researchable_companies(spark, d):
 @query("SELECT p_partkey, p_type AS type FROM part WHERE p_type = (SELECT min(p_type) FROM part WHERE p_partkey = 0) ORDER BY p_partkey LIMIT 20")
 def first_of_type(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("type"))
-    kind = p.where("p_partkey = 0").first()["type"]
-    return filters.first_of_type(p, kind, "p_partkey")
+    kind = p.where("p_partkey = 0").agg(F.min("type"))
+    return filters.first_of_type(p, kind.scalar(), "p_partkey")
 
 
 @query("""SELECT p_partkey, p_type AS type FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS n FROM
@@ -101,13 +102,13 @@ def query_addresses(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", columns.query_address(_pick(["", "Via Roma 1 ", " "], "s_suppkey"), F.col("s_name"), F.when(F.col("s_suppkey") % 3 == 0, "LT")).alias("address"))
 
 
-@query("""WITH c AS (SELECT s_nationkey AS k, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS v FROM supplier WHERE s_nationkey < 20)
+@query("""WITH c AS (SELECT s_nationkey + 5 AS k, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS v FROM supplier)
     SELECT c_custkey, coalesce(v, 0.0) AS latitude, coalesce(-v, 0.0) AS longitude FROM customer LEFT JOIN (SELECT k, arg_max(v, s_suppkey) AS v FROM c WHERE v IS NOT NULL GROUP BY k) ON k = c_nationkey""")
 def cached_coordinates(spark, d):
     """A cache with bad numbers and repeated places; some places are not in it."""
     place = [F.lit("Main St").alias("street"), F.lit("Davis").alias("city")]
     lat = F.when(F.col("s_suppkey") % 3 == 0, "n/a").otherwise(F.col("s_acctbal").cast("string"))
-    cache = table(spark, d, "supplier").where("s_nationkey < 20").select(*place, F.col("s_nationkey").cast("string").alias("zip"), lat.alias("latitude"), (-F.col("s_acctbal")).cast("string").alias("longitude"), F.col("s_suppkey").alias("_ord"))
+    cache = table(spark, d, "supplier").select(*place, (F.col("s_nationkey") + 5).cast("string").alias("zip"), lat.alias("latitude"), (-F.col("s_acctbal")).cast("string").alias("longitude"), F.col("s_suppkey").alias("_ord"))
     rows = table(spark, d, "customer").select("c_custkey", *place, F.col("c_nationkey").cast("string").alias("zip"))
     return relational.with_cached_coordinates(rows, cache).select("c_custkey", "latitude", "longitude")
 
@@ -167,7 +168,7 @@ def export_facility_rows(spark, d):
 def wide_table_rows(spark, d):
     """Rows of three cells below two head rows; shorter rows go."""
     row = lambda n, text: "<tr>" + f"<td>{text}</td>" * n + "</tr>"
-    page = F.concat(F.lit("<table>" + row(3, "head") + row(3, "units") + row(3, "a") + row(2, "short")), F.when(F.col("page_id") % 2 == 1, row(3, "b")).otherwise(""), F.lit("</table>"))
+    page = F.concat(F.coalesce("html", F.lit("")), F.lit("<table>" + row(3, "head") + row(3, "units") + row(3, "a") + row(2, "short")), F.when(F.col("page_id") % 2 == 1, row(3, "b")).otherwise(""), F.lit("</table>"))
     return table(spark, d, "pages").select("page_id", F.size(registers.html_rows(page, 3, 2)).alias("n_rows"))
 
 

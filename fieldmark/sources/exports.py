@@ -83,9 +83,11 @@ def read_current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(current_path(spark, path))
 
 
-def replace_table(df: DataFrame, path: str) -> None:
+def replace_table(df: DataFrame, path: str, partitions: list[str] | None = None) -> None:
     """Puts ``df``, which may be made from the table itself, in the place of the table; the old one becomes its backup.
 
+    With ``partitions`` the table has a folder for each value of these columns.
+
     The rows are written aside and take their place by renaming, so that at every
     moment the table or its backup is whole; ``read_current`` finds which.  Where
     an earlier replacement was cut short, the backup is the table, and it is put
@@ -95,7 +97,7 @@ def replace_table(df: DataFrame, path: str) -> None:
     fs, make, at = _paths(spark, path)
     aside, backup = f"{path}.new", f"{path}.backup"
     fs.delete(make(aside), True)
-    df.write.parquet(aside)
+    df.write.partitionBy(*(partitions or [])).parquet(aside)
     if _whole(fs, make, path):
         fs.delete(make(backup), True)
         _rename(fs, at, make(backup))
