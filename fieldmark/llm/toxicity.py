@@ -35,8 +35,8 @@ MIN_SEEN, DECAY = 8, 1e-5
 SHRINK = 6
 SIZES = range(3, 6)
 #: Words whose scores a task keeps at most (and those of a part); words of a part; what a code point is
-#: multiplied by; words that are hashed at once.
-CACHE_SIZE, PART, FACTOR, WORDS_AT_ONCE = 200_000, 50_000, 0x100000001B3, 20_000
+#: multiplied by; words that are hashed at once; texts that are Python objects at once.
+CACHE_SIZE, PART, FACTOR, WORDS_AT_ONCE, ROWS = 200_000, 50_000, 0x100000001B3, 20_000, 500
 
 
 def subwords(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +246,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pickle.loads(shipped.value))
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             scores = scorer.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*names, "score", "predicted"])
 
