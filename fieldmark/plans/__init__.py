@@ -1,3 +1,3 @@
 """Whole plans: registered queries over the tables."""
 
-from . import national, registers, registry, rules  # noqa: F401
+from . import lookups, national, registers, registry, rules  # noqa: F401

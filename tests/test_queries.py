@@ -24,10 +24,20 @@ def rows(frame):
     return cols, sorted(repr([plain(v) for v in r]) for r in frame[cols].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query(spark, duck, name):
     assert rows(registry.queries()[name](spark, SF).toPandas()) == rows(duck.sql(registry.oracle_sql()[name]).df())
 
 
 def test_flagship(spark):
     assert registry.flagship(spark, SF).count() > 0
+
+
+def test_clusters_of_all_markers(spark):
+    got = registry.queries()["marker_clusters"](spark, SF).collect()
+    placed = registry.table(spark, SF, "customer").where("c_custkey % 181 <> 90 and c_custkey * 7 % 361 <> 180").count()
+    assert {z: sum(r.n for r in got if r.zoom == z) for z in (3, 2)} == {3: placed, 2: placed}
+
+
+def test_every_query_has_sql_or_a_test():
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"marker_clusters"}
