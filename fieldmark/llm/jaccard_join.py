@@ -59,6 +59,8 @@ from .shingles import WordHashes, mix, set_keys, shingle_set
 COLLIDE = 1e-4
 #: Buckets above so many vertices stream through without being compared with others.
 LONG_RUN = 1_000_000
+#: Sets that a task remembers to have indexed.
+SEEN = 500_000
 #: Counts in a set's profile; vertices in a block of a bucket; rows that small buckets share a task by.
 BINS, BLOCK, PACK = 256, 2048, 5_000
 #: Ids of vertices, 8 bytes each, that are sent to all tasks at most; beyond, texts are shuffled to them.
@@ -161,6 +163,8 @@ def index_entries(docs: DataFrame, size: int, p: int, q: int, plans: dict[int, t
                 s = shingle_set(hashes.of(text.as_py()), size)
                 if not len(s) or (key := set_keys(s, seed)[0]) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()  # a set that comes again is written again, and found to be the same later
                 seen.add(key)
                 own = bands.of(len(s))
                 for band in (own, own - 1):

@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import scratch_dir, staged
 
 BLOCK_TOKENS, SPAN_BLOCKS = 1 << 20, 1024
-END_OF_DOCUMENT = 50256
-FILES = "path string, n_tokens long, doc_ids array<long>"
+#: Ids of documents in a row of the manifest; the largest id that 16 bits hold.
+IDS, LARGEST = 50_000, (1 << 16) - 1
+FILES = "path string, n_tokens long, first long, doc_ids array<long>"
 BLOCKS = "path string, block long, n_tokens long, n_ends long, tail long, lengths array<long>"
 
 
@@ -45,34 +46,58 @@ def encoder(ranks_path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def separator_of(ranks_path: str, pattern: str) -> int:
+    """The id behind the vocabulary's last one, which no text gives; it must fit into 16 bits."""
+    separator = encoder(ranks_path, pattern).max_token_value + 1
+    if separator > LARGEST:
+        raise ValueError(f"a vocabulary of {separator} ids does not fit into 16 bits")
+    return separator
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system on which Spark finds it, as the tasks' own reads and writes need it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/+", "file:///", at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString())
+
+
 def open_fs(path: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a URI, or of a plain path."""
     return pa.fs.FileSystem.from_uri(path if re.match(r"\w+:", path) else f"file://{path}")
 
 
-def write_token_files(docs: DataFrame, folder: str, ranks_path: str, pattern: str, separator: int = END_OF_DOCUMENT) -> DataFrame:
-    """Writes a flat file per input partition; returns path, n_tokens and the ids of its documents in order.
+def write_token_files(docs: DataFrame, folder: str, ranks_path: str, pattern: str) -> DataFrame:
+    """Writes a flat file per input partition and returns a manifest: a row with each file's path and n_tokens, and
+    rows with path, first and doc_ids, the ids of its documents from that place on, some at a time.
 
-    An attempt writes to a name of its own and the manifest lists only what a
+    Documents end with ``separator_of`` the vocabulary.  An attempt writes to a name of its own and the manifest lists only what a
     successful attempt returned, so a lost or repeated task leaves no duplicates.
     """
 
+    folder, separator = qualified(docs.sparkSession, folder), separator_of(ranks_path, pattern)
+
+    def row(path: str, n_tokens: int | None, first: int | None, ids: list[int | None] | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n_tokens], pa.int64()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["path", "n_tokens", "first", "doc_ids"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(ranks_path, pattern).encode_ordinary
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bin"
-        n, ids = 0, []
+        n, first, ids = 0, 0, []
         with fs.open_output_stream(f"{base}/{name}") as out:
             for batch in batches:
-                ids.append(batch.column("doc_id"))
-                for text in batch.column("text"):
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                     tokens = np.array([*code(text.as_py() or ""), separator], "<u2")
                     out.write(tokens.tobytes())
                     n += len(tokens)
+                    ids.append(doc_id)
+                    if len(ids) == IDS:
+                        yield row(f"{folder}/{name}", None, first, ids)
+                        first, ids = first + IDS, []
+        if ids:
+            yield row(f"{folder}/{name}", None, first, ids)
         if n:
-            doc_ids = pa.chunked_array(ids).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64()))], ["path", "n_tokens", "doc_ids"])
+            yield row(f"{folder}/{name}", n, None, None)
 
     return staged(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(write, FILES), "token-files")
 
@@ -97,7 +122,7 @@ def scan_blocks(files: DataFrame, separator: int, block_tokens: int) -> DataFram
     return dealt.mapInArrow(scan, BLOCKS)
 
 
-def count_documents(files: DataFrame, separator: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def count_documents(files: DataFrame, separator: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """path, place (from 0) and n_tokens of every document in the files (path, n_tokens)."""
     blocks = staged(scan_blocks(files.select("path", "n_tokens"), separator, block_tokens), "token-blocks").withColumn("span", F.expr(f"block div {SPAN_BLOCKS}"))
     # What a run of blocks passes on: documents ended, and the tokens open at its end.  A run
@@ -135,6 +160,6 @@ def count_documents(files: DataFrame, separator: int = END_OF_DOCUMENT, block_to
 def tokens_per_document(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens: writes the documents as flat files, scans these, and puts the ids back by place."""
     files = write_token_files(docs, scratch_dir(spark, "tokens"), ranks_path, pattern)
-    ids = files.select("path", F.posexplode("doc_ids").alias("place", "doc_id"))
-    counts = count_documents(files)
+    ids = files.where("doc_ids is not null").select("path", "first", F.posexplode("doc_ids").alias("i", "doc_id")).select("path", (F.col("first") + F.col("i")).alias("place"), "doc_id")
+    counts = count_documents(files.where("n_tokens is not null"), separator_of(ranks_path, pattern))
     return ids.join(counts, (ids["path"] == counts["path"]) & (ids["place"] == counts["place"])).select("doc_id", "n_tokens")

@@ -44,6 +44,21 @@ def test_token_counts(spark):
     got = token_counts.tokens_per_document(spark, docs, path, pattern).collect()
     assert sorted((r[0] is None, r[0] or 0, r[1]) for r in got) == sorted((r.doc_id is None, r.doc_id or 0, len(code(r.text or ""))) for r in docs.collect())
     assert token_counts.tokens_per_document(spark, empty(spark), path, pattern).count() == 0
+    assert token_counts.separator_of(path, pattern) == 50256
+
+
+def test_token_counts_of_many_documents_in_a_file(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "IDS", 3)
+    path, pattern = queries.vocabulary(queries.BPE_RANKS), queries.token_pattern()
+    docs = spark.createDataFrame([(k, "a " * k) for k in range(20)], "doc_id long, text string").coalesce(1)
+    code = token_counts.encoder(path, pattern).encode_ordinary
+    assert sorted(map(tuple, token_counts.tokens_per_document(spark, docs, path, pattern).collect())) == [(k, len(code("a " * k))) for k in range(20)]
+
+
+def test_a_vocabulary_beyond_16_bits_is_refused(monkeypatch):
+    monkeypatch.setattr(token_counts, "LARGEST", 50_000)
+    with pytest.raises(ValueError, match="16 bits"):
+        token_counts.separator_of(queries.vocabulary(queries.BPE_RANKS), queries.token_pattern())
 
 
 @pytest.mark.parametrize("block", [1, 2, 7, 1000])
@@ -457,9 +472,11 @@ def near_copies(rng, n, base_words, edits):
     return out
 
 
-@pytest.mark.parametrize("few", [0, 500_000])
-def test_jaccard_blocks(spark, monkeypatch, few):
-    """Groups and buckets in many blocks, sets that are shuffled to, and a passage that unlike texts share."""
+@pytest.mark.parametrize(("few", "run"), [(0, 10**6), (500_000, 6)])
+def test_jaccard_blocks(spark, monkeypatch, few, run):
+    """Groups and buckets in many blocks, sets that are shuffled to, runs too long to hold, and a passage that unlike texts share."""
+    monkeypatch.setattr(jaccard_join, "LONG_RUN", run)
+    monkeypatch.setattr(jaccard_join, "SEEN", run)
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     monkeypatch.setattr(jaccard_join, "SETS", 6)
     monkeypatch.setattr(jaccard_join, "PACK", 5)
