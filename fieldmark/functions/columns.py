@@ -60,10 +60,9 @@ def clean_phone(c: Column) -> Column:
 
 
 def german_address(c: Column) -> list[Column]:
-    """Street, zip and city around the first run of five digits; all street without one."""
+    """Street, zip and city around the first run of five digits; all blank without one."""
     pattern = r"(?s)^(.*?)([0-9]{5})(.*)$"
-    hit = c.rlike(pattern)
-    return [F.when(hit, F.trim(F.regexp_extract(c, pattern, k))).otherwise(F.trim(c) if k == 1 else F.lit("")).alias(n) for k, n in ((1, "street"), (2, "zip"), (3, "city"))]
+    return [F.when(c.rlike(pattern), F.trim(F.regexp_extract(c, pattern, k))).otherwise("").alias(n) for k, n in ((1, "street"), (2, "zip"), (3, "city"))]
 
 
 def italian_address(c: Column, provinces: dict[str, str]) -> list[Column]:

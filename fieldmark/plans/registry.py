@@ -535,9 +535,12 @@ def es_address(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", *columns.spanish_address(given))
 
 
-@query("SELECT s_suppkey, 'Hauptstr. 1' AS street, lpad(CAST(s_suppkey AS VARCHAR), 5, '1') AS zip, 'Berlin' AS city FROM supplier")
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN concat('Weg ', s_nationkey) WHEN 1 THEN '' WHEN 2 THEN '' ELSE 'Gasse 3' END AS street, CASE s_suppkey % 4 WHEN 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 5, '1') WHEN 1 THEN '' WHEN 2 THEN '10115' ELSE '12345' END AS zip,
+    CASE s_suppkey % 4 WHEN 0 THEN 'Berlin' WHEN 1 THEN '' WHEN 2 THEN 'Bonn' ELSE '6 Ulm 10115' END AS city FROM supplier""")
 def de_address(spark, d):
-    given = F.concat(F.lit("Hauptstr. 1 "), F.lpad(F.col("s_suppkey").cast("string"), 5, "1"), F.lit(" Berlin"))
+    """A street, no zip, no street, and more than five digits."""
+    k, kind = F.lpad(F.col("s_suppkey").cast("string"), 5, "1"), F.col("s_suppkey") % 4
+    given = F.when(kind == 0, F.concat(F.lit("Weg "), F.col("s_nationkey").cast("string"), F.lit(" "), k, F.lit(" Berlin"))).when(kind == 1, F.concat(F.lit("Weg "), F.col("s_nationkey").cast("string"))).when(kind == 2, "10115Bonn").otherwise("Gasse 3 123456 Ulm 10115")
     return table(spark, d, "supplier").select("s_suppkey", *columns.german_address(given))
 
 
@@ -550,15 +553,19 @@ def it_address(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", *columns.italian_address(given, {"LT": "Latina"}))
 
 
-@query("SELECT c_custkey, concat('+52(55)', c_custkey, '-', c_nationkey) AS phone FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN concat('+52(55)', c_custkey, '-', c_nationkey) WHEN 1 THEN replace(c_phone, ' ', '') ELSE '' END AS phone FROM (SELECT *, concat('(', c_nationkey, ') ', c_custkey) AS c_phone FROM customer)")
 def phone_clean(spark, d):
-    return table(spark, d, "customer").select("c_custkey", columns.clean_phone(F.concat(F.lit("+52 (55) "), F.col("c_custkey"), F.lit(".-"), F.col("c_nationkey"), F.lit(" x"))).alias("phone"))
+    """Signs, letters and points; digits in parentheses; nothing but letters."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    given = F.when(k % 3 == 0, F.concat(F.lit("+52 (55) "), k, F.lit(".-"), n, F.lit(" x"))).when(k % 3 == 1, F.concat(F.lit("("), n, F.lit(") "), k)).otherwise("s/n.")
+    return table(spark, d, "customer").select("c_custkey", columns.clean_phone(given).alias("phone"))
 
 
-@query("SELECT p_partkey, CASE p_size % 7 WHEN 1 THEN '10k - 100k pounds/month.' WHEN 0 THEN 'Less than 10,000 pounds/month.' ELSE 'N/A' END AS volume FROM part")
+@query("""SELECT p_partkey, list_extract(['N/A', 'Less than 10,000 pounds/month.', '10k - 100k pounds/month.', '100k - 1M pounds/month.', '1M - 10M pounds/month.', 'Over 10M pounds/month.', 'N/A'], CAST(p_size % 7 + 1 AS INTEGER)) AS volume,
+    list_extract(['N/A', 'Less than 1,000 animals/year.', '1k - 10k animals/year.', '10k - 100k animals/year.', '100k - 10M animals/year.', 'Over 10M animals/year.', 'N/A'], CAST(p_size % 7 + 1 AS INTEGER)) AS slaughtered FROM part""")
 def volume_label(spark, d):
-    code = F.when(F.col("p_size") % 7 == 0, "1.0").when(F.col("p_size") % 7 == 1, "2.0").otherwise("9")
-    return table(spark, d, "part").select("p_partkey", columns.volume_label(code, columns.PROCESSING_VOLUMES).alias("volume"))
+    code = F.concat((F.col("p_size") % 7).cast("string"), F.lit(".0"))
+    return table(spark, d, "part").select("p_partkey", columns.volume_label(code, columns.PROCESSING_VOLUMES).alias("volume"), columns.volume_label(code, columns.SLAUGHTER_VOLUMES).alias("slaughtered"))
 
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN concat('Cattle (Cows, Bulls)|', n_name) WHEN 1 THEN concat('A (B (c, ', n_name, '), d)|e') WHEN 2 THEN concat('||', n_name) WHEN 3 THEN concat('x), ', n_name) ELSE '' END AS items,

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ..functions import classify, columns, provinces, registers
 from ..functions.columns import first_filled
 from ..operators.locations import COLUMNS, to_locations
-from .files import text_encoding
-from .ordered import read_in_order
+from ..operators.relational import numbered, with_cached_coordinates
+from .files import read_positional, text_encoding
+from .ordered import read_in_order, with_source_order
 
 #: Gives the text under a header, '' where there is none.
 Cell = Callable[[str], Column]
@@ -283,3 +284,130 @@ def with_british_types(table: DataFrame, raw: DataFrame) -> DataFrame:
     names = raw.select(unquoted("id").alias("establishment_id"), classify.primary_type(unquoted("classifications"), classify.BRITISH_TYPES).alias("_type"), "_ord")
     last = names.groupBy("establishment_id").agg(F.max_by("_type", "_ord").alias("_type"))
     return table.join(last, "establishment_id", "left").withColumn("type", F.coalesce("_type", "type")).select(table.columns)
+
+# Spain ------------------------------------------------------------------------------------------
+
+
+def _spanish(cell: Cell) -> dict[str, Column]:
+    street, city, zip_code = columns.spanish_address(cell("address"))
+    zero = lambda c: F.coalesce(number(c), F.lit(0.0))
+    return {
+        "street": street, "city": city, "zip": zip_code, "state": F.coalesce(columns.filled(cell("country")), cell("county")), "grant_date": F.substring(cell("firstImportedAt"), 1, 10),
+        "type": classify.spanish_activities(cell("classifications")), "dbas": columns.trade_name(cell("operator"), cell("name")), "latitude": zero(cell("latitude")), "longitude": zero(cell("longitude")),
+    }
+
+
+#: Farms and aquaculture only: no flag of slaughter is ever set.
+SPAIN = Register(
+    "Spanish register", "es",
+    headers={"establishment_id": "id", "establishment_number": "id", "establishment_name": "name", "county": "county"},
+    rules=_spanish,
+    constants={"size": "Unknown", "slaughter_volume_category": "Unknown", "processing_volume_category": "Unknown"},
+    required=("id", "name", "operator", "address", "country", "county", "classifications", "firstImportedAt", "latitude", "longitude"),
+    trimmed=False,
+)
+
+# Denmark ----------------------------------------------------------------------------------------
+
+DANISH_ROWS = "branche string, navn1 string, adresse1 string, postnr string, By string, Geo_Lat string, Geo_Lng string"
+
+
+def _danish(cell: Cell) -> dict[str, Column]:
+    zero = lambda c: F.coalesce(F.when(c != "", number(c)), F.lit(0.0))
+    return {
+        "zip": F.coalesce(cell("postnr").try_cast("long").cast("string"), F.lit("")), "type": classify.danish_activities(cell("branche")),
+        "latitude": zero(cell("Geo_Lat")), "longitude": zero(cell("Geo_Lng")),
+    }
+
+
+DENMARK = Register(
+    "Danish register", "dk",
+    headers={"establishment_name": "navn1", "street": "adresse1", "city": "By"},
+    rules=_danish,
+    constants={"county": "Denmark"},
+    keep=lambda cell: classify.danish_industry(cell("branche")),
+)
+
+
+def read_denmark(spark: SparkSession, path: str, row_tag: str = "row") -> DataFrame:
+    """The Danish table from its XML file; ids are the places among the rows that count, from 0."""
+    raw = with_source_order(spark.read.format("xml").option("rowTag", row_tag).schema(DANISH_ROWS).load(path))
+    found = numbered(locations(DENMARK, raw), ["_ord"])
+    return found.withColumn("establishment_id", F.col("id").cast("string")).drop("id")
+
+
+# Germany ----------------------------------------------------------------------------------------
+
+#: The file has no header; names for its first columns.
+GERMAN_COLUMNS = ["number", "old number", "name", "address", "activities", "category", "species"]
+
+
+def _german(cell: Cell) -> dict[str, Column]:
+    street, zip_code, city = columns.german_address(cell("address"))
+    return {"establishment_id": F.coalesce(columns.filled(cell("number")), cell("old number")), "street": street, "zip": zip_code, "city": city, "type": registers.german_activity(cell("activities"))}
+
+
+def _german_flags(cell: Cell) -> dict[str, Column]:
+    found = registers.german_animals(cell("activities"), cell("species"))
+    return found | {"slaughter": found["meat_slaughter"]}
+
+
+GERMANY = Register("German register", "de", headers={"establishment_name": "name"}, rules=_german, flags=_german_flags)
+
+
+def read_germany(spark: SparkSession, path: str, cache: DataFrame, encoding: str = "UTF-8") -> DataFrame:
+    """The German table from its file without a header, with coordinates from a cache (street, city, zip, latitude, longitude, _ord)."""
+    raw = with_source_order(read_positional(spark, path, GERMAN_COLUMNS, encoding=encoding))
+    found = locations(GERMANY, raw)
+    return with_cached_coordinates(found, cache).select(found.columns)
+
+
+# France -----------------------------------------------------------------------------------------
+
+_MARK = "struct<name: string, description: string, Point: struct<coordinates: string>>"
+
+
+def _marks(placemarks: DataFrame, order: list[str]) -> DataFrame:
+    """The location table of placemarks (folder and p), numbered in order from 1."""
+    bare = lambda c: F.trim(F.regexp_replace(c, r"\[CDATA\[|\]\]", ""))
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""), r"\[CDATA\[|\]\]", ""), r"(?U)\s+", " "))
+    part = lambda k: F.get(F.split(F.trim("p.Point.coordinates"), ","), F.lit(k)).try_cast("double")
+    rows = numbered(placemarks, order, 1)
+    key = F.col("id").cast("string")
+    made = rows.select(
+        key.alias("establishment_id"), key.alias("establishment_number"), F.coalesce(bare(F.col("p.name")), F.concat(F.lit("Location "), key)).alias("establishment_name"),
+        registers.french_activity(plain(F.col("p.description")), bare(F.coalesce("folder", F.lit("Unknown")))).alias("type"), part(1).alias("latitude"), part(0).alias("longitude"), F.lit("2024-03-01").alias("grant_date"),
+        *[F.lit("Unknown").alias(c) for c in ("size", "slaughter_volume_category", "processing_volume_category")], F.col("id").alias("_ord"),
+    )
+    return to_locations(made, "_ord").withColumn("country", F.lit("fr"))
+
+
+def read_france(spark: SparkSession, path: str) -> DataFrame:
+    """The French table from the folders of its KML map, ids in the order of the file from 1."""
+    folders = with_source_order(spark.read.format("xml").option("rowTag", "Folder").schema(f"name string, Placemark array<{_MARK}>").load(path))
+    return _marks(folders.select(F.col("name").alias("folder"), F.col("_ord").alias("_folder"), F.posexplode("Placemark").alias("_place", "p")), ["_folder", "_place"])
+
+
+# New Zealand ------------------------------------------------------------------------------------
+
+
+def _new_zealand(cell: Cell) -> dict[str, Column]:
+    kills, slaughtered, processed = registers.nz_animals(cell("Secondary Process"), cell("Product/Material"))
+    return {"type": registers.nz_activity(cell("Risk Measure Type"), cell("Programme Type")), "slaughter": kills, "animals_slaughtered_list": slaughtered, "animals_processed_list": processed}
+
+
+#: Coordinates come from the addresses: see ``enrichment.with_coordinates`` and ``new_zealand_address``.
+NEW_ZEALAND = Register(
+    "register of New Zealand", "nz",
+    headers={
+        "establishment_id": "MPI ID Number", "establishment_name": "Operator Business Name", "street": "Physical Address", "city": "Physical Town/City", "state": "Operator Local Authority",
+        "grant_date": "Effective Date", "dbas": "Operator Trading Name",
+    },
+    rules=_new_zealand,
+    trimmed=False,
+)
+
+
+def new_zealand_address() -> Column:
+    """What a geocoder is asked for a row of the table."""
+    return F.concat_ws(", ", "street", "city", F.lit("New Zealand"))

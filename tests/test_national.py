@@ -115,3 +115,54 @@ def test_united_kingdom(spark, tmp_path):
     names = national.read_in_order(spark, [raw]).where("id <> 3")
     typed = national.with_british_types(got, names)
     assert [r["type"] for r in rows(typed)] == ["Dairy Farm", "Other Mammal Slaughterhouse", "Unknown"]
+
+
+def test_spain(spark, tmp_path):
+    (tmp_path / "es.csv").write_text(
+        "id,name,operator,address,country,county,classifications,firstImportedAt,latitude,longitude\n"
+        '1,Granja,Op,"Calle Sol 1, Lugo, 27001, España",Galicia,Lugo,"GranjaPorcinaIntensiva,Acuicultura",2021-02-03T04,43.0,-7.5\n'
+        '2,Mar,Mar,"Finca Alta, Soria",,Soria,GranjaAvícolaIntensiva,,,x\n'
+    )
+    common = {"size": "Unknown", "slaughter_volume_category": "Unknown", "processing_volume_category": "Unknown"}
+    assert rows(national.read_locations(spark, national.SPAIN, str(tmp_path / "es.csv"))) == [
+        {"establishment_id": "1", "establishment_number": "1", "establishment_name": "Granja", "dbas": "Op", "street": "Calle Sol 1", "city": "Lugo", "zip": "27001", "state": "Galicia", "county": "Lugo", "grant_date": "2021-02-03", "type": "Animal Production; Aquaculture", "latitude": 43.0, "longitude": -7.5} | common,
+        {"establishment_id": "2", "establishment_number": "2", "establishment_name": "Mar", "street": "Finca Alta", "city": "Soria", "state": "Soria", "county": "Soria", "type": "Animal Production"} | common,
+    ]
+
+
+def test_denmark(spark, tmp_path):
+    row = "<row><branche>{}</branche><navn1>{}</navn1><adresse1>Vej 1</adresse1><postnr>{}</postnr><By>Aarhus</By><Geo_Lat>{}</Geo_Lat><Geo_Lng>10.2</Geo_Lng></row>"
+    kinds = [("Bager", "no", "1", "1"), ("Slagterier", "Kød A/S", "8000", "56.1"), ("Restaurant", "no", "1", "1"), ("Fremstilling af animalske produkter - Æg", "Æg", "0800", "")]
+    (tmp_path / "dk.xml").write_text("<document>" + "".join(row.format(*k) for k in kinds) + "</document>")
+    assert rows(national.read_denmark(spark, str(tmp_path / "dk.xml"))) == [
+        {"establishment_id": "0", "establishment_name": "Kød A/S", "street": "Vej 1", "zip": "8000", "city": "Aarhus", "county": "Denmark", "type": "Meat Processing; Meat Slaughter", "latitude": 56.1, "longitude": 10.2},
+        {"establishment_id": "1", "establishment_name": "Æg", "street": "Vej 1", "zip": "800", "city": "Aarhus", "county": "Denmark", "type": "Meat Processing", "longitude": 10.2},
+    ]
+
+
+def test_germany(spark, tmp_path):
+    (tmp_path / "de.csv").write_text('BY 1,,Hof," Weg 2 80331 München",SH,x,"B, wL"\n ,DE 2,Lager,Nowhere,,,A\nBY 3,,Zerlegung,10115 Berlin,CP,,wU\n')
+    cache = spark.createDataFrame([("Weg 2", "München", "80331", "48.1", "11.5", 0), ("", "Berlin", "10115", "bad", "1", 1)], "street string, city string, zip string, latitude string, longitude string, _ord long")
+    got = rows(national.read_germany(spark, str(tmp_path / "de.csv"), cache))
+    cattle = "beef_cow steer heifer bull_stag dairy_cow heavy_calf bob_veal formula_fed_veal non_formula_fed_veal rabbit"
+    assert got == [
+        {"establishment_id": "BY 1", "establishment_name": "Hof", "street": "Weg 2", "zip": "80331", "city": "München", "type": "Meat Processing; Meat Slaughter", "latitude": 48.1, "longitude": 11.5} | flags(" ".join(f"{n}_slaughter" for n in cattle.split()) + " slaughter meat_slaughter beef_processing rabbit_processing"),
+        {"establishment_id": "DE 2", "establishment_name": "Lager"},
+        {"establishment_id": "BY 3", "establishment_name": "Zerlegung", "zip": "10115", "city": "Berlin", "type": "Meat Processing"} | flags("slaughter_or_processing_only deer_processing elk_processing"),
+    ]
+
+
+def test_france(spark, tmp_path):
+    mark = "<Placemark>{}<description>{}</description><Point><coordinates> 2.5,48.5,0 </coordinates></Point></Placemark>"
+    (tmp_path / "fr.kml").write_text("<kml><Document><Folder><name>Abattoirs</name>" + mark.format("<name> Un </name>", "") + mark.format("", "&lt;b&gt;Ferme  pédagogique") + "</Folder><Folder><name>Points reçus</name>" + mark.format("<name>Trois</name>", "x") + "</Folder></Document></kml>")
+    common = {"size": "Unknown", "slaughter_volume_category": "Unknown", "processing_volume_category": "Unknown", "grant_date": "2024-03-01", "latitude": 48.5, "longitude": 2.5}
+    assert rows(national.read_france(spark, str(tmp_path / "fr.kml"))) == [
+        {"establishment_id": str(i), "establishment_number": str(i), "establishment_name": n, "type": t} | common for i, n, t in ((1, "Un", "Meat Slaughter"), (2, "Location 2", "Exhibition"), (3, "Trois", "Other"))
+    ]
+
+
+def test_new_zealand(spark, tmp_path):
+    (tmp_path / "nz.csv").write_text("MPI ID Number,Operator Business Name,Operator Trading Name,Physical Address,Physical Town/City,Operator Local Authority,Effective Date,Risk Measure Type,Programme Type,Secondary Process,Product/Material\nME1,Kiwi Ltd,Kiwi,1 Rd,Levin,Horowhenua,2020-01-01,RMP,,Slaughter of birds,Poultry\n")
+    table = national.read_locations(spark, national.NEW_ZEALAND, str(tmp_path / "nz.csv"))
+    assert rows(table) == [{"establishment_id": "ME1", "establishment_name": "Kiwi Ltd", "dbas": "Kiwi", "street": "1 Rd", "city": "Levin", "state": "Horowhenua", "grant_date": "2020-01-01", "type": "RMP", "slaughter": "Yes", "animals_slaughtered_list": "Poultry", "animals_processed_list": "Poultry"}]
+    assert table.select(national.new_zealand_address()).first()[0] == "1 Rd, Levin, New Zealand"
