@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +71,40 @@ def distinct(x: np.ndarray) -> np.ndarray:
 def words(text: str | None) -> list[bytes]:
     """Words in UTF-8; bytes know only the ASCII letters and white space, as is wanted here."""
     return (text or "").encode().lower().split()
+
+
+#: What drops the caches that operators keep in a worker between their tasks, by operator.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    _caches[owner] = forget
+
+
+def drop_others(owner: str) -> None:
+    for name, forget in _caches.items():
+        if name != owner:
+            forget()
+
+
+def give_back() -> None:
+    """Returns unused memory to the system; else a worker holds the most that any of its tasks has used."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, in a worker that first drops what other operators keep there, and gives back what it has used."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(owner)
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import frugal, staged
 
 WINDOW, MIN_LITERAL, FILTER_BITS = 10, 5, 1 << 24
 TOKEN = re.compile(r"[+-]?\d[\d.,:/]*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]|[^\s\w]|_")
@@ -195,7 +195,7 @@ def _windows_of(frame: DataFrame, key: str, sizes: list[int] | None, allowed) ->
             if rows:
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "hash", "slots", "size", "place", "reread"]), pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("slots", pa.string()), ("size", pa.int32()), ("place", pa.int32()), ("reread", pa.bool_())]), preserve_index=False)
 
-    return frame.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(cut, SCHEMA)
+    return frame.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(frugal(cut), SCHEMA)
 
 
 def _bitmap(windows: DataFrame) -> bytes:

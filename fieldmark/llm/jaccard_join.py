@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, distinct, staged
+from .common import discard, distinct, frugal, staged
 from .components import component_labels
 from .shingles import WordHashes, mix, set_keys, shingle_set
 
@@ -149,7 +149,7 @@ def summarise(docs: DataFrame, size: int, p: int, q: int, seed: int = 0) -> Data
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["doc_id", "n_shingles", "vertex", "other_key", "band", "profile"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(one, SUMMARY)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(frugal(one), SUMMARY)
 
 
 def index_entries(docs: DataFrame, size: int, p: int, q: int, plans: dict[int, tuple[int, int, int]], seed: int = 0) -> DataFrame:
@@ -174,7 +174,7 @@ def index_entries(docs: DataFrame, size: int, p: int, q: int, plans: dict[int, t
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys))], ["entry", "vertex"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(entries, "entry long, vertex long")
+    return docs.where("doc_id is not null").select("text").mapInArrow(frugal(entries), "entry long, vertex long")
 
 
 def buckets(entries: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def buckets(entries: DataFrame) -> DataFrame:
                 yield rows(name[many], own[many], first[many])
             entry, vertex = entry[done:], vertex[done:]
 
-    return entries.repartition("entry").sortWithinPartitions("entry", "vertex").mapInArrow(runs, "bucket long, vertex long, first long").distinct()
+    return entries.repartition("entry").sortWithinPartitions("entry", "vertex").mapInArrow(frugal(runs), "bucket long, vertex long, first long").distinct()
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -244,7 +244,7 @@ def fits(pairs: DataFrame, vertices: DataFrame, p: int, q: int) -> DataFrame:
 
     side = lambda k: vertices.select(F.col("vertex").alias(k), F.col("n").alias(f"n{k}"), F.col("profile").alias(f"p{k}"))
     sized = pairs.join(side("b"), "b").join(side("a"), "a").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
-    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(near, "a long, b long")
+    return sized.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(frugal(near), "a long, b long")
 
 
 def sets_of(docs: DataFrame, vertices: DataFrame, size: int, seed: int) -> DataFrame:
@@ -260,7 +260,7 @@ def sets_of(docs: DataFrame, vertices: DataFrame, size: int, seed: int) -> DataF
     chosen = F.broadcast(ids) if ids.count() <= FEW else ids
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
     # An id in several rows has several sets; only those asked for stay, once.
-    return texts.mapInArrow(one, "vertex long, shingles binary").join(vertices.select("vertex"), "vertex", "left_semi").dropDuplicates(["vertex"])
+    return texts.mapInArrow(frugal(one), "vertex long, shingles binary").join(vertices.select("vertex"), "vertex", "left_semi").dropDuplicates(["vertex"])
 
 
 def shared_shingles(x: np.ndarray, y: np.ndarray) -> int:
@@ -281,7 +281,7 @@ def similar(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda k, c: sets.select(F.col("vertex").alias(k), F.col("shingles").alias(c))
-    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(frugal(exact), "a long, b long")
 
 
 def dealt(rows: DataFrame, group: str, near: str, block: int, packs: int) -> DataFrame:

@@ -27,11 +27,11 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import frugal, keeps
+
 SPACE = "▁"
 #: Cuts kept by a worker in each of two generations; a full younger one becomes the older.
-CACHE_SIZE = 400_000
-#: Cuts that a worker keeps between tasks.
-KEPT = 100_000
+CACHE_SIZE = 250_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -119,10 +119,6 @@ class BpeModel:
         for c, own in zip(new, ids, strict=True):
             self.cache[c] = struct.pack(f"<{len(own)}I", *own)
 
-    def forget(self) -> None:
-        """Keeps but the first ``KEPT`` cuts, the frequent ones among them: the model outlives the task in its worker."""
-        self.older, self.cache = {}, dict(itertools.islice(self.cache.items(), KEPT))
-
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Per text: its ids as little-endian 32-bit integers, with begin and end id."""
         first, last = struct.pack("<I", self.begin), struct.pack("<I", self.end)
@@ -156,6 +152,9 @@ def model(path: str) -> BpeModel:
     return BpeModel(path)
 
 
+keeps("sentencepiece", model.cache_clear)
+
+
 def decode(ids: list[int], path: str) -> str:
     return model(path).decode(ids).decode()
 
@@ -165,12 +164,6 @@ def encode_documents(docs: DataFrame, model_path: str, max_rows: int = 1024) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(model_path)
-        try:
-            yield from encoded(bpe, batches)
-        finally:
-            bpe.forget()
-
-    def encoded(bpe: BpeModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, max_rows):
                 part = batch.slice(at, max_rows)
@@ -178,4 +171,4 @@ def encode_documents(docs: DataFrame, model_path: str, max_rows: int = 1024) ->
                 n, ids, decoded = zip(*coded, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(encode, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(frugal(encode, "sentencepiece"), SCHEMA)

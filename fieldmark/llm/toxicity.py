@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, words
+from .common import distinct, frugal, words
 
 MAX_DOCS, MAX_CHARS, MAX_TEXT = 3000, 3_000_000, 6000
 BUCKETS, DIM, WINDOW, STRIDE, EPOCHS = 1 << 18, 6, 6, 3, 24
@@ -274,4 +274,4 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     names = [f.name for f in kept]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(score, f"{schema}, score double, predicted int")
+    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(frugal(score), f"{schema}, score double, predicted int")
