@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, frugal, words
+from .common import distinct, frugal, give_back, words
 
 MAX_DOCS, MAX_CHARS, MAX_TEXT = 3000, 3_000_000, 6000
 BUCKETS, DIM, WINDOW, STRIDE, EPOCHS = 1 << 18, 6, 6, 3, 24
@@ -137,10 +137,10 @@ def train(texts: list[list[bytes]], toxic: list[int]) -> dict:
     if min(map(len, rows)) < ENOUGH:
         model, *learnt = descend(kept)
         return model | {"bias": model["bias"] + [0.0, shift(model, *learnt)]}
-    first, *_ = descend([t for k in rows for i, t in enumerate(k) if i % 4])
+    first = descend([t for k in rows for i, t in enumerate(k) if i % 4])[0]
     held = [t for k in rows for t in k[::4]]
     edge = shift(first, Bags([t for t, _ in held]), np.array([y for _, y in held]))
-    model, *_ = descend(kept)
+    model = descend(kept)[0]
     return model | {"bias": model["bias"] + [0.0, edge]}
 
 
@@ -257,7 +257,10 @@ def sample_rows(docs: DataFrame, labels: DataFrame, max_docs: int, max_chars: in
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, max_text: int = MAX_TEXT) -> dict:
     """Fits on a sample of at most ``max_docs`` labelled rows of up to ``max_text``, together ``max_chars``, characters."""
     rows = sample_rows(docs, labels, max_docs, max_chars, max_text)
-    return train([words(r["text"]) for r in rows], [int(r["toxic"]) for r in rows])
+    model = train([words(r["text"]) for r in rows], [int(r["toxic"]) for r in rows])
+    del rows
+    give_back()  # the driver goes on with other work
+    return model
 
 
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
