@@ -158,6 +158,49 @@ def test_ann_recall(spark, sf):
     assert recall(ann.search(vectors, vectors).toPandas(), ids, x, range(len(ids))) >= 0.9
 
 
+def odd_rows(kind, n, r):
+    if kind == "lengths":
+        return r.normal(size=(n, 64)) * np.exp(3 * r.normal(size=(n, 1)))
+    if kind == "many dimensions":
+        return r.normal(size=(n, 300))
+    if kind == "offset":
+        return 1e6 + r.normal(size=(n, 16))
+    if kind == "large":
+        return 1e200 * r.normal(size=(n, 4))  # whose squares are infinite
+    x = r.integers(-1, 2, size=(n, 5)).astype(float)  # copies and ties
+    x[n // 2 :] = x[0] + 1e-4 * r.normal(size=(n - n // 2, 5))
+    x[0, 0] = 1
+    return x
+
+
+def nearest_by_hand(ids, x, q, k):
+    with np.errstate(over="ignore"):
+        dist = np.sqrt(sum((x[:, j] - x[q, j]) ** 2 for j in range(x.shape[1])))
+    return [(d, i) for d, i in sorted(zip(dist, ids)) if i != ids[q]][:k]
+
+
+@pytest.mark.parametrize("kind", ["lengths", "many dimensions"])
+def test_ann_finds_the_nearest_of_odd_rows(spark, kind):
+    x = odd_rows(kind, 2500, np.random.default_rng(3))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = dict(list(ann.search(v, v.where("vec_id % 100 = 0")).toPandas().sort_values("rank").groupby("query_id")))
+    for q in range(0, len(x), 100):
+        assert list(zip(got[q].score, got[q].vec_id)) == nearest_by_hand(range(len(x)), x, q, 10)
+
+
+@pytest.mark.parametrize("kind", ["lengths", "many dimensions", "offset", "large", "copies"])
+@pytest.mark.parametrize("ring, probes, depth", [(4096, 1, 64), (7, 3, 0)])
+def test_ann_slice_leaves_out_only_what_is_farther(monkeypatch, kind, ring, probes, depth):
+    monkeypatch.setattr(ann, "RING", ring)
+    r = np.random.default_rng(8)
+    x = odd_rows(kind, 700, r)
+    ids = r.integers(0, 500, len(x))  # an id in several rows
+    held = ann.Slice(ids, np.arange(len(x)), x, ann.kmeans(x[:200], 20) if kind != "large" else x[:20], 4)
+    q, at, score = held.nearest(ids[:90], x[:90], probes, depth)
+    for i in range(90):
+        assert sorted(zip(score[q == i], held.ids[at[q == i]])) == nearest_by_hand(ids, x, i, 4)
+
+
 def test_ann_over_slices_and_blocks_finds_the_same(spark, monkeypatch):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     asked = vectors.where("vec_id % 7 = 0")
