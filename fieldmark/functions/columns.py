@@ -79,14 +79,15 @@ def italian_address(c: Column, provinces: dict[str, str]) -> list[Column]:
 UK_POSTCODE = r"\b[A-Z]{1,2}[0-9R][0-9A-Z]?\s*[0-9][A-Z]{2}\b"
 
 
-def comma_address(c: Column, country: str, postcode: str, from_end: bool, whole_part: bool) -> list[Column]:
+def comma_address(c: Column, country: str, postcode: str, from_end: bool, whole_part: bool, first: int = 0) -> list[Column]:
     """Street, city and zip of an address of comma-separated parts.
 
-    The part with a postcode is found from either end; the city stands before
-    it, the street before the first part equal to the city.
+    The part with a postcode is found from either end, among those from number
+    ``first`` (from 0) on; the city stands before it, the street before the first
+    part equal to the city.
     """
     parts = F.transform(F.split(F.regexp_replace(c, rf",\s*{country}\s*$", ""), ","), lambda x: F.trim(x))
-    places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i).rlike(postcode))
+    places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: (i >= first) & F.get(parts, i).rlike(postcode))
     at = F.when(F.size(places) > 0, F.element_at(places, -1 if from_end else 1))
     part = F.get(parts, at)
     code = part if whole_part else F.regexp_extract(part, f"({postcode})", 1)
@@ -102,8 +103,9 @@ def uk_address(c: Column) -> list[Column]:
     return comma_address(c, "United Kingdom", UK_POSTCODE, True, True)
 
 
-def spanish_address(c: Column) -> list[Column]:
-    return comma_address(c, "España", r"\b\d{5}\b", False, False)
+def spanish_address(c: Column, street_first: bool = False) -> list[Column]:
+    """Where addresses begin with the street, five digits in it are a house number; else any five digits are a postcode, as registers are read."""
+    return comma_address(c, "España", r"\b\d{5}\b", False, False, int(street_first))
 
 
 def split_dba(c: Column) -> list[Column]:

@@ -532,7 +532,7 @@ def uk_address(spark, d):
 def es_address(spark, d):
     k, kind = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 3
     given = F.when(kind == 0, F.concat(F.lit("Calle Sol "), k, F.lit(", Lugo, 27001, España"))).when(kind == 1, F.concat(F.lit("Finca "), k, F.lit(", Soria"))).otherwise("Calle Mar, Vigo, 36201 Pontevedra")
-    return table(spark, d, "supplier").select("s_suppkey", *columns.spanish_address(given))
+    return table(spark, d, "supplier").select("s_suppkey", *columns.spanish_address(given, street_first=True))
 
 
 @query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN concat('Weg ', s_nationkey) WHEN 1 THEN '' WHEN 2 THEN '' ELSE 'Gasse 3' END AS street, CASE s_suppkey % 4 WHEN 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 5, '1') WHEN 1 THEN '' WHEN 2 THEN '10115' ELSE '12345' END AS zip,

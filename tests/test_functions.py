@@ -53,6 +53,8 @@ def test_function_codes(spark, codes, kind):
 def test_addresses(spark):
     assert one(spark, *columns.uk_address(F.lit("1 Mill Lane, Leeds, LS1 4AB, United Kingdom"))) == ("1 Mill Lane", "Leeds", "LS1 4AB")
     assert one(spark, *columns.spanish_address(F.lit("Calle Sol 4, Lugo, 27001, España"))) == ("Calle Sol 4", "Lugo", "27001")
+    assert one(spark, *columns.spanish_address(F.lit("Finca 12345, Lugo, 27001, España"), street_first=True)) == ("Finca 12345", "Lugo", "27001")
+    assert one(spark, *columns.spanish_address(F.lit("Finca 12345, Lugo"))) == ("Finca 12345", "", "12345")  # as the register's converter reads it
     assert one(spark, *columns.german_address(F.lit("Hauptstr. 1 10115 Berlin"))) == ("Hauptstr. 1", "10115", "Berlin")
     assert one(spark, *columns.city_state_zip(F.lit("DAVIS, CA 95616-1234"))) == ("DAVIS", "CA", "95616-1234")
     assert one(spark, *columns.city_state_zip(F.lit("DAVIS CA"))) == (None, None, None)

@@ -29,6 +29,14 @@ def test_query(spark, duck, name):
     assert rows(registry.queries()[name](spark, SF).toPandas()) == rows(duck.sql(registry.oracle_sql()[name]).df())
 
 
+def test_spanish_addresses_with_house_numbers_of_five_digits(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql(f"create view one as select * from '{SF}/supplier.parquet'")
+    con.sql(f"copy (select one.* replace (s_suppkey + shift as s_suppkey) from one, (select unnest([0, 9994, 54321, 99998]) as shift)) to '{tmp_path}/supplier.parquet'")
+    con.sql(f"create view supplier as select * from '{tmp_path}/supplier.parquet'")
+    assert rows(registry.queries()["es_address"](spark, str(tmp_path)).toPandas()) == rows(con.sql(registry.oracle_sql()["es_address"]).df())
+
+
 def test_flagship(spark):
     assert registry.flagship(spark, SF).count() > 0
 
