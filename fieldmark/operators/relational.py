@@ -28,7 +28,8 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.filter(parts, lambda g: F.length(g) == size))
 
 
-GRAM = 3
+#: Characters of a part, and names that are sent to every executor at most; more are shuffled.
+GRAM, FEW_NAMES = 3, 10_000
 
 
 def containment_candidates(names: DataFrame, titles: DataFrame) -> DataFrame:
@@ -37,6 +38,9 @@ def containment_candidates(names: DataFrame, titles: DataFrame) -> DataFrame:
     Parts have ``GRAM`` characters, or are the whole of a shorter name.  How many
     titles hold a part is counted, and of each name's parts the one that fewest
     titles hold is looked up; a name with a part that no title holds meets none.
+    The titles' parts, many times the titles, stay where they are read: their size
+    is estimated by that of the file, and a join left alone would send them all
+    through the driver.
     """
     low = names.where("name is not null and name <> ''").select("name_id", "name", F.lower("name").alias("_low"))
     sizes = [r[0] for r in low.select(F.least(F.length("_low"), F.lit(GRAM)).alias("n")).distinct().collect()]  # GRAM numbers at most
@@ -45,10 +49,11 @@ def containment_candidates(names: DataFrame, titles: DataFrame) -> DataFrame:
     indexed = titles.where("title is not null").select("title", "_ord", F.explode(held).alias("_gram"))
     counts = indexed.groupBy("_gram").agg(F.count("*").alias("_n"))
     own = F.when(F.length("_low") >= GRAM, _grams(F.col("_low"), GRAM)).otherwise(F.array("_low"))
-    parts = low.withColumn("_gram", F.explode(own)).join(counts, "_gram", "left")
+    parts = low.withColumn("_gram", F.explode(own)).join(counts.hint("merge"), "_gram", "left")
     rarest = F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")
-    probes = parts.groupBy("name_id", "name").agg(rarest)
-    return probes.join(indexed, "_gram").select("name_id", "name", "title", "_ord")
+    probes = staged(parts.groupBy("name_id", "name").agg(rarest), "probes")
+    few = probes.count() <= FEW_NAMES
+    return indexed.join(probes.hint("broadcast" if few else "merge"), "_gram").select("name_id", "name", "title", "_ord")
 
 
 def first_containing(names: DataFrame, titles: DataFrame) -> DataFrame:

@@ -31,6 +31,17 @@ def test_empty_name_takes_the_first_title(spark):
     assert {r.name_id: r.title for r in relational.first_containing(names, titles).collect()} == {1: "A", 2: "B Farm", 3: None}
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_parts_of_titles_are_not_broadcast(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(relational, "FEW_NAMES", few)
+    names = spark.createDataFrame([(1, "farm 7"), (2, "farm"), (3, "none"), (4, "m")], "name_id int, name string")
+    spark.range(200).select(F.concat(F.lit("Farm "), "id").alias("title"), F.col("id").alias("_ord")).write.parquet(str(tmp_path / "titles"))
+    titles = spark.read.parquet(str(tmp_path / "titles"))
+    plan = relational.containment_candidates(names, titles)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == bool(few) and "Generate" not in plan.partition("BroadcastExchange")[2]
+    assert {r.name_id: r.title for r in relational.first_containing(names, titles).collect()} == {1: "Farm 7", 2: "Farm 0", 3: None, 4: "Farm 0"}
+
+
 def test_chunks_of_rows_are_files(spark, tmp_path):
     relational.write_chunks(spark.range(25).select("id", F.col("id").alias("v")).withColumnRenamed("id", "k"), ["k"], str(tmp_path / "c"), 10)
     got = spark.read.option("header", True).csv(str(tmp_path / "c")).groupBy("chunk").count().collect()
