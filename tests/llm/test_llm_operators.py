@@ -341,6 +341,16 @@ def test_sentencepiece_equals_library(spark):
     assert sentencepiece_bpe.encode_documents(empty(spark), path).count() == 0
 
 
+def test_sentencepiece_rows_merge_as_the_agenda_does(monkeypatch):
+    model, r = sentencepiece_bpe.model(queries.vocabulary(queries.PIECES)), random.Random(1)
+    letters, pieces = "abcdefghijklmnop▁éüñ😀\x00日本\U0010ffff0123ABC'.-", sorted(model.ids)
+    cuts = ["".join(r.choice(letters) for _ in range(r.randint(1, 48))) for _ in range(2000)]
+    cuts += ["".join(r.choice(pieces) for _ in range(r.randint(1, 5)))[:48] for _ in range(2000)]
+    cuts += [c * n for c in ("a", "▁", "\n", "ab") for n in range(1, 25)]
+    monkeypatch.setattr(sentencepiece_bpe, "AT_ONCE", 1000)
+    assert model.encode_short(cuts) == [model.encode_cut(c) for c in cuts] and model.encode_short([]) == []
+
+
 # 6 ----------------------------------------------------------------------------------------------
 
 
