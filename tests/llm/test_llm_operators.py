@@ -9,8 +9,10 @@ import sys
 import zlib
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,6 +324,34 @@ def test_katz_fails_when_the_second_pass_sees_other_chunks(spark):
         katz.send_pairs(katz.send_tokens(other, 2), words.where("chunk >= 0"), uni, 2, 2).count()
 
 
+def test_katz_hashes_a_chunk_once_for_all_its_buckets(monkeypatch):
+    marked = []
+    monkeypatch.setattr(katz, "digest", lambda *chunk, of=katz.digest: marked.append(1) or of(*chunk))
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    send = katz.send_words(SimpleNamespace(mapInPandas=lambda f, schema: f), 64)
+    docs = pd.DataFrame({"doc_id": range(100), "text": [" ".join(f"w{i * j}" for j in range(50)) for i in range(100)], "held_out": False})
+    sent = pd.concat(send(iter([docs])))
+    assert sent.bucket.nunique() == 64 and sent.chunk.nunique() == 1 and len(marked) == 1
+
+
+def test_katz_table_of_pairs_stays_where_it_was_written(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = katz.score_documents(frame(spark, ["a b c", "b c d"]).withColumn("held_out", F.lit(False)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [bucket" not in plan and "BroadcastHashJoin [bucket" in plan
+    assert spark.conf.get(katz._CLEANUP, None) is None
+
+
+@pytest.mark.parametrize("kind", ["u1", "u4", "u8", "i8", "f8", "?"])
+@pytest.mark.parametrize("values", [[], [0], [1, 0, 255, 3], [1, 2**40, 2**64 - 1, 0]])
+def test_katz_packed_arrays_come_back(kind, values):
+    want = np.array(values, np.uint64).astype(kind)
+    got, again = katz.unpack(katz.pack(want, want[:1]))
+    assert got.dtype == want.dtype and got.tobytes() == want.tobytes() and again.tobytes() == want[:1].tobytes()
+
 # 5 ----------------------------------------------------------------------------------------------
 
 
