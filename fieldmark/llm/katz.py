@@ -43,11 +43,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, staged, words
+from .common import discard, give_back, staged, words
 from .shingles import mix
 
 #: A chunk's tokens, if it is not a single text; a bucket's text, a word bucket being WORD_BUCKETS of them.
-CHUNK_TOKENS, BUCKET_BYTES, WORD_BUCKETS, MAX_DISCOUNTED = 2_000_000, 8 << 20, 4, 5
+CHUNK_TOKENS, BUCKET_BYTES, WORD_BUCKETS, MAX_DISCOUNTED = 1_500_000, 6 << 20, 4, 5
 END, UNKNOWN, BEGIN, FIRST = 1, 0, 1, 2
 END_WORD = b" "  # no word has a space
 PACKED = "bucket long, chunk long, data binary"
@@ -136,6 +136,7 @@ def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
             if docs and size + len(found) > CHUNK_TOKENS:
                 yield cut()
                 codes, docs, tokens, size, k = WordCodes(), [], [], 0, k + 1
+                give_back()
             tokens.append(np.fromiter(map(codes.__getitem__, found), np.uint32, len(found)))
             docs.append((None if pd.isna(doc_id) else int(doc_id), bool(out)))
             size += len(found)
@@ -168,6 +169,10 @@ def steps(x: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return out
 
 
+def low_bits(x: np.ndarray, width: np.uint64) -> np.ndarray:
+    return (x & ((np.uint64(1) << width) - np.uint64(1))).astype(np.uint32)
+
+
 def word_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes in the order in which words are sent, by bucket and hash; their buckets."""
     order = np.argsort(hashes)
@@ -271,6 +276,7 @@ def send_pairs(tokens: DataFrame, dictionary: DataFrame, uni: Unigrams, buckets:
     full = max(1, uni.total // (4 * buckets))
 
     def send(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         chunk = int(own["chunk"].iloc[0])
         doc_ids, missing, held, lengths, place, mark = unpack(own["data"].iloc[0])
         parts = [unpack(d) for d in words.sort_values("bucket")["data"]]
@@ -295,24 +301,33 @@ def send_pairs(tokens: DataFrame, dictionary: DataFrame, uni: Unigrams, buckets:
         rows = [(-1 - chunk, chunk, pack(doc_ids, missing, held, lengths, base, known, score))]
         # context, word and document in one number: a chunk's words and documents together are hardly more than its tokens, or it is one document
         for_doc, for_word = np.uint64((2 * len(lengths)).bit_length()), np.uint64(len(names).bit_length())
-        both = (doc << np.uint32(1) | held[doc])[~lost]
-        key = (context[~lost].astype(np.uint64) << for_word | w[~lost]) << for_doc | both
-        del place, w, context, doc, lost, both
+        key = context[~lost].astype(np.uint64)
+        for more, width in ((w, for_word), (doc << np.uint32(1) | held[doc], for_doc)):
+            key <<= width
+            key |= more[~lost]
+        del place, parts, w, context, doc, lost, more
         key.sort()
-        both = (key & ((np.uint64(1) << for_doc) - np.uint64(1))).astype(np.uint32)
+        both = low_bits(key, for_doc)
         key >>= for_doc
         cuts = edges(key)
-        key, n, first = key[cuts[:-1]], np.diff(cuts), cuts[:-1]
-        c, w = (key >> for_word).astype(np.int64), (key & ((np.uint64(1) << for_word) - np.uint64(1))).astype(np.int64)
-        key = names[c] << np.uint64(32) | names[w]
-        share = np.maximum(1, -(-of_context // full)).astype(np.uint64)[c]  # buckets that the context is split over
-        bucket = ((mix(names[c]) % np.uint64(buckets) + mix(key) % share) % np.uint64(buckets)).astype(np.int64)
+        key, n, first = key[cuts[:-1]], np.diff(cuts).astype(np.uint32), cuts[:-1]
+        c, w = (key >> for_word).astype(np.uint32), low_bits(key, for_word)
+        key = names[c] << np.uint64(32)
+        key |= names[w]
+        share = np.maximum(1, -(-of_context // full)).astype(np.uint64)  # buckets that the context is split over
+        bucket = mix(key)
+        bucket %= share[c]
+        bucket += (mix(names) % np.uint64(buckets))[c]
+        bucket %= np.uint64(buckets)
         order = dealt(bucket, buckets)
         bucket, n, first = bucket[order], n[order], first[order]
-        gaps, count, split = steps(key[order], bucket), count[w[order]].astype(np.uint64), share[order] > 1
-        ends = np.append(0, np.cumsum(n))
-        both = both[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
-        n = n.astype(np.uint32)
+        gaps, count, split = steps(key[order], bucket), count.astype(np.uint64)[w[order]], (share > 1)[c[order]]
+        del key, c, w, order, cuts
+        ends = np.append(0, np.cumsum(n, dtype=np.int64))
+        first = np.repeat(first - ends[:-1], n)
+        first += np.arange(len(first))
+        both = both[first]
+        del first
         for b, at in by_bucket(bucket):
             rows.append((b, chunk, pack(gaps[at], count[at], n[at], both[ends[at.start] : ends[at.stop]], split[at])))
         return pd.DataFrame(rows, columns=["bucket", "chunk", "data"])
@@ -325,7 +340,7 @@ def context_sums(pairs: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple[np.nd
     context = pairs >> np.uint64(32)
     cuts = edges(context)
     names, place = context[cuts[:-1]], np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    sums = [np.bincount(place, c, len(names)), *[np.bincount(place, c == r, len(names)) for r in range(1, MAX_DISCOUNTED + 1)], np.bincount(place, np.where(c > 0, p, 0.0), len(names))]
+    sums = [np.bincount(place, c, len(names)), *[np.bincount(place[c == r], minlength=len(names)) for r in range(1, MAX_DISCOUNTED + 1)], np.bincount(place, np.where(c > 0, p, 0.0), len(names))]
     return names, np.stack(sums), place
 
 
@@ -336,15 +351,23 @@ def add_pairs(sent: DataFrame, uni: Unigrams) -> DataFrame:
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         if frame["bucket"].iloc[0] < 0:  # a chunk's own sums pass by
             return frame.assign(counts=[[]] * len(frame), contexts=[[]] * len(frame))
-        gaps, counts, n, both, split = zip(*map(unpack, frame["data"]), strict=True)
-        pairs, place = np.unique(np.concatenate([np.cumsum(g) for g in gaps]), return_inverse=True)
-        word, halved = np.zeros(len(pairs), np.uint64), np.zeros(len(pairs), bool)
-        word[place], halved[place] = np.concatenate(counts), np.concatenate(split)
+        give_back()
+        gaps, counts, n, both, split = map(list, zip(*map(unpack, frame["data"]), strict=True))
         sizes = np.array([len(x) for x in both], np.uint32)
-        both = np.concatenate(both)
-        at = np.repeat(place.astype(np.uint32), np.concatenate(n))
+        n, both, split = np.concatenate(n), np.concatenate(both), np.concatenate(split)
+        keys = np.concatenate([np.cumsum(g) for g in gaps])
+        del gaps
+        pairs, place = np.unique(keys, return_inverse=True)
+        del keys
+        word, halved = np.zeros(len(pairs), np.uint64), np.zeros(len(pairs), bool)
+        word[place], halved[place] = np.concatenate(counts), split
+        at = np.repeat(place.astype(np.uint32), n)
+        del counts, split, place, n
         c = np.bincount(at[both & np.uint32(1) == 0], minlength=len(pairs))
-        placed = (both >> np.uint32(1)).astype(np.uint64) << np.uint64(32) | at
+        placed = (both >> np.uint32(1)).astype(np.uint64)
+        placed <<= np.uint64(32)
+        placed |= at
+        del both, at
         for part in np.split(placed, np.cumsum(sizes[:-1], dtype=np.int64)):
             part.sort()
         names, sums, _ = context_sums(pairs, c, uni.of(word.astype(np.int64)))
@@ -367,6 +390,7 @@ def score_pairs(table: DataFrame, totals: DataFrame, uni: Unigrams, d: np.ndarra
             for chunk, data, known in zip(frame["chunk"], frame["data"], frame["totals"], strict=True):
                 if chunk >= 0:
                     continue
+                give_back()
                 gaps, c, word, chunk_ids, sizes, doc, at = unpack(data)
                 pairs, c = np.cumsum(gaps), c.astype(np.int64)
                 first = uni.of(word.astype(np.int64))
@@ -420,6 +444,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n = uni.total
 
     def add_up(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         frame = frame.sort_values("kind", kind="stable")
         ids, missing, held, lengths, base, known, score = unpack(frame["data"].iloc[0])
         for data in sorted(frame["data"].iloc[1:]):
